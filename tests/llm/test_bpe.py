@@ -1,0 +1,86 @@
+import hashlib
+from random import Random
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tidemark.llm.bpe import WordBpe, bpe, op1_bpe, vocabulary
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return WordBpe(vocabulary())
+
+
+def want(library, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)
+
+
+HARD = [
+    "", " ", "\t\n\x0b\x1c\x1f\x85\u2028\u200b", "it's they'RE 'study", "ΣΑΣ σς İI ı ß ẞ ﬁ", "<|endoftext|> a<|startoftext|>b <|nothing|>", "a" * 5000, "!" * 999, "1234 ½²Ⅳ ١٢", "漢字🙂\u200d🙂",
+    "e\u0301e\u0301x", "\u1c89\ua7cb\ua7cc\ua7da\ua7dc\U00010d50", "naïve café Äpfel ñandú", "in-the_end.of,words;", "\ufeffx\u00adx",
+]
+
+
+def test_hard_texts(library, coder):
+    assert list(coder.encoded(HARD)) == [want(library, t) for t in HARD]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8", max_codepoint=0x1F9FF, categories=["L", "N", "P", "S", "Z", "M", "Cc"]), max_size=30), max_size=4))
+def test_any_text(texts):
+    coder, library = any_text.__dict__.setdefault("coder", WordBpe(vocabulary())), any_text.__dict__.setdefault("library", Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    assert list(coder.encoded(texts)) == [want(library, t) for t in texts]
+
+
+def any_text():
+    pass
+
+
+def test_round_trip_of_made_words(library, coder):
+    rnd = Random(2)
+    texts = [" ".join("".join(rnd.choice(["th", "e", "in", "ing", "a", "s", "é", "er", "aa"]) for _ in range(rnd.randint(1, 9))) for _ in range(60)) for _ in range(80)]
+    assert list(coder.encoded(texts)) == [want(library, t) for t in texts]
+
+
+def test_small_memory_changes_nothing(library, monkeypatch):
+    from tidemark.llm import bpe as module
+
+    monkeypatch.setattr(module, "KNOWN", 5)
+    monkeypatch.setattr(module, "PAIRS", 7)
+    small = WordBpe(vocabulary())
+    for t in HARD:
+        assert list(small.encoded([t])) == [want(library, t)]
+
+
+def test_rows(spark, library):
+    rows = [(i, t, "clash", 1) for i, t in enumerate(HARD)] + [(None, None, None, None), (0, "again", "x", 2), (7, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, id string, body int")
+    got = bpe(df, vocabulary(), ids=True, keep=("body",)).collect()
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    wanted = []
+    for i, t, _, _ in rows:
+        ids, text = want(library, t)
+        wanted.append((i, len(ids.split()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(key, got)) == sorted(map(key, wanted))
+    assert all(hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in got)
+    assert bpe(df.limit(0), vocabulary()).count() == 0
+
+
+def test_query(spark, sf_dir, library):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    for r in op1_bpe(spark, sf_dir).collect():
+        ids, decoded = want(library, text[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids.split()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
