@@ -51,91 +51,109 @@ class WordBpe:
         model = told["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
+        # Pairs by the id they merge to, and what each merged token was made of; ids rise in the order of the merges.
+        self.made = {self.vocab[a] << 17 | self.vocab[b]: self.vocab[a + b] for a, b in merges}
+        self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b]) for a, b in reversed(merges)}
+        if list(self.made.values()) != sorted(self.made.values()) or len(self.vocab) > 1 << 17:
+            raise ValueError("the vocabulary's ids don't rise in the order of its merges")
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split).findall
+        self.digits = {i: str(i) for i in self.token}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         self.symbols = byte_symbols()
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.ids_of: dict[str, str] = {}
         self.text_of: dict[str, str] = {}
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Plain merging, lowest rank first, leftmost first; for pairs of tokens only."""
-        while len(parts) > 1:
-            best, at = min((self.rank.get((parts[i], parts[i + 1]), 1 << 30), i) for i in range(len(parts) - 1))
-            if best == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def fits(self, left: str, right: str) -> bool:
-        """Does the pair encode to itself?"""
-        pair = (left, right)
-        if (known := self.stable.get(pair)) is None:
-            if len(self.stable) >= PAIRS:
-                self.stable.clear()
-            end = right.endswith(WORD_END)
-            symbols = [*left, *(right.removesuffix(WORD_END) if end else right)]
-            if end:
-                symbols[-1] += WORD_END
-            known = self.stable[pair] = pair not in self.rank and self.merged(symbols) == [left, right]
-        return known
-
-    def last_token(self, path: list[str], last: list[str], end: bool) -> str:
-        """The last token of the prefix ``path``, from those of its own prefixes (``last``, by length)."""
-        n, tail = len(path), ""
-        vocab = self.vocab
+    def fits(self, pair: int) -> bool:
+        """Does a pair of tokens encode to itself?
+
+        Undo the two tokens' merges from the last one back.  At each point, a merge across the border that comes before
+        the next undone one would have been made instead; if there never is one, the border stays.
+        """
+        left, right = pair >> 17, pair & 0x1FFFF
+        bound, made, parts = 1 << 30, self.made, self.parts
+        while True:
+            over = made.get(left << 17 | right)
+            if over is not None and over < bound:
+                return False
+            if left in parts and (left > right or right not in parts):
+                bound, left = left, parts[left][1]
+            elif right in parts:
+                # Of equal merges the left one is made first, so one across the border goes before the right token's.
+                bound, right = right + 1, parts[right][0]
+            else:
+                return True
+
+    def last_token(self, path: str, last: list[int], ending: str) -> tuple[int, int]:
+        """(id, length) of the last token of the prefix ``path``, from those of its own prefixes (``last``, by length)."""
+        n, get, known = len(path), self.vocab.get, self.stable
         for size in range(1, min(n, self.longest) + 1):
-            tail = path[n - size] + tail
-            token = tail + WORD_END if end else tail
-            if token in vocab and (size == n or self.fits(last[n - size], token)):
-                return token
-        raise ValueError(f"no token ends {''.join(path)!r}")
+            token = get(path[n - size :] + ending)
+            if token is not None:
+                if size == n:
+                    return token, size
+                pair = last[n - size] << 17 | token
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    fits = known[pair] = self.fits(pair)
+                if fits:
+                    return token, size
+        raise ValueError(f"no token ends {path!r}")
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words by one depth-first walk over their trie."""
+        # A word's last symbol is one of its own (it has the word end), so it has a key of its own: the byte's complement.
         root: dict = {}
         for word in words:
+            data = (word if word.isascii() else word.translate(NEWER_LOWER)).encode()
             node = root
-            for b in (word if word.isascii() else word.translate(NEWER_LOWER)).encode():
-                node = node.setdefault(b, {})
-            node[-1] = word
-        path: list[str] = []
-        last: list[str] = [""]
+            for b in data[:-1]:
+                below = node.get(b)
+                if below is None:
+                    below = node[b] = {}
+                node = below
+            node[~data[-1]] = word
+        # By length of the prefix: the prefix, its last token and that token's length.
+        paths, last, sizes = [""], [0], [0]
+        symbols, last_token = self.symbols, self.last_token
         walk = [iter(root.items())]
         while walk:
             for b, node in walk[-1]:
-                if b == -1:
-                    self.note(node, path, last)
+                if b < 0:
+                    self.note(node, paths[-1] + symbols[~b], last, sizes)
                     continue
-                path.append(self.symbols[b])
-                # A leaf's inner last token is never asked for.
-                last.append(self.last_token(path, last, False) if len(node) > 1 or -1 not in node else "")
+                path = paths[-1] + symbols[b]
+                token, size = last_token(path, last, "")
+                paths.append(path)
+                last.append(token)
+                sizes.append(size)
                 walk.append(iter(node.items()))
                 break
             else:
                 walk.pop()
-                if path:
-                    path.pop()
-                    last.pop()
+                paths.pop()
+                last.pop()
+                sizes.pop()
 
-    def note(self, word: str, path: list[str], last: list[str]) -> None:
-        token = self.last_token(path, last, True)
-        tokens, n = [token], len(path) - len(token.removesuffix(WORD_END))
+    def note(self, word: str, path: str, last: list[int], sizes: list[int]) -> None:
+        token, size = self.last_token(path, last, WORD_END)
+        ids, n = [token], len(path) - size
         while n:
-            tokens.append(last[n])
-            n -= len(last[n])
-        ids = [self.vocab[t] for t in reversed(tokens)]
-        self.ids_of[word] = " ".join(map(str, ids))
+            ids.append(last[n])
+            n -= sizes[n]
+        ids.reverse()
+        self.ids_of[word] = " ".join(map(self.digits.__getitem__, ids))
         self.text_of[word] = self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder of its own, the vocabulary's tokens are joined by spaces."""
-        return " ".join([self.token[i] for i in ids])
+        return " ".join(map(self.token.__getitem__, ids))
 
     def split(self, text: str) -> list[str]:
         """The words of a text in order; special tokens as themselves."""
