@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +20,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder."""
+    global _own_folder
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not _own_folder:
+        _own_folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    return given or f"file://{_own_folder}"
+
+
+_own_folder = ""
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+    """Write ``df`` as a table to the shared folder and read it from there, which cuts its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single machine)
-    a temporary one is made.  Every executor reads the files back, so a lost executor loses nothing.
+    Every executor can read the files, so a lost one loses nothing; and their sizes are known, where a checkpoint
+    in a loop would carry on estimates that square each round.  The folder goes when the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keys_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, n_keys: int) -> DataFrame:

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": ("url_filter", "OP3_SQL"),
     "op4_language_id": ("langid", None),
     "op5_html_text": ("html_text", None),
+    "op6_minhash_dedup": ("near_dedup", None),
     "op7_chat_format": ("chat_format", "OP7_SQL"),
     "op8_exact_dedup": ("exact_dedup", "OP8_SQL"),
     "op9_secret_scan": ("secrets", "OP9_SQL"),
