@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module, name of its SQL in the module or None
 QUERIES = {
     "op1_bpe": ("bpe", None),
+    "op2_embedding_dedup": ("embed_dedup", None),
     "op3_url_filters": ("url_filter", "OP3_SQL"),
     "op4_language_id": ("langid", None),
     "op5_html_text": ("html_text", None),
