@@ -67,12 +67,14 @@ def category(title: str | Column, categories: dict[str, list[str]] = CATEGORIES,
     return F.lit(rest) if out is None else out.otherwise(rest)
 
 
-def hits(lowered: str | Column, words: list[str] = WATCHED) -> Column:
-    """All words that occur, in the vocabulary's order.
+def hits(text: str | Column, words: list[str] = WATCHED) -> Column:
+    """All words that occur in a text, without case, in the vocabulary's order.
 
-    ``lowered`` must be a projected column of lower-cased text: lower-casing inside every test costs five times as much.
+    The lower-cased text is a lambda's variable, so it is made once however the optimizer moves or copies the expression;
+    as a projected column, a filter on the hits would lower-case the text again for every word.
     """
-    return F.array_compact(F.array(*(F.when(F.contains(col(lowered), F.lit(w.lower())), F.lit(w)) for w in words)))
+    found = lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words)))
+    return F.transform(F.array(F.lower(default(text))), found)[0]
 
 
 def vendor_profile(vendor: str | Column, profiles: str | Column, vendors: list[str], names: list[str], field: str = "pp_short_name") -> Column:

@@ -39,4 +39,4 @@ def alerts(changes: DataFrame, branches=BRANCHES, words: list[str] = WATCHED) ->
         row = F.struct(name.alias("source"), (default("category", REST) if alert is None else F.lit(alert)).alias("kind"), texts[text].alias("title"))
         chosen = (F.when if chosen is None else chosen.when)(here, row)
     found = changes.select("run_date", "pos", chosen.alias("a")).filter("a IS NOT NULL").select("run_date", "pos", "a.*")
-    return found.withColumn("__lower", F.lower("title")).withColumn("matched_keywords", hits("__lower", words)).filter(F.size("matched_keywords") > 0).drop("__lower")
+    return found.withColumn("matched_keywords", hits("title", words)).filter(F.size("matched_keywords") > 0)

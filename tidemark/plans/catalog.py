@@ -1,4 +1,551 @@
-"""Registered queries of the snapshot engine."""
+"""Registered queries of the snapshot engine and their SQL, over the driver's tables.
 
-QUERIES: dict = {}
+Snapshot pairs come from one table by rules that both engines can state: ``orders`` without some keys is the old
+side, without others the new one, with some states changed.  Every query reads whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import expr as E
+from tidemark.functions.vocab import CATEGORIES, WATCHED
+from tidemark.operators import alerts as A
+from tidemark.operators import diff as D
+from tidemark.operators import merge as M
+from tidemark.operators import quality, stats, topk
+from tidemark.plans import sinks
+from tidemark.sources import html as H
+from tidemark.sources.landed import union_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *days: str):
+    """Register a query and its SQL; ``days``: date columns, given as text by both."""
+
+    def register(f):
+        def run(spark, sf):
+            out = f(spark, sf)
+            return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in days}) if days else out
+
+        QUERIES[f.__name__] = run
+        if sql:
+            texts = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in days)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if days else sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+# --- snapshot pairs -------------------------------------------------------------------------------------------------
+
+OLD_ORDERS = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS due FROM orders WHERE o_orderkey % 10 <> 3"
+NEW_ORDERS = """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_orderpriority END AS due FROM orders WHERE o_orderkey % 10 <> 7"""
+PAIR = f"WITH o AS ({OLD_ORDERS}), n AS ({NEW_ORDERS})"
+
+
+def order_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    k = F.col("o_orderkey")
+    old = orders.filter(k % 10 != 3).select(k, "o_orderstatus", F.when(k % 5 != 0, F.col("o_orderpriority")).alias("due"))
+    new = orders.filter(k % 10 != 7).select(k, F.when(k % 11 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 7 == 0, "").when(k % 7 != 1, F.col("o_orderpriority")).alias("due"))
+    return old, new
+
+
+def order_log(spark, sf, transitions=(), **how):
+    return D.keyed_diff(*order_pair(spark, sf), "o_orderkey", transitions, **how).select("entity_key", "kind", "old_value", "new_value")
+
+
+@query(f"{PAIR} SELECT CAST(n.o_orderkey AS VARCHAR) AS entity_key FROM n ANTI JOIN o USING (o_orderkey)")
+def q_added(spark, sf):
+    """D1."""
+    old, new = order_pair(spark, sf)
+    return D.added_rows(old, new, [F.col("o_orderkey")]).select(E.key("o_orderkey").alias("entity_key"))
+
+
+@query(f"{PAIR} SELECT CAST(o.o_orderkey AS VARCHAR) AS entity_key FROM o ANTI JOIN n USING (o_orderkey)")
+def q_removed(spark, sf):
+    """D2."""
+    old, new = order_pair(spark, sf)
+    return D.added_rows(new, old, [F.col("o_orderkey")]).select(E.key("o_orderkey").alias("entity_key"))
+
+
+CHANGES_SQL = f"""{PAIR}, j AS (SELECT o.o_orderkey AS ok, n.o_orderkey AS nk, o.o_orderstatus AS os, n.o_orderstatus AS ns, o.due AS od, n.due AS nd FROM o FULL OUTER JOIN n USING (o_orderkey))
+SELECT CAST(nk AS VARCHAR) AS entity_key, 'added' AS kind, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value FROM j WHERE ok IS NULL
+UNION ALL SELECT CAST(ok AS VARCHAR), 'removed', NULL, NULL FROM j WHERE nk IS NULL
+UNION ALL SELECT CAST(ok AS VARCHAR), 'status_change', os, ns FROM j WHERE ok IS NOT NULL AND nk IS NOT NULL AND os IS DISTINCT FROM ns
+UNION ALL SELECT CAST(ok AS VARCHAR), 'sunset_change', od, nd FROM j WHERE ok IS NOT NULL AND nk IS NOT NULL AND od IS DISTINCT FROM nd AND coalesce(nd, '') <> ''"""
+
+
+@query(CHANGES_SQL)
+def q_changes_daily(spark, sf):
+    """D1-D3, J3."""
+    return order_log(spark, sf, [D.Transition("status_change", "o_orderstatus"), D.Transition("sunset_change", "due", "changed_to_value")])
+
+
+@query(f"{PAIR} SELECT CAST(o_orderkey AS VARCHAR) AS entity_key, o.due AS old_value, n.due AS new_value FROM o JOIN n USING (o_orderkey) WHERE o.due IS DISTINCT FROM n.due AND coalesce(n.due, '') <> ''")
+def q_transition_nonempty(spark, sf):
+    """D3."""
+    return order_log(spark, sf, [D.Transition("sunset_change", "due", "changed_to_value")], added=False, removed=False).drop("kind")
+
+
+@query(f"""{PAIR} SELECT CAST(o_orderkey AS VARCHAR) AS entity_key, 'removed' AS kind, o.due AS old_value, n.due AS new_value FROM o JOIN n USING (o_orderkey) WHERE coalesce(o.due, '') = '' AND coalesce(n.due, '') <> ''
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'added', NULL, NULL FROM n ANTI JOIN o USING (o_orderkey)""")
+def q_transition_falsy_truthy(spark, sf):
+    """D4."""
+    return order_log(spark, sf, [D.Transition("removed", "due", "became_set")], removed=False)
+
+
+@query(f"{PAIR} SELECT CAST(o_orderkey AS VARCHAR) AS entity_key, 'newly_archived' AS kind FROM o JOIN n USING (o_orderkey) WHERE o.o_orderstatus = 'F' AND n.o_orderstatus = 'X'")
+def q_state_pair(spark, sf):
+    """D5."""
+    return order_log(spark, sf, [D.Transition("newly_archived", "o_orderstatus", "pair", "F", "X")], added=False, removed=False).select("entity_key", "kind")
+
+
+VENDORS = ["1", "3"]
+NAMES = ["Brand#2", "#13"]
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+v AS (SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '1') OR contains(lower(s_name), '3')),
+f AS (SELECT s_suppkey FROM v WHERE EXISTS (SELECT 1 FROM p WHERE l_suppkey = s_suppkey AND (contains(p_brand, 'Brand#2') OR contains(p_brand, '#13')))),
+o AS (SELECT * FROM f WHERE s_suppkey % 3 <> 0), n AS (SELECT * FROM f WHERE s_suppkey % 3 <> 1)
+SELECT CAST(s_suppkey AS VARCHAR) AS entity_key, 'added' AS kind FROM n ANTI JOIN o USING (s_suppkey)
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'removed' FROM o ANTI JOIN n USING (s_suppkey)""")
+def q_filtered_entity_diff(spark, sf):
+    """Filtered on each side before the difference."""
+    brands = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    profiles = brands.groupBy("l_suppkey").agg(F.collect_set(F.struct(F.col("p_brand").alias("pp_short_name"))).alias("profiles"))
+    found = table(spark, sf, "supplier").join(profiles, F.col("s_suppkey") == F.col("l_suppkey")).filter(E.vendor_profile("s_name", "profiles", VENDORS, NAMES)).select("s_suppkey")
+    return D.keyed_diff(found.filter("s_suppkey % 3 <> 0"), found.filter("s_suppkey % 3 <> 1"), "s_suppkey").select("entity_key", "kind")
+
+
+@query("""WITH o AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_custkey % 4 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'CLOSED' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 4 <> 1)
+SELECT CAST(c_custkey AS VARCHAR) AS entity_key, 'status_change' AS kind, o.s AS old_value, n.s AS new_value FROM o JOIN n USING (c_custkey) WHERE o.s IS DISTINCT FROM n.s
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'added', NULL, NULL FROM n ANTI JOIN o USING (c_custkey) UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'removed', NULL, NULL FROM o ANTI JOIN n USING (c_custkey)""")
+def q_nested_status(spark, sf):
+    """D8."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    nest = lambda value: F.struct(value.alias("status_name"))
+    old = c.filter(k % 4 != 0).select(k, nest(F.col("c_mktsegment")).alias("status_id"))
+    new = c.filter(k % 4 != 1).select(k, nest(F.when(k % 6 == 0, F.lit(None)).when(k % 5 == 0, "CLOSED").otherwise(F.col("c_mktsegment"))).alias("status_id"))
+    return D.keyed_diff(old, new, "c_custkey", [D.Transition("status_change", "status_id.status_name")]).select("entity_key", "kind", "old_value", "new_value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1")
+def q_last_wins_dup(spark, sf):
+    """D19."""
+    return D.last_wins(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+TEXTS = "WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS text FROM documents), o AS (SELECT * FROM d WHERE doc_id % 3 <> 0), n AS (SELECT * FROM d WHERE doc_id % 3 <> 1)"
+
+
+def text_pair(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("text"))
+    return d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 3 <> 1")
+
+
+@query(TEXTS + " SELECT doc_id FROM n WHERE coalesce(left(text, 80), '') NOT IN (SELECT left(text, 80) FROM o WHERE coalesce(text, '') <> '')")
+def q_prefix_diff_80(spark, sf):
+    """D9."""
+    return D.text_diff(*text_pair(spark, sf), n=80, both=False).select("doc_id")
+
+
+@query(TEXTS + """ SELECT doc_id, 'added' AS kind FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = n.source AND o.text <> '' AND left(o.text, 120) = coalesce(left(n.text, 120), ''))
+UNION ALL SELECT doc_id, 'removed' FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.source = n.source AND n.text <> '' AND left(n.text, 120) = coalesce(left(o.text, 120), ''))""")
+def q_prefix_diff_120(spark, sf):
+    """With rows without text, which are always added and removed."""
+    return D.text_diff(*text_pair(spark, sf), n=120, group=("source",)).select("doc_id", "kind")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 3 = 1 THEN 'removed' END AS kind FROM documents WHERE doc_id % 17 = 0 AND doc_id % 3 <> 2 UNION ALL SELECT doc_id, unnest(['added', 'removed']) FROM documents WHERE doc_id % 17 = 0 AND doc_id % 3 = 2")
+def q_textless_always_changed(spark, sf):
+    """D15 on textless rows alone."""
+    return D.text_diff(*text_pair(spark, sf), n=120, group=("source",)).filter("text IS NULL").select("doc_id", "kind")
+
+
+CELLS_SQL = "WITH o AS (SELECT * FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT * FROM part WHERE p_partkey % 3 <> 1)"
+
+
+def cell_pair(spark, sf):
+    cell = lambda c: F.struct(F.lit(c).alias("name"), F.col(c).alias("value"))
+    p = table(spark, sf, "part").select("p_partkey", F.array(cell("p_name"), cell("p_brand"), cell("p_type")).alias("cells"))
+    return p.filter("p_partkey % 3 <> 0"), p.filter("p_partkey % 3 <> 1")
+
+
+@query(CELLS_SQL + " SELECT p_partkey, 1 AS width FROM n WHERE p_name NOT IN (SELECT p_name FROM o) UNION ALL SELECT p_partkey, 2 FROM n WHERE p_name || ' ' || p_brand NOT IN (SELECT p_name || ' ' || p_brand FROM o)")
+def q_first_cols_diff(spark, sf):
+    """D10, D11."""
+    old, new = cell_pair(spark, sf)
+    return D.cells_diff(old, new, n=1).select("p_partkey", F.lit(1).alias("width")).unionByName(D.cells_diff(old, new, n=2).select("p_partkey", F.lit(2).alias("width")))
+
+
+FEEDS = """WITH i AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(conv_id AS VARCHAR) END AS id, CASE WHEN conv_id % 10 = 0 THEN NULL ELSE left(text, 40) END AS title, 'l' || conv_id AS link FROM conversations),
+o AS (SELECT * FROM i WHERE turn < 2), n AS (SELECT * FROM i WHERE turn >= 2)"""
+
+
+def feed_pair(spark, sf):
+    c = table(spark, sf, "conversations")
+    k = F.col("conv_id")
+    i = c.select("conv_id", "turn", "role", F.when(k % 5 != 0, k.cast("string")).alias("id"), F.when(k % 10 != 0, F.left("text", F.lit(40))).alias("title"), F.concat(F.lit("l"), k).alias("link"))
+    return i.filter("turn < 2"), i.filter("turn >= 2")
+
+
+@query(FEEDS + " SELECT conv_id, turn, role FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.role = n.role AND coalesce(o.id, o.title, o.link, '') = coalesce(n.id, n.title, n.link, ''))")
+def q_grouped_feed_diff(spark, sf):
+    """D16, P4."""
+    return D.feed_diff(*feed_pair(spark, sf), "role").select("conv_id", "turn", "role")
+
+
+@query(FEEDS + " SELECT conv_id, turn, role FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.role = n.role AND coalesce(o.id, o.title, '') = coalesce(n.id, n.title, ''))")
+def q_grouped_post_diff(spark, sf):
+    """D12."""
+    return D.feed_diff(*feed_pair(spark, sf), "role", ("id", "title")).select("conv_id", "turn", "role")
+
+
+HEADERS = """WITH h AS (SELECT page_id, url, md5(html) AS etag, CAST(length(html) AS VARCHAR) AS n FROM pages),
+o AS (SELECT url AS doc_name, url, CASE WHEN page_id % 4 = 0 THEN '' ELSE etag END AS etag, CASE WHEN page_id % 6 = 0 THEN NULL ELSE 'day ' || page_id % 9 END AS last_modified, CASE WHEN page_id % 5 = 0 THEN '' ELSE n END AS content_length, '' AS partial_hash FROM h WHERE page_id % 7 <> 0),
+n AS (SELECT url AS doc_name, url || '#' AS url, CASE WHEN page_id % 8 = 0 THEN NULL ELSE etag END AS etag, CASE WHEN page_id % 6 = 0 THEN '' ELSE 'day ' || page_id % 3 END AS last_modified, CASE WHEN page_id % 10 = 0 THEN NULL ELSE n END AS content_length, CASE WHEN page_id % 12 = 0 THEN etag ELSE '' END AS partial_hash FROM h WHERE page_id % 7 <> 1)"""
+
+
+def header_pair(spark, sf):
+    k = F.col("page_id")
+    h = table(spark, sf, "pages").select(k, "url", F.md5("html").alias("tag"), F.length("html").cast("string").alias("n"))
+    old = h.filter(k % 7 != 0).select(F.col("url").alias("doc_name"), "url", F.when(k % 4 == 0, "").otherwise(F.col("tag")).alias("etag"), F.when(k % 6 != 0, F.concat(F.lit("day "), k % 9)).alias("last_modified"), F.when(k % 5 == 0, "").otherwise(F.col("n")).alias("content_length"), F.lit("").alias("partial_hash"))
+    new = h.filter(k % 7 != 1).select(F.col("url").alias("doc_name"), F.concat("url", F.lit("#")).alias("url"), F.when(k % 8 != 0, F.col("tag")).alias("etag"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("day "), k % 3)).alias("last_modified"), F.when(k % 10 != 0, F.col("n")).alias("content_length"), F.when(k % 12 == 0, F.col("tag")).otherwise("").alias("partial_hash"))
+    return old, new
+
+
+@query(HEADERS + """ SELECT doc_name, coalesce(o.etag, '') AS old_etag, coalesce(n.etag, '') AS new_etag, coalesce(o.last_modified, '') AS old_last_modified, coalesce(n.last_modified, '') AS new_last_modified, coalesce(o.content_length, '') AS old_content_length, coalesce(n.content_length, '') AS new_content_length, coalesce(o.partial_hash, '') AS old_partial_hash, coalesce(n.partial_hash, '') AS new_partial_hash, coalesce(n.url, o.url, '') AS url, true AS changed
+FROM o FULL OUTER JOIN n USING (doc_name) WHERE coalesce(o.etag, '') <> coalesce(n.etag, '') OR coalesce(o.last_modified, '') <> coalesce(n.last_modified, '') OR coalesce(o.content_length, '') <> coalesce(n.content_length, '') OR coalesce(o.partial_hash, '') <> coalesce(n.partial_hash, '')""")
+def q_doc_headers(spark, sf):
+    """D13, D14."""
+    return D.header_diff(*header_pair(spark, sf))
+
+
+@query(f"WITH c AS ({HEADERS} SELECT doc_name, coalesce(o.last_modified, '') AS a, coalesce(n.last_modified, '') AS b, coalesce(o.content_length, '') AS c, coalesce(n.content_length, '') AS d, coalesce(o.etag, '') || coalesce(o.partial_hash, '') AS e, coalesce(n.etag, '') || coalesce(n.partial_hash, '') AS f FROM o FULL OUTER JOIN n USING (doc_name)) SELECT doc_name, CASE WHEN a <> '' AND b <> '' THEN a || ' → ' || b ELSE 'Size: ' || c || ' → ' || d || ' bytes' END AS detail FROM c WHERE a <> b OR c <> d OR e <> f")
+def q_header_detail(spark, sf):
+    """P17."""
+    return D.header_diff(*header_pair(spark, sf)).select("doc_name", E.header_detail().alias("detail"))
+
+
+@query("SELECT page_id, md5(html) AS whole FROM pages")
+def q_fingerprint(spark, sf):
+    """S5 over whole pages (the 2,048-byte form is tested apart)."""
+    return table(spark, sf, "pages").select("page_id", E.fingerprint("html", 1 << 30).alias("whole"))
+
+
+OWN_CATEGORIES = {"LICENSE": ["license", "apache"], "SECRET": ["token", "akia", "password"], "SHELL": ["ssh"], "THE": ["the "], **CATEGORIES}
+
+
+def category_sql(column: str, categories: dict[str, list[str]]) -> str:
+    arms = " ".join("WHEN " + " OR ".join(f"contains(lower({column}), {quoted(w)})" for w in words) + f" THEN '{name}'" for name, words in categories.items())
+    return f"CASE {arms} ELSE 'NEWS' END"
+
+
+@query(f"SELECT doc_id, {category_sql('text', OWN_CATEGORIES)} AS category FROM documents")
+def q_categorize(spark, sf):
+    """C1."""
+    return table(spark, sf, "documents").select("doc_id", E.category("text", OWN_CATEGORIES).alias("category"))
+
+
+OWN_WORDS = ["license", "Apache", "token", "SSH", "MIT ", *WATCHED]
+WORDS_SQL = "[" + ", ".join(map(quoted, OWN_WORDS)) + "]"
+
+
+@query(f"WITH h AS (SELECT doc_id, list_filter({WORDS_SQL}, lambda w: contains(lower(text), lower(w))) AS hits FROM documents) SELECT doc_id, array_to_string(hits, ',') AS hits FROM h WHERE len(hits) > 0")
+def q_keyword_hits(spark, sf):
+    """C2."""
+    found = table(spark, sf, "documents").select("doc_id", E.hits("text", OWN_WORDS).alias("hits")).filter(F.size("hits") > 0)
+    return found.select("doc_id", F.array_join("hits", ",").alias("hits"))
+
+
+# --- the change log -------------------------------------------------------------------------------------------------
+
+LOG_KINDS = [("niap", "pps", "added"), ("niap", "pps", "sunset_change"), ("niap", "tds", "added"), ("niap", "news", "added"), ("cctl_labs", "feeds", "added"), ("csfc", "feeds", "added"), ("csfc", "pages", "added"), ("csfc", "documents", "header_changed"), ("cc_crypto", "pages", "added"), ("cc_crypto", "documents", "header_changed"), ("nist", "pages", "added"), ("nist", "documents", "header_changed"), ("nist", "feeds", "added"), ("niap", "events", "added"), ("nist", "pages", "removed"), ("niap", "pps", "removed"), ("niap", "cisco_ndcpp", "newly_archived"), ("cc_portal", "products", "added")]
+
+
+def change_log(spark, sf) -> DataFrame:
+    """Documents as changes of 18 kinds over 7 days."""
+    k = F.col("doc_id")
+    kinds = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(c).alias("collection"), F.lit(x).alias("kind")) for d, c, x in LOG_KINDS))
+    d = table(spark, sf, "documents").select(k, "text", "source", F.element_at(kinds, (k % len(LOG_KINDS) + 1).cast("int")).alias("k"))
+    return d.select(
+        "k.*", F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("run_date"), F.when(k % 4 == 0, "apl").otherwise(F.col("source")).alias("group_key"),
+        k.cast("string").alias("entity_key"), k.cast("int").alias("pos"), F.left("text", F.lit(300)).alias("title"), F.substring("text", 301, 300).alias("text"), F.concat(F.lit("u/"), k).alias("link"),
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("old_value"), F.lit("2030-01-01T00:00").alias("new_value"), F.left("text", F.lit(200)).alias("payload"),
+    )
+
+
+def log_sql() -> str:
+    kinds = "[" + ", ".join(f"{{'domain': '{d}', 'collection': '{c}', 'kind': '{x}'}}" for d, c, x in LOG_KINDS) + "]"
+    return f"""log AS (SELECT k.domain AS domain, k.collection AS collection, k.kind AS kind, DATE '2024-01-01' + CAST(doc_id % 7 AS INT) AS run_date, CASE WHEN doc_id % 4 = 0 THEN 'apl' ELSE source END AS group_key, CAST(doc_id AS VARCHAR) AS entity_key, CAST(doc_id AS INT) AS pos, left(t, 300) AS title, substring(t, 301, 300) AS text, 'u/' || doc_id AS link, left(t, 200) AS payload
+FROM (SELECT doc_id, text AS t, source, {kinds}[CAST(doc_id % {len(LOG_KINDS)} AS INT) + 1] AS k FROM documents))"""
+
+
+LOG = log_sql()
+
+
+def alerts_sql() -> str:
+    texts = {"title": "coalesce(title, '')", "text": "coalesce(text, '')", "group": "group_key", "title text": "coalesce(title, '') || ' ' || coalesce(text, '')"}
+    parts = []
+    for domain, collection, kind, group, source, alert, text in A.BRANCHES:
+        name = quoted(source) if "{}" not in source else f"{quoted(source.split('{}')[0])} || group_key || {quoted(source.split('{}')[1])}"
+        parts.append(f"SELECT run_date, pos, {name} AS source, {quoted(alert or 'NEWS')} AS kind, {texts[text]} AS title FROM log WHERE domain = '{domain}' AND collection = '{collection}' AND kind = '{kind}'" + (f" AND group_key = '{group}'" if group else ""))
+    return f"al AS (SELECT *, list_filter({WORDS_SQL}, lambda w: contains(lower(title), lower(w))) AS words FROM ({' UNION ALL '.join(parts)}))"
+
+
+ALERTS = alerts_sql()
+
+
+@query(f"WITH {LOG}, {ALERTS} SELECT run_date, pos, source, kind, title, array_to_string(words, ',') AS words FROM al WHERE len(words) > 0", "run_date")
+def q_alert_union(spark, sf):
+    """A1-A13, J4 in one pass."""
+    return A.alerts(change_log(spark, sf), words=OWN_WORDS).select("run_date", "pos", "source", "kind", "title", F.array_join("matched_keywords", ",").alias("words"))
+
+
+@query(f"WITH {LOG}, {ALERTS} SELECT run_date, pos, source, title FROM al WHERE len(words) > 0 QUALIFY row_number() OVER (PARTITION BY source || '|' || title || '|' || array_to_string(list_sort(words), ',') ORDER BY run_date, pos) = 1", "run_date")
+def q_weekly_alerts(spark, sf):
+    """W2, P13."""
+    return M.merge_alerts(A.alerts(change_log(spark, sf), words=OWN_WORDS)).select("run_date", "pos", "source", "title")
+
+
+MERGED = f"""WITH {LOG}, r AS (SELECT *, min(run_date) OVER () AS first, (SELECT count(DISTINCT run_date) FROM log) AS days, (domain = 'cc_portal' AND collection = 'products') OR (domain = 'niap' AND collection = 'cctls') OR (collection = 'pages' AND kind = 'removed') AS frozen FROM log),
+l AS (SELECT *, row_number() OVER (PARTITION BY domain, collection, group_key, kind, left(payload, 120) ORDER BY run_date, pos) AS n, max(run_date) OVER (PARTITION BY domain, collection, group_key, kind) AS last FROM r WHERE kind <> 'header_changed' AND NOT frozen)
+SELECT domain, collection, kind, group_key, run_date, pos FROM r WHERE frozen AND run_date = first AND kind <> 'header_changed'
+UNION ALL SELECT domain, collection, kind, group_key, run_date, pos FROM l WHERE n = 1 OR NOT ((domain = 'niap' AND days > 1) OR last > first)
+UNION ALL (SELECT domain, collection, kind, group_key, run_date, pos FROM r WHERE kind = 'header_changed' QUALIFY row_number() OVER (PARTITION BY domain, collection, group_key ORDER BY run_date DESC, pos DESC) = 1)"""
+
+
+@query(MERGED, "run_date")
+def q_weekly_merge(spark, sf):
+    """W1, W3-W7."""
+    return M.merge_changes(change_log(spark, sf)).select("domain", "collection", "kind", "group_key", "run_date", "pos")
+
+
+@query("""WITH d AS (SELECT *, CAST(ts AS DATE) AS day FROM events), w AS (SELECT * FROM d WHERE day IN (SELECT DISTINCT day FROM d ORDER BY day DESC LIMIT 7))
+SELECT event_id, event_type, user_id, day FROM w QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1""", "day")
+def q_weekly_first_wins(spark, sf):
+    """W1, W4, L1."""
+    d = table(spark, sf, "events").select("event_id", "event_type", "user_id", "ts", F.to_date("ts").alias("day"))
+    week = d.join(F.broadcast(topk.latest_days(d, 7, "day")), "day", "left_semi")  # seven rows
+    return M.first_wins(week, ["event_type", "user_id"], ["ts", "event_id"]).select("event_id", "event_type", "user_id", "day")
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def q_weekly_last_wins(spark, sf):
+    """W3."""
+    return M.last_wins(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts"]).drop("ts")
+
+
+DAYS = "WITH c AS (SELECT CAST(ts AS DATE) AS run_date, event_type AS section, count(*) FILTER (WHERE user_id % 3 = 0) AS n FROM events GROUP BY ALL), e AS (SELECT * FROM (SELECT DISTINCT run_date FROM c) CROSS JOIN (SELECT DISTINCT section FROM c)), f AS (SELECT run_date, section, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (run_date, section))"
+
+
+def event_counts(spark, sf):
+    d = table(spark, sf, "events").select(F.to_date("ts").alias("run_date"), F.col("event_type").alias("section"), "user_id")
+    counted = d.groupBy("run_date", "section").agg(F.count_if(F.col("user_id") % 3 == 0).alias("n"))
+    every = counted.select("run_date").distinct().crossJoin(counted.select("section").distinct())  # days by sections, both few
+    return every.join(counted, ["run_date", "section"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(DAYS + " SELECT * FROM f", "run_date")
+def q_section_counts(spark, sf):
+    """G1, G5 on events."""
+    return event_counts(spark, sf)
+
+
+@query(DAYS + " SELECT run_date, section, n, CAST(round_even(n / greatest(max(n) OVER (PARTITION BY section), 1) * 100, 0) AS INT) AS pct FROM f", "run_date")
+def q_sparkline(spark, sf):
+    """G4."""
+    return stats.sparkline(event_counts(spark, sf))
+
+
+SECTION_SQL = "CASE " + " ".join(f"WHEN domain = '{d}' AND collection = '{c}' AND kind IN ({', '.join(map(quoted, k))}) THEN '{s}'" for s, ((d, c, k), _) in stats.SECTIONS.items()) + " END"
+STATS_SQL = "(VALUES " + ", ".join(f"('{s}', '{x}')" for s, (_, x) in stats.SECTIONS.items()) + ") AS s(section, stat)"
+
+
+@query(f"WITH {LOG}, c AS (SELECT {SECTION_SQL} AS section, count(*) AS n FROM log GROUP BY 1) SELECT stat, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n FROM {STATS_SQL} LEFT JOIN c USING (section) GROUP BY stat")
+def q_totals_rollup(spark, sf):
+    """G2, G3."""
+    return stats.roll_up(stats.totals(change_log(spark, sf)))
+
+
+@query(f"WITH {LOG}, c AS (SELECT run_date, {SECTION_SQL} AS section, count(*) AS n FROM log GROUP BY 1, 2) SELECT d.run_date, s.section, coalesce(n, 0) AS n FROM (SELECT DISTINCT run_date FROM log) d CROSS JOIN (SELECT unnest([{', '.join(map(quoted, stats.DAILY))}]) AS section) s LEFT JOIN c USING (run_date, section)", "run_date")
+def q_log_section_counts(spark, sf):
+    """G1 on the change log."""
+    log = change_log(spark, sf)
+    return stats.daily_counts(log, log)
+
+
+@query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5")
+def q_top_per_group(spark, sf):
+    """L6."""
+    return topk.top_per_group(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), "doc_id"], 5)
+
+
+def event_days(spark, sf):
+    return table(spark, sf, "events").select(F.to_date("ts").alias("run_date"))
+
+
+@query("SELECT DISTINCT CAST(ts AS DATE) AS run_date FROM events ORDER BY 1 DESC LIMIT 7", "run_date")
+def q_latest_n(spark, sf):
+    """L1."""
+    return topk.latest_days(event_days(spark, sf), 7)
+
+
+@query("SELECT run_date, row_number() OVER (ORDER BY run_date DESC) <= 20 AS kept FROM (SELECT DISTINCT CAST(ts AS DATE) AS run_date FROM events)", "run_date")
+def q_retention(spark, sf):
+    """L3."""
+    return topk.retention(event_days(spark, sf), 20)
+
+
+@query("SELECT max(CAST(ts AS DATE)) AS run_date FROM events WHERE CAST(ts AS DATE) <> DATE '2024-01-30'", "run_date")
+def q_prior(spark, sf):
+    """L2, J8."""
+    return topk.prior_day(event_days(spark, sf), "2024-01-30")
+
+
+@query(f"WITH {LOG}, {ALERTS}, r AS (SELECT row_number() OVER (ORDER BY run_date, pos) AS n, count(*) OVER () AS every, run_date, pos, source FROM al WHERE len(words) > 0) SELECT run_date, pos, source, greatest(every - 10, 0) AS more FROM r WHERE n <= 10", "run_date")
+def q_first_alerts(spark, sf):
+    """L5."""
+    first, more = topk.capped_list(A.alerts(change_log(spark, sf), words=OWN_WORDS), ["run_date", "pos"], 10)
+    return first.crossJoin(F.broadcast(more)).select("run_date", "pos", "source", "more")  # ten rows by one
+
+
+@query("WITH d AS (SELECT doc_id, source, left(text, 400) AS text FROM documents WHERE length(text) > 15) SELECT doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY source, left(text, 80) ORDER BY doc_id) = 1")
+def q_ordered_distinct(spark, sf):
+    """J5, E6's rule."""
+    d = table(spark, sf, "documents").filter(F.length("text") > 15).select("doc_id", "source", F.left("text", F.lit(400)).alias("text"))
+    return M.first_wins(d, ["source", E.prefix("text", 80)], ["doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 <> 1")
+def q_union_events(spark, sf):
+    """S8."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    return union_events(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 <> 1"))
+
+
+QUALITY_FATAL = {("t", "orders"): 100, ("t", "none"): 1}
+QUALITY_WARN = {("t", "region"): 50, ("t", "nation"): 5}
+
+
+@query("WITH c AS (SELECT 'orders' AS collection, count(*) AS n FROM orders UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'nation', count(*) FROM nation), l AS (SELECT * FROM (VALUES ('orders', 100::BIGINT, 'fatal'), ('none', 1, 'fatal'), ('region', 50, 'warn'), ('nation', 5, 'warn')) AS v(collection, least, level)) SELECT 't' AS domain, collection, coalesce(n, 0) AS n, least, level, coalesce(n, 0) >= least AS ok FROM l LEFT JOIN c USING (collection)")
+def q_quality(spark, sf):
+    """V1, V2, G7."""
+    counted = None
+    for name in ("orders", "region", "nation"):
+        c = table(spark, sf, name).agg(F.count("*").alias("n")).select(F.lit("t").alias("domain"), F.lit(name).alias("collection"), "n")
+        counted = c if counted is None else counted.unionByName(c)
+    return quality.checks(counted, QUALITY_FATAL, QUALITY_WARN)
+
+
+@query(f"WITH {LOG} SELECT domain, collection, group_key, run_date, pos FROM log WHERE kind = 'header_changed'", "run_date")
+def q_first_run(spark, sf):
+    """V5."""
+    return quality.first_run(change_log(spark, sf)).select("domain", "collection", "group_key", "run_date", "pos")
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages""")
+def q_links(spark, sf):
+    """E4's links by expression."""
+    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("href"))
+
+
+@query()
+def q_html_links(spark, sf):
+    """E4 by the parser."""
+    return H.blocks(table(spark, sf, "pages"), H.LINKS)
+
+
+@query()
+def q_html_blocks(spark, sf):
+    """E7."""
+    return H.blocks(table(spark, sf, "pages"), H.MAIN)
+
+
+def made_pages(spark, sf):
+    """Pages with a table of nations and posts, as the driver's have none."""
+    n = table(spark, sf, "nation").select("n_regionkey", F.concat(F.lit("<tr><td>"), F.col("n_nationkey"), F.lit("</td><td> "), "n_name", F.lit(" </td></tr>")).alias("row"), F.concat(F.lit('<h3><a href="/n/'), F.col("n_nationkey"), F.lit('">'), "n_name", F.lit("</a></h3>")).alias("post"))
+    return n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("row")), "").alias("rows"), F.array_join(F.array_sort(F.collect_list("post")), "").alias("posts")).select(
+        F.col("n_regionkey").alias("page_id"), F.concat(F.lit("<main><table><tr><th>Key</th><th>Name</th></tr>"), "rows", F.lit("</table></main>")).alias("html"), F.col("posts").alias("post_html"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS key, CAST(n_nationkey AS VARCHAR) AS nation, n_name AS name FROM nation")
+def q_html_table(spark, sf):
+    """E2, E3."""
+    t = H.tables(made_pages(spark, sf), links=False)
+    return t.select("key", F.col("cells")[0]["value"].alias("nation"), F.col("cells")[1]["value"].alias("name"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS key, n_name AS title, '/n/' || n_nationkey AS link, '/n/' || n_nationkey AS id FROM nation")
+def q_lab_items(spark, sf):
+    """E5."""
+    return H.posts(made_pages(spark, sf), html="post_html").select("key", "title", "link", "id")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS key, n_nationkey || ' | ' || n_name AS text FROM nation")
+def q_cells_pipe(spark, sf):
+    """E8a, L7."""
+    return H.blocks(made_pages(spark, sf), H.ROWS).select("key", "text")
+
+
+def rss_sql() -> str:
+    esc = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    parts = []
+    for i, (domain, collection, kind, title, said, _) in enumerate(sinks.FEED_BRANCHES):
+        name = quoted(title).replace("{title}", "' || coalesce(title, '') || '").replace("{group}", "' || group_key || '")
+        text = quoted(said) if said else esc("left(coalesce(text, ''), 200)" if collection == "feeds" else "coalesce(text, '')")
+        parts.append(f"SELECT {i} AS ord, pos, group_key, '<item><title>' || {esc(f'({name})')} || '</title><link>' || link || '</link><description>' || {text} || '</description></item>' AS item FROM log WHERE domain = '{domain}' AND collection = '{collection}' AND kind = '{kind}'")
+    return f"WITH {LOG} " + " UNION ALL ".join(parts)
+
+
+@query(rss_sql())
+def q_rss_items(spark, sf):
+    """K3, P14."""
+    return sinks.rss_items(change_log(spark, sf))
+
+
+def digest_sql() -> str:
+    text = {"title": "coalesce(title, '')", "group": "group_key", "text 120": "left(coalesce(text, ''), 120)", "title - text": "coalesce(title, '') || ' - ' || coalesce(text, '')", "title (text)": "coalesce(title, '') || ' (' || coalesce(text, '') || ')'", "title - sunset": "coalesce(title, '') || ' - Sunset: 2030-01-01'", "group: detail": "group_key || ': ' || coalesce(text, '')"}
+    parts = []
+    for i, (section, domain, collection, kind, group, label, content, most) in enumerate(sinks.DIGEST):
+        tag = "'NEWS'" if label == "category" else "left(group_key, 18)" if label == "group 18" else f"'{label.split('group')[0]}' || left(group_key, 8)" if label.endswith("group 8") else quoted(label)
+        cut = f" QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY run_date, pos) <= {most}" if most else ""
+        parts.append(f"(SELECT {i} AS ord, '{section}' AS section, {tag} AS label, {text[content]} AS content, link, group_key, run_date, pos FROM log WHERE domain = '{domain}' AND collection = '{collection}' AND kind = '{kind}'" + (f" AND group_key = '{group}'" if group else "") + cut + ")")
+    return f"WITH {LOG} " + " UNION ALL ".join(parts)
+
+
+@query(digest_sql(), "run_date")
+def q_digest_rows(spark, sf):
+    """K4, P10, P12, L6."""
+    return sinks.digest_rows(change_log(spark, sf))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M UTC') AS minute, strftime(ts, '%B %d, %Y') AS long FROM events")
+def q_stamps(spark, sf):
+    """P15."""
+    return table(spark, sf, "events").select("event_id", *(c.alias(n) for n, c in E.stamps("ts").items()))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, left(text, 14) AS start, coalesce(nullif(source, 'src0'), lang, '#') AS first, coalesce(source, '') || ' ' || coalesce(lang, '') AS spaced, doc_id % 3 || ' change' || CASE WHEN doc_id % 3 <> 1 THEN 's' ELSE '' END AS label FROM documents")
+def q_expressions(spark, sf):
+    """P5, P10, P11, P14, P16."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", E.xml_escape("text").alias("escaped"), E.prefix("text", 14).alias("start"), E.first_filled(F.nullif("source", F.lit("src0")), "lang", otherwise="#").alias("first"), E.spaced("source", "lang").alias("spaced"), E.plural(F.col("doc_id") % 3, "change").alias("label"))
