@@ -5,15 +5,17 @@
    smallest id of a class goes on.
 2. Bands: documents that share a band are candidates.  The number of bands follows from the threshold, so that a pair
    right at the threshold shares none with a probability of ``BAND_MISS`` at most.
-3. Candidates are compared with the smallest id of their band first.  What is not yet connected then is compared with more
-   members of the band, four times as many a round (members by a hash), until every pair of a band is
-   connected or compared.  Groups of copies so cost a comparison a document, and no pair is left out.
-4. A comparison reads the signatures batch by batch and drops the pair once the posterior probability that its
-   similarity reaches the threshold is under ``PRUNE_MISS``; survivors' full sets are compared.
-5. Connected components of the links.
-
-Comparisons run in star order: the member that many are compared with is sent once for every salt, and the others
-stream past it.
+3. Stars: each document is compared with the ``STARS`` members of its bands that come first, by id and by seeded
+   hashes of the id.  Documents of one group meet the same few members there, so most of a group is connected by some
+   comparisons a document.
+4. Tiles: a band that still holds members of several components is cut into blocks, those of its largest component
+   apart from the others, and each pair of blocks but two of the largest component's is a tile.  A tile compares all its pairs of
+   different components and returns a spanning forest of the links, so no pair of a band is left out and no pair is a row.
+5. A comparison reads the signatures batch by batch and drops the pair once the posterior probability that its
+   similarity reaches the threshold is under ``PRUNE_MISS``; the full sets of survivors are compared.
+6. Connected components of the links.
+
+In stars the member that many are compared with is sent once for every salt, and the others stream past it.
 
 Cases: null and empty texts and texts of white space have empty sets and link with nothing; fewer words than a shingle
 make one; rows with the same id are one document; rows with a null id link with nothing and are kept (their component
@@ -36,6 +38,7 @@ from tidemark.llm.common import for_each_salt, keys_join, materialise, read, sal
 from tidemark.llm.components import components
 
 ROWS, BAND_MISS, PRUNE_MISS, STEP, SEED = 5, 1e-6, 1e-9, 20, 7
+STARS, TILE = 3, 384
 SLICE, SALTS = 1 << 20, 16
 U = np.uint64
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -247,7 +250,103 @@ def by_set(percent: int) -> Callable:
     return test
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def shared_counts(sets: list[np.ndarray], n_left: int, chunk: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the first ``n_left`` sets with all others, by products of 0/1 matrices.
+
+    Only hashes that two sets have take a column, and columns are made ``chunk`` at a time.
+    """
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    number = np.cumsum(n > 1) - 1
+    shared = n[column] > 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n_left, len(sets)), np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        a, b = np.searchsorted(column, [at, at + chunk])
+        m = np.zeros((len(sets), chunk), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        out += m[:n_left] @ m.T
+    return out.astype(np.int64)
+
+
+def tile_links(sets: list[np.ndarray], marks: np.ndarray, component: np.ndarray, n_left: int, same_block: bool, threshold: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, other) of the tile's links between different components."""
+    n = np.array([len(s) for s in sets])
+    others = np.arange(0 if same_block else n_left, len(sets))
+    small, large = np.minimum(n[:n_left, None], n[None, others]), np.maximum(n[:n_left, None], n[None, others])
+    may = (component[:n_left, None] != component[None, others]) & (100 * small >= percent * large)
+    if same_block:
+        may &= np.arange(n_left)[:, None] < others[None, :]
+    i, j = np.nonzero(may)
+    j = others[j]
+    matches, done = np.zeros(len(i), np.int64), 0
+    for read, least in least_matches(marks.shape[1], threshold):
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            matches[part] += (marks[i[part], done:read] == marks[j[part], done:read]).sum(1)
+        keep = matches >= least
+        i, j, matches, done = i[keep], j[keep], matches[keep], read
+    if not len(i):
+        return i, j
+    if len(i) > 2000:
+        both = shared_counts(sets, n_left)[i, j]
+    else:
+        both = np.array([int((sets[x][np.minimum(np.searchsorted(sets[x], sets[y]), n[x] - 1)] == sets[y]).sum()) for x, y in zip(i, j, strict=True)])
+    good = 100 * both >= percent * (n[i] + n[j] - both)
+    return i[good], j[good]
+
+
+def tiles(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(a, b): spanning forests of the links of the tiles; rows (band, x, y, side, id, component, signature, payload) sorted by tile."""
+
+    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        whole = pa.Table.from_batches(held)
+        side = np.array(whole.column("side").to_pylist(), bool)
+        order = np.argsort(side, kind="stable")
+        same_block = whole.column("x")[0].as_py() == whole.column("y")[0].as_py()
+        ids = np.array(whole.column("id").to_pylist(), np.int64)[order]
+        component = np.array(whole.column("component").to_pylist(), np.int64)[order]
+        n_left = len(ids) if same_block else int((~side).sum())
+        if len(set(component)) < 2 or not n_left or not same_block and n_left == len(ids):
+            return None
+        payload, signature = whole.column("payload").to_pylist(), whole.column("signature").to_pylist()
+        sets = [np.frombuffer(payload[k], U) for k in order]
+        marks = np.frombuffer(b"".join(signature[k] for k in order), np.uint16).reshape(len(ids), -1)
+        i, j = tile_links(sets, marks, component, n_left, same_block, threshold, percent)
+        label = ids.copy()
+        while len(i):
+            least = label.copy()
+            np.minimum.at(least, i, label[j])
+            np.minimum.at(least, j, label[i])
+            if (least == label).all():
+                break
+            label = least
+        linked = label != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(label[linked])], names=["a", "b"]) if linked.any() else None
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "x", "y")), strict=True))
+            start = 0
+            for at in range(len(keys) + 1):
+                if at == len(keys) or keys[at] != keys[start]:
+                    if at > start:
+                        if keys[start] != key:
+                            if held and (out := answer(held)) is not None:
+                                yield out
+                            key, held = keys[start], []
+                        held.append(batch.slice(start, at - start))
+                    start = at
+        if held and (out := answer(held)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """(id, n_shingles, component, kept) for every row; links: 100 * shared >= percent * all shingles of two documents."""
     threshold = percent / 100
     bands = n_bands(threshold)
@@ -256,57 +355,54 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Classes of equal sets.
     known = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    several = materialise(classes.filter("n > 1").select("digest", "rep"))
+    several = materialise(known.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("digest", "rep"))
     copies = salted(known.select("id", "digest"), "id", SALTS).join(for_each_salt(several, SALTS), ["digest", "__salt"]).filter("id <> rep").select("id", "rep")
     copies = materialise(copies.distinct())
-    n_copies = copies.count()
-    reps = keys_join(known, copies.select("id"), "id", "left_anti", n_copies)
+    reps = keys_join(known, copies.select("id"), "id", "left_anti", copies.count())
 
-    # Bands with more than one class.
+    # Members of the bands that more than one class shares, with each band's first members.
+    place = lambda i: F.col("id") if i == 0 else F.xxhash64(F.lit(SEED + i), "id")
     banded = reps.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(shared)
+    firsts = [F.min(F.struct(place(i).alias("at"), F.col("id").alias("a"))).alias(f"first{i}") for i in range(STARS)]
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("size"), *firsts).filter("size > 1").drop("size"))
     n_shared = shared.count()
     if n_shared <= 100_000:
         members = banded.join(F.broadcast(shared), "band")
     else:
         members = salted(banded, "id", SALTS).join(for_each_salt(shared, SALTS), ["band", "__salt"]).drop("__salt")
-    members = materialise(members.select("band", "id", "leader", "size"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold: by signatures first, then by full sets."""
-        pairs = materialise(pairs.filter("a <> b").distinct())
-
-        def needed(items: DataFrame, pairs: DataFrame) -> DataFrame:
-            ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-            return keys_join(items, ids, "id", "left_semi", ids.count())
-
-        marks = needed(sketched.filter("signature IS NOT NULL").select("id", F.col("signature").alias("payload")), pairs)
-        likely = materialise(compare(pairs, marks, by_signature(threshold, bands * ROWS)))
-        return materialise(compare(likely, full_sets(needed(given, likely), words), by_set(percent)))
-
-    found = links(members.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    members = materialise(members)
+
+    def needed(items: DataFrame, ids: DataFrame) -> DataFrame:
+        ids = materialise(ids.distinct())
+        return keys_join(items, ids, "id", "left_semi", ids.count())
+
+    # Stars: of all its bands' first members, a document is compared with the very first, for each of the orders.
+    first = members.groupBy("id").agg(*(F.min(f"first{i}").alias(f"first{i}") for i in range(STARS)))
+    pairs = materialise(first.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array(*(f"first{i}.a" for i in range(STARS))))).alias("a")).filter("a <> b"))
+    signed = materialise(needed(sketched.filter("signature IS NOT NULL").select("id", "signature"), members.select("id")))
+    likely = materialise(compare(pairs, signed.select("id", F.col("signature").alias("payload")), by_signature(threshold, bands * ROWS)))
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    found = materialise(compare(likely, full_sets(needed(given, ends), words), by_set(percent)))
     grouped = materialise(components(found))
-    tried = 0.0
-    share = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / float(1 << 30)
-    # Bands of two are done; larger ones are as long as they hold members of several components.
-    open_members = members.filter("size > 2")
-    while True:
-        more = max(8.0, 4 * tried)
-        at = open_members.join(grouped.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        still = at.filter(F.col("size") > tried).groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-        still = materialise(still)
-        if not still.count():
-            break
-        apart = materialise(salted(at, "id", SALTS).join(for_each_salt(still, SALTS), ["band", "__salt"]))
-        hubs = apart.filter("id <> leader").filter((share * F.col("size") >= tried) & (share * F.col("size") < more))
-        hubs = for_each_salt(hubs.select("band", F.col("id").alias("a"), F.col("component").alias("x")), SALTS)
-        pairs = apart.filter("id <> leader").select("band", "__salt", F.col("id").alias("b"), F.col("component").alias("y")).join(hubs, ["band", "__salt"]).filter("x <> y")
-        fresh = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        found = found.unionByName(fresh)
-        grouped = materialise(components(found))
-        open_members, tried = apart.select("band", "id", "leader", "size"), more
+
+    # Tiles: bands with several components, the largest one's members in blocks of their own.
+    at = materialise(members.select("band", "id").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = at.groupBy("band", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / tile).cast("int")
+    open_ = materialise(open_.select("band", F.col("most.component").alias("largest"), blocks(F.col("n") - F.col("most.n")).alias("small"), blocks(F.col("most.n")).alias("large")))
+    apart = salted(at, "id", SALTS).join(for_each_salt(open_, SALTS), ["band", "__salt"]).drop("__salt")
+    apart = apart.withColumn("outside", F.col("component") != F.col("largest"))
+    apart = apart.withColumn("own", F.pmod(F.xxhash64(F.lit(SEED), "id", "band"), F.when(F.col("outside"), F.col("small")).otherwise(F.col("large"))).cast("int"))
+    cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.alias("side"))
+    among = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda j: cell(F.least("own", j), F.greatest("own", j), F.col("own") > j))
+    against = F.transform(F.sequence(F.lit(0), F.col("large") - 1), lambda j: cell(F.col("own"), F.col("small") + j, F.lit(False)))
+    inside = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda i: cell(i, F.col("small") + F.col("own"), F.lit(True)))
+    apart = materialise(apart.withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(among, against)).otherwise(inside))).select("band", "cell.*", "id", "component"))
+    sets = full_sets(needed(given, apart.select("id")), words).join(signed, "id")
+    dealt = apart.join(sets, "id").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    more = materialise(tiles(dealt, threshold, percent))
+    grouped = materialise(components(found.unionByName(more)))
 
     # Back to all rows: from a copy to its class, from the class to its component.
     of_copies = salted(copies, "id", SALTS).join(for_each_salt(grouped.select(F.col("id").alias("rep"), "component"), SALTS), ["rep", "__salt"], "left")
