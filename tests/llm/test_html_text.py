@@ -23,6 +23,7 @@ CASES = {
         f"<body><div class='top'><a>1</a> <a>2</a> <a>3</a></div><div class='text'><h1>T</h1><p>{LONG}</p><p>short</p><p>{LONG}</p></div><div><a>x</a> <a>y</a></div></body>",
         f"T\n\n{LONG.strip()}\n\nshort\n\n{LONG.strip()}",
     ),
+    "title before the text": (f"<body><div id='top'>x</div><h1>T</h1><div class='text'><p>{LONG}</p><p>{LONG}</p></div></body>", f"T\n\n{LONG.strip()}\n\n{LONG.strip()}"),
     "cookie notice": (f"<div role='dialog'>We use cookies</div><div class='cookie-notice'>ok?</div><article><p>{LONG}</p></article>", LONG.strip()),
     "wrappers aren't boilerplate": ("<div class='page has-sidebar'><article class='post'><p>x</p></article></div>", "x"),
     "list and table": ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),

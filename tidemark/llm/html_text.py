@@ -32,8 +32,8 @@ DROPPED = set("script style noscript template head title nav footer aside form b
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted sidebar sidebars rail widget widgets "
-    "menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer foot colophon cookie cookies consent gdpr notice notices popup modal overlay paywall newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond discussion pagination pager copyright hidden".split()
+    "menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer foot colophon cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay paywall newsletter subscribe "
+    "subscription signup login share sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond responses discussion pagination pager copyright hidden".split()
 )
 THRESHOLD = 0.5
 PAGE_HEADER = {"header", "head"}
@@ -49,6 +49,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags, self.number = 0, 0
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.titles: set[int] = set()  # lines in an h1
         self.articles: set[int] = set()
         self.mains: set[int] = set()
 
@@ -59,6 +60,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
+            if any(tag == "h1" for tag, _, _ in self.open):
+                self.titles.add(len(self.lines))
             self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), bool(self.open) and self.open[-1][2]))
             self.tags = 0
         self.parts.clear()
@@ -160,6 +163,9 @@ def content_blocks(html: str) -> list[str]:
         chosen = {max((n for n, w in weights.items() if w >= 0.9 * whole), default=0)}
         if chosen == {0}:
             return [text for text, _, _, gone in lines if not gone]
+        # A title may stand before the element that holds the rest.
+        first = next(i for i, line in enumerate(lines) if not line[3] and chosen.intersection(line[2]))
+        return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i < first and i in page.titles)]
     return [text for text, _, held, gone in lines if not gone and chosen.intersection(held)]
 
 
