@@ -57,6 +57,8 @@ def keyed_diff(old: DataFrame, new: DataFrame, by: str, transitions: Sequence[Tr
 
     ``order`` names the position columns where keys may repeat inside a snapshot (the last record then counts).
     """
+    if set(old.columns) == set(new.columns):
+        old = old.select(*new.columns)
     if order:
         old, new = last_wins(old, by, order), last_wins(new, by, order)
     o = old.filter(F.col(by).isNotNull()).select(key(by).alias("entity_key"), F.struct(*old.columns).alias("o"))
