@@ -43,8 +43,7 @@ def merge_changes(changes: DataFrame, strict: bool = True) -> DataFrame:
     keep their last; some collections only what the first day had.  ``strict``: a list that no later day touches keeps
     its duplicates, as the day's log has them.
     """
-    day = changes.agg(F.min("run_date").alias("first"))
-    rows = changes.crossJoin(F.broadcast(day))  # one row
+    rows = changes.withColumn("first", changes.agg(F.min("run_date")).scalar())
     frozen = F.lit(False)
     for domain, collection, kind in FIRST_DAY_ONLY:
         here = (F.col("domain") == domain) & (F.col("collection") == collection)
@@ -59,10 +58,10 @@ def merge_changes(changes: DataFrame, strict: bool = True) -> DataFrame:
         always = F.lit(False)
         for domain, collection in ALWAYS_TOUCHED:
             always = always | ((F.col("domain") == domain) & (F.col("collection") == collection))
-        days = changes.select(F.countDistinct("run_date").alias("days"))
+        days = changes.select(F.countDistinct("run_date")).scalar()
         last = lists.groupBy("domain", "collection", "group_key", "kind").agg(F.max("run_date").alias("last"))
         nulls_equal = [F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}")) for c in at]
-        lists = lists.alias("l").join(last.alias("t"), nulls_equal).select("l.*", "t.last").crossJoin(F.broadcast(days))
+        lists = lists.alias("l").join(last.alias("t"), nulls_equal).select("l.*", "t.last").withColumn("days", days)
         touched = (always & (F.col("days") > 1)) | (F.col("last") > F.col("first"))
         lists = lists.filter((F.col("__n") == 1) | ~touched).drop("last", "days")
     else:

@@ -360,7 +360,7 @@ DAYS = "WITH c AS (SELECT CAST(ts AS DATE) AS run_date, event_type AS section, c
 def event_counts(spark, sf):
     d = table(spark, sf, "events").select(F.to_date("ts").alias("run_date"), F.col("event_type").alias("section"), "user_id")
     counted = d.groupBy("run_date", "section").agg(F.count_if(F.col("user_id") % 3 == 0).alias("n"))
-    every = counted.select("run_date").distinct().crossJoin(counted.select("section").distinct())  # days by sections, both few
+    every = counted.select("run_date").distinct().withColumn("section", F.explode(counted.agg(F.collect_set("section")).scalar()))
     return every.join(counted, ["run_date", "section"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -425,7 +425,7 @@ def q_prior(spark, sf):
 def q_first_alerts(spark, sf):
     """L5."""
     first, more = topk.capped_list(A.alerts(change_log(spark, sf), words=OWN_WORDS), ["run_date", "pos"], 10)
-    return first.crossJoin(F.broadcast(more)).select("run_date", "pos", "source", "more")  # ten rows by one
+    return first.select("run_date", "pos", "source", more.scalar().alias("more"))
 
 
 @query("WITH d AS (SELECT doc_id, source, left(text, 400) AS text FROM documents WHERE length(text) > 15) SELECT doc_id, source FROM d QUALIFY row_number() OVER (PARTITION BY source, left(text, 80) ORDER BY doc_id) = 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -68,14 +69,14 @@ def as_json(changes: DataFrame, indent: int = 2) -> str:
 
 def rss_items(changes: DataFrame, branches=FEED_BRANCHES, alert_rows: DataFrame | None = None, alert_link: str = "#") -> DataFrame:
     """K3: (ord, pos, item) of the feed; alerts carry their title and terms."""
-    out = None
+    row = None
     for i, (domain, collection, kind, title, said, link) in enumerate(branches):
-        parts = [default("title") if p == "{title}" else default("group_key") if p == "{group}" else F.lit(p) for p in title.replace("{title}", "\0{title}\0").replace("{group}", "\0{group}\0").split("\0") if p]
-        name = F.concat(*parts) if len(parts) > 1 else parts[0]
-        text = F.lit(said) if said else xml_escape(F.left(default("text"), F.lit(200)) if collection == "feeds" else default("text"))
-        item = F.concat(F.lit("<item><title>"), xml_escape(name), F.lit("</title><link>"), first_filled("link", otherwise=link), F.lit("</link><description>"), text, F.lit("</description></item>"))
-        rows = changes.filter(here(domain, collection, kind)).select(F.lit(i).alias("ord"), "pos", default("group_key").alias("group_key"), item.alias("item"))
-        out = rows if out is None else out.unionByName(rows)
+        parts = [default("title") if p == "{title}" else default("group_key") if p == "{group}" else F.lit(p) for p in re.split(r"(\{title\}|\{group\})", title) if p]
+        text = F.lit(said) if said else F.left(default("text"), F.lit(200)) if collection == "feeds" else default("text")
+        value = F.struct(F.lit(i).alias("ord"), F.concat(*parts).alias("name"), text.alias("said"), first_filled("link", otherwise=link).alias("to"))
+        row = (F.when if row is None else row.when)(here(domain, collection, kind), value)
+    item = F.concat(F.lit("<item><title>"), xml_escape("r.name"), F.lit("</title><link>"), F.col("r.to"), F.lit("</link><description>"), xml_escape("r.said"), F.lit("</description></item>"))
+    out = changes.select(row.alias("r"), "pos", default("group_key").alias("group_key")).filter("r IS NOT NULL").select("r.ord", "pos", "group_key", item.alias("item"))
     if alert_rows is not None:
         item = F.concat(F.lit("<item><title>ALERT: "), xml_escape(F.concat_ws(" ", "source", "title")), F.lit(f"</title><link>{alert_link}</link><description>"), xml_escape(F.array_join("matched_keywords", ", ")), F.lit("</description></item>"))
         out = out.unionByName(alert_rows.select(F.lit(len(branches)).alias("ord"), "pos", F.lit("").alias("group_key"), item.alias("item")))
