@@ -8,7 +8,7 @@
 3. Stars: each document is compared with the ``STARS`` members of its bands that come first, by id and by seeded
    hashes of the id.  Documents of one group meet the same few members there, so most of a group is connected by some
    comparisons a document.
-4. Tiles: a band that still holds members of several components is cut into blocks, those of its largest component
+4. Tiles: a band that still holds members of several components (one of those with the same members) is cut into blocks, those of its largest component
    apart from the others, and each pair of blocks but two of the largest component's is a tile.  A tile compares all its pairs of
    different components and returns a spanning forest of the links, so no pair of a band is left out and no pair is a row.
 5. A comparison reads the signatures batch by batch and drops the pair once the posterior probability that its
@@ -387,8 +387,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Tiles: bands with several components, the largest one's members in blocks of their own.
     at = materialise(members.select("band", "id").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    parts = at.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).filter("parts > 1")
+    # Bands with the same members (told by their number and two sums of hashes) need one look.
+    marks = [F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("m1")]
+    parts = at.groupBy("band", "component").agg(F.count("*").alias("n"), *marks)
+    every = [F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("m0").cast("decimal(38,0)")).alias("m0"), F.bit_xor("m1").alias("m1"), F.max(F.struct("n", "component")).alias("most")]
+    open_ = parts.groupBy("band").agg(*every).filter("parts > 1").groupBy("n", "m0", "m1").agg(F.min("band").alias("band"), F.first("most").alias("most"))
     blocks = lambda n: F.ceil(n / tile).cast("int")
     open_ = materialise(open_.select("band", F.col("most.component").alias("largest"), blocks(F.col("n") - F.col("most.n")).alias("small"), blocks(F.col("most.n")).alias("large")))
     apart = salted(at, "id", SALTS).join(for_each_salt(open_, SALTS), ["band", "__salt"]).drop("__salt")
