@@ -66,7 +66,7 @@ def test_bounds_lose_no_pair():
         base = rnd.standard_normal(dims)
         x = np.stack([base + rnd.standard_normal(dims) * s for s in np.linspace(0, 0.5, 200)])
         x /= np.linalg.norm(x, axis=1)[:, None]
-        q, s, err = map(np.array, zip(*(e.quantised(v) for v in x)))
+        q, s, err = e.quantised(x)
         may = e.possible(q, s, err, q, s, err, 0.95)
         real = x @ x.T
         assert may[real >= 0.95].all()

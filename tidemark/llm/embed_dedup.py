@@ -6,7 +6,7 @@
    pair right at the threshold shares no bucket with a probability of ``MISS`` at most (closer pairs with less).
 3. A bucket is cut into blocks of about ``TILE`` vectors, and each pair of blocks is a tile of its own, so no bucket has
    to fit into one task.
-4. A tile multiplies the vectors quantised to int8.  A vector's quantisation error e is known exactly; with |x| = 1 the
+4. A tile quantises its vectors to int8 and multiplies those.  A vector's quantisation error e is known exactly; with |x| = 1 the
    product is off by at most ex (1 + ey) + ey.  Pairs that may reach the threshold are computed again in double
    precision from the vectors as given, and only those count.  A pair counts in the first table where both share a bucket.
 5. A tile returns for each vector how many it linked with, and a spanning forest of its links instead of the links.
@@ -43,15 +43,16 @@ def directions(dims: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dims]).standard_normal((dims, bits * tables)).astype(np.float32)
 
 
-def vectors_of(column: pa.Array, wide: bool) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.float64 if wide else np.float32).astype(np.float64) for v in column.to_pylist()]
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(int8 vectors, scales, errors) of unit vectors; an error bounds the length of x - scale * vector from above."""
+    scale = np.abs(x).max(axis=1) / 127
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    return q, scale, np.linalg.norm(x - scale[:, None] * q, axis=1) * (1 + 1e-9) + 1e-12
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(int8 vector, scale, error): ``error`` bounds the length of x - scale * vector from above."""
-    scale = float(np.abs(x).max()) / 127
-    q = np.rint(x / scale).astype(np.int8)
-    return q, scale, float(np.linalg.norm(x - scale * q)) * (1 + 1e-9) + 1e-12
+def rows_of(values: list[bytes], kind) -> np.ndarray:
+    """Byte strings of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
 def packed(given: DataFrame, wide: bool) -> DataFrame:
@@ -77,28 +78,30 @@ def packed(given: DataFrame, wide: bool) -> DataFrame:
 
 
 def bucketed(classes: DataFrame, wide: bool, bits: int, tables: int) -> DataFrame:
-    """(id, n, raw, q, scale, error, codes): codes has the bucket of every table."""
+    """(id, n, raw, codes, marks): the bucket of every table, as numbers with the dimension and as bytes without it."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                out = {"q": [], "scale": [], "error": [], "codes": []}
-                for x in vectors_of(part.column("raw"), wide):
-                    x = x / np.linalg.norm(x)
-                    q, scale, error = quantised(x)
-                    if len(x) not in planes:
-                        planes[len(x)] = directions(len(x), bits, tables)
-                    sign = (x.astype(np.float32) @ planes[len(x)] > 0).reshape(tables, bits)
-                    code = sign @ (1 << np.arange(bits, dtype=np.int64)) + (len(x) << 40)
-                    for k, v in zip(out, (q.tobytes(), scale, error, code), strict=True):
-                        out[k].append(v)
-                columns = [part.column(c) for c in ("id", "n", "raw")]
-                columns += [pa.array(out["q"], pa.binary()), pa.array(out["scale"], pa.float64()), pa.array(out["error"], pa.float64()), pa.array(out["codes"], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "raw", "q", "scale", "error", "codes"])
-
-    return classes.mapInArrow(run, "id bigint, n bigint, raw binary, q binary, scale double, error double, codes array<bigint>")
+                raw = part.column("raw").to_pylist()
+                codes, marks = [None] * len(raw), [None] * len(raw)
+                for size in {len(r) for r in raw}:
+                    here = [i for i, r in enumerate(raw) if len(r) == size]
+                    x = rows_of([raw[i] for i in here], np.float64 if wide else np.float32).astype(np.float64)
+                    dims = x.shape[1]
+                    if dims not in planes:
+                        planes[dims] = directions(dims, bits, tables)
+                    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+                    code = (x @ planes[dims] > 0).reshape(len(here), tables, bits) @ weights
+                    for i, c in zip(here, code, strict=True):
+                        codes[i], marks[i] = c + (dims << 40), c.astype(np.int32).tobytes()
+                columns = [part.column(c) for c in ("id", "n", "raw")] + [pa.array(codes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "raw", "codes", "marks"])
+
+    return classes.mapInArrow(run, "id bigint, n bigint, raw binary, codes array<bigint>, marks binary")
 
 
 def possible(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, sb: np.ndarray, eb: np.ndarray, threshold: float) -> np.ndarray:
@@ -142,22 +145,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def tiles(rows: DataFrame, wide: bool, threshold: float) -> DataFrame:
     """(id, links, root) from rows sorted by tile: (table, code, x, y, side, ...)."""
 
-    def block(columns: dict[str, list]) -> dict:
-        raw = np.stack([np.frombuffer(v, np.float64 if wide else np.float32) for v in columns["raw"]]).astype(np.float64)
-        return {
-            "id": np.array(columns["id"], np.int64), "n": np.array(columns["n"], np.int64), "raw": raw, "norm": np.linalg.norm(raw, axis=1),
-            "q": np.stack([np.frombuffer(v, np.int8) for v in columns["q"]]), "scale": np.array(columns["scale"]), "error": np.array(columns["error"]), "codes": np.array(columns["codes"], np.int64),
-        }
+    def block(ids: np.ndarray, n: np.ndarray, raw: list[bytes], marks: list[bytes]) -> dict:
+        raw = rows_of(raw, np.float64 if wide else np.float32).astype(np.float64)
+        norm = np.linalg.norm(raw, axis=1)
+        q, scale, error = quantised(raw / norm[:, None])
+        return {"id": ids, "n": n, "raw": raw, "norm": norm, "q": q, "scale": scale, "error": error, "codes": rows_of(marks, np.int32)}
 
     def answer(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(held)
-        sides = np.array(whole.column("side").to_pylist())
-        columns = {c: whole.column(c).to_pylist() for c in ("id", "n", "raw", "q", "scale", "error", "codes")}
-        part = [{c: [v[k] for k in np.flatnonzero(sides == s)] for c, v in columns.items()} for s in (0, 1)]
-        if not part[0]["id"] or key[2] != key[3] and not part[1]["id"]:
+        side = np.array(whole.column("side").to_pylist(), np.int64)
+        ids, n = (whole.column(c).to_numpy() for c in ("id", "n"))
+        raw, marks = whole.column("raw").to_pylist(), whole.column("marks").to_pylist()
+        parts = [np.flatnonzero(side == s) for s in (0, 1)]
+        if not len(parts[0]) or key[2] != key[3] and not len(parts[1]):
             return None
-        a = block(part[0])
-        b = None if key[2] == key[3] else block(part[1])
+        a, b = (block(ids[p], n[p], [raw[k] for k in p], [marks[k] for k in p]) if len(p) else None for p in parts)
         i, j = tile_links(a, b, key[0], threshold)
         if not len(i):
             return None
@@ -172,7 +174,7 @@ def tiles(rows: DataFrame, wide: bool, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            keys = np.stack([np.array(batch.column(c).to_pylist(), np.int64) for c in ("table", "code", "x", "y")], 1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "code", "x", "y")], 1)
             if not len(keys):
                 continue
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -200,11 +202,11 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     keyed = vectors_in.select("id", F.posexplode("codes").alias("table", "code"))
     sizes = keyed.groupBy("table", "code").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = sizes.select("table", "code", F.ceil(F.col("size") / tile).cast("int").alias("blocks"))
-    placed = vectors_in.select("*", F.posexplode("codes").alias("table", "code"))
+    placed = vectors_in.select("id", "n", "raw", "marks", F.posexplode("codes").alias("table", "code"))
     placed = salted(placed, "id", SALTS).join(for_each_salt(sizes, SALTS), ["table", "code", "__salt"]).drop("__salt")
     own = F.pmod(F.xxhash64(F.lit(SEED), "id", "table"), F.col("blocks")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("table", "code", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "raw", "q", "scale", "error", "codes")
+    dealt = dealt.select("table", "code", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "raw", "marks")
     found = materialise(tiles(dealt.repartition("table", "code", "x", "y").sortWithinPartitions("table", "code", "x", "y"), wide, threshold))
 
     grouped = components(found.filter("id <> root"), "id", "root")
