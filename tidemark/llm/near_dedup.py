@@ -39,6 +39,8 @@ from tidemark.llm.components import components
 
 ROWS, BAND_MISS, PRUNE_MISS, STEP, SEED = 5, 1e-6, 1e-9, 20, 7
 STARS, TILE = 3, 384
+#: Shared bands are broadcast up to this many rows (some 200 bytes each in a hash table); beyond it the join is salted.
+BROADCAST_BANDS = 100_000
 SLICE, SALTS = 1 << 20, 16
 U = np.uint64
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -366,7 +368,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = [F.min(F.struct(place(i).alias("at"), F.col("id").alias("a"))).alias(f"first{i}") for i in range(STARS)]
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("size"), *firsts).filter("size > 1").drop("size"))
     n_shared = shared.count()
-    if n_shared <= 100_000:
+    if n_shared <= BROADCAST_BANDS:
         members = banded.join(F.broadcast(shared), "band")
     else:
         members = salted(banded, "id", SALTS).join(for_each_salt(shared, SALTS), ["band", "__salt"]).drop("__salt")
