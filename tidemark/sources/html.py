@@ -26,6 +26,18 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 SCOPES = frozenset("table td th button".split())
 
 
+def feed(parser: HTMLParser, html: str) -> None:
+    """Feed a whole page.
+
+    Behind the last ``>`` no tag can end, so what stands there is text up to an unclosed comment; the parser would look for
+    an end from each ``<`` again.
+    """
+    last = html.rfind(">") + 1
+    parser.feed(html[:last])
+    parser.feed(html[last:].partition("<!--")[0].replace("<", "&lt;"))
+    parser.close()
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -74,12 +86,13 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         names, bounds = ENDS.get(tag, ("", frozenset()))
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if names or tag in ENDS_P else ():
             name = self.open[i].tag
             if name in names.split() or (tag in ENDS_P and name == "p"):
                 del self.open[i:]
                 break
-            if name in bounds or (not bounds and name in SCOPES):
+            # An open paragraph holds no block, so none is beyond the nearest block.
+            if name in bounds or (not bounds and (name in SCOPES or name in ENDS_P)):
                 break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
@@ -101,8 +114,7 @@ class Tree(HTMLParser):
 
 def parse(html: str | None) -> Node:
     tree = Tree()
-    tree.feed(html or "")
-    tree.close()
+    feed(tree, html or "")
     return tree.root
 
 
