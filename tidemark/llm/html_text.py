@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
+from tidemark.sources.html import feed
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -45,7 +46,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, boilerplate
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, boilerplate, in an article, in an h1
         self.parts: list[str] = []
         self.tags, self.number = 0, 0
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
@@ -60,9 +61,9 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            if any(tag == "h1" for tag, _, _ in self.open):
+            if self.open and self.open[-1][4]:
                 self.titles.add(len(self.lines))
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), bool(self.open) and self.open[-1][2]))
+            self.lines.append((text, self.tags, tuple([o[1] for o in self.open]), bool(self.open) and self.open[-1][2]))
             self.tags = 0
         self.parts.clear()
 
@@ -71,7 +72,7 @@ class Lines(HTMLParser):
             return False
         if tag in DROPPED:
             return True
-        inside = any(n in self.articles for _, n, _ in self.open)
+        inside = bool(self.open) and self.open[-1][3]
         if tag == "header":
             return not inside
         given = {k: v or "" for k, v in attrs}
@@ -100,11 +101,12 @@ class Lines(HTMLParser):
             self.articles.add(self.number)
         if not gone and (tag == "main" or dict(attrs).get("role") == "main"):
             self.mains.add(self.number)
-        self.open.append((tag, self.number, gone))
+        article, title = self.open[-1][3:] if self.open else (False, False)
+        self.open.append((tag, self.number, gone, article or self.number in self.articles, title or tag == "h1"))
 
     def implied(self, tag: str) -> None:
         if tag in ("body", "main", "article"):
-            for i, (name, _, _) in enumerate(self.open):
+            for i, (name, *_) in enumerate(self.open):
                 if name == "head":
                     del self.open[i:]
                     break
@@ -143,8 +145,7 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndar
 def content_blocks(html: str) -> list[str]:
     """The main text's blocks in page order."""
     page = Lines()
-    page.feed(html)
-    page.close()
+    feed(page, html)
     page.flush()
     lines = page.lines
     if not lines:
