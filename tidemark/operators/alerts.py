@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import default, hits, spaced
 from tidemark.functions.vocab import REST, WATCHED
 
+# What is scanned, and how an alert names its source and kind.
 #: (domain, collection, kind, group or None, source, alert kind, scanned text); a {} takes the group's name.
 #: Text: title, text, group, ``title text`` joined by a space; alert kind None is the row's category.
 BRANCHES = (

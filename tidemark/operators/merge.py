@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import default
 
+# How a merge treats the collections.
 #: (domain, collection, kind or None) of which a merge keeps only the first day's rows.
 FIRST_DAY_ONLY = (("cc_portal", "products", None), ("niap", "cctls", None), ("csfc", "pages", "removed"), ("cc_crypto", "pages", "removed"), ("nist", "pages", "removed"))
 #: List collections that a later day always touches, whether it has rows or not.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What each section counts.
 #: section: (domain, collection, kinds); the statistic that it counts into
 SECTIONS = {
     "niap_pp": (("niap", "pps", ("added", "removed", "sunset_change", "status_change")), "niap"),

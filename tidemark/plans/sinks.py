@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import default, first_filled, xml_escape
 
+# Wording and order of feed and digest.
 #: Branches of the feed in order: (domain, collection, kind, title with {title} or {group}, fixed description or None, link if none).
 FEED_BRANCHES = (
     ("niap", "pps", "added", "New PP: {title}", None, ""),

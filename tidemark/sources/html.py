@@ -169,6 +169,7 @@ class Blocks:
         return found
 
 
+# Containers, tags, lengths and cuts of the monitored sites' pages.
 NEWS = Blocks(("div#main", "div.main"), ("p", "li"), 20, sep="")
 LINKS = Blocks(("div#main",), ("a",), 0, sep="")
 PANE = Blocks(("div#ContentPane", "main", "div.field-items"), ("p", "li", "h2", "h3", "h4"), 15, 400, 80)
