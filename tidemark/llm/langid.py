@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 
-BUCKETS, PER_LANGUAGE, PIECE, EPOCHS, COST = 1 << 13, 300, 1 << 20, 15, 10.0
+BUCKETS, PER_LANGUAGE, PIECE, EPOCHS, COST = 1 << 13, 200, 1 << 20, 15, 10.0
 UNKNOWN = "und"
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
@@ -68,19 +68,20 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights (the bias last) of an L2-loss linear SVM, by dual coordinate descent; classes count alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     cost = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * COST
-    w, a = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    diag = (x * x).sum(1) + 0.5 / cost
+    w, bias, a = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x))
+    diag = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / cost
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + a[i] * 0.5 / cost[i]
+            g = y[i] * (float(x[i] @ w) + bias) - 1 + a[i] * 0.5 / cost[i]
             new = max(a[i] - g / diag[i], 0.0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 a[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -143,17 +144,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     some = rows.withColumn("place", place).filter(F.col("place") < F.element_at(rate, F.col("label")))
     first = some.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("all")).select("label", F.explode(F.slice("all", 1, per_language)).alias("at"))
     picked = some.join(F.broadcast(first.select("label", "at.place", "at.id")), ["label", "place", "id"], "left_semi")
-    kind = "label string, place bigint, x array<float>"
+    kind = "label string, place bigint, x binary"
 
     def featured(batches):
         for batch in batches:
             for label, at, body in zip(*(batch.column(c).to_pylist() for c in ("label", "place", "body")), strict=True):
                 if body and LETTER(body):
-                    yield pa.RecordBatch.from_pydict({"label": [label], "place": [at], "x": [features(body)]}, schema=pa.schema([("label", pa.string()), ("place", pa.int64()), ("x", pa.list_(pa.float32()))]))
+                    yield pa.RecordBatch.from_pydict({"label": [label], "place": [at], "x": [features(body).tobytes()]}, schema=pa.schema([("label", pa.string()), ("place", pa.int64()), ("x", pa.binary())]))
 
-    sample = sorted(picked.select("label", "place", "body").mapInArrow(featured, kind).toArrow().to_pylist(), key=lambda r: (r["label"], r["place"], r["x"]))
-    x = np.array([r["x"] for r in sample], dtype=np.float32).reshape(len(sample), BUCKETS)
-    return Model(x, [r["label"] for r in sample])
+    sample = picked.select("label", "place", "body").mapInArrow(featured, kind).toArrow()
+    rows = sorted(zip(*(sample.column(c).to_pylist() for c in ("label", "place", "x")), strict=True))
+    del sample
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), BUCKETS)
+    return Model(x, [r[0] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
