@@ -203,7 +203,7 @@ o AS (SELECT * FROM i WHERE turn < 2), n AS (SELECT * FROM i WHERE turn >= 2)"""
 def feed_pair(spark, sf):
     c = table(spark, sf, "conversations")
     k = F.col("conv_id")
-    i = c.select("conv_id", "turn", "role", F.when(k % 5 != 0, k.cast("string")).alias("id"), F.when(k % 10 != 0, F.left("text", F.lit(40))).alias("title"), F.concat(F.lit("l"), k).alias("link"))
+    i = c.select("conv_id", "turn", "role", F.when(k % 5 != 0, k.cast("string")).alias("id"), F.when(k % 10 != 0, F.col("text")).alias("title"), F.concat(F.lit("l"), k).alias("link"))
     return i.filter("turn < 2"), i.filter("turn >= 2")
 
 
@@ -282,14 +282,14 @@ LOG_KINDS = [("niap", "pps", "added"), ("niap", "pps", "sunset_change"), ("niap"
 
 
 def change_log(spark, sf) -> DataFrame:
-    """Documents as changes of 18 kinds over 7 days."""
+    """Whole documents as changes of 18 kinds over 7 days."""
     k = F.col("doc_id")
     kinds = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(c).alias("collection"), F.lit(x).alias("kind")) for d, c, x in LOG_KINDS))
     d = table(spark, sf, "documents").select(k, "text", "source", F.element_at(kinds, (k % len(LOG_KINDS) + 1).cast("int")).alias("k"))
     return d.select(
         "k.*", F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("run_date"), F.when(k % 4 == 0, "apl").otherwise(F.col("source")).alias("group_key"),
-        k.cast("string").alias("entity_key"), k.cast("int").alias("pos"), F.left("text", F.lit(300)).alias("title"), F.substring("text", 301, 300).alias("text"), F.concat(F.lit("u/"), k).alias("link"),
-        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("old_value"), F.lit("2030-01-01T00:00").alias("new_value"), F.left("text", F.lit(200)).alias("payload"),
+        k.cast("string").alias("entity_key"), k.cast("int").alias("pos"), F.col("text").alias("title"), "text", F.concat(F.lit("u/"), k).alias("link"),
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("old_value"), F.lit("2030-01-01T00:00").alias("new_value"), F.col("text").alias("payload"),
     )
 
 
