@@ -68,3 +68,18 @@ def test_rows(spark):
     got = {(r.id, r.url): r.text for r in h.extract(df).collect()}
     assert got == {(1, None): "", (None, "u"): "", (2, "u"): ("word " * 100_000).strip(), (3, "u"): "deep"}
     assert h.extract(df).count() == 5 and h.extract(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = f"<p>{LONG}</p>" * 3
+BODY = "\n\n".join([LONG.strip()] * 3)
+
+
+@pytest.mark.parametrize("card", ["<article><h3>Card</h3><p>See this too</p></article>", "<main><article><h3>Card</h3></article></main>", "<div itemprop='articleBody'>Card</div>"])
+def test_a_marked_card_beside_the_body(card):
+    for page in (f"<body><div>{PARAGRAPHS}</div>{card}</body>", f"<body>{card}<div>{PARAGRAPHS}</div></body>"):
+        assert BODY in h.main_text(page)
+
+
+def test_links_alone_outside_an_article_weigh_nothing():
+    links = "".join(f"<p><a href='/{i}'>{LONG}</a></p>" for i in range(9))
+    assert h.main_text(f"<body><article><h1>T</h1>{PARAGRAPHS}</article><div>{links}</div></body>") == f"T\n\n{BODY}"

@@ -4,8 +4,10 @@ The standard library's parser streams a page's events.  Block-level tags end a l
 tags came with it, the elements that hold it, and whether one of them is boilerplate by its tag, role, or a word of its
 class or id.  Regions are the elements that directly hold lines.  The lines' text-to-tag ratios are smoothed with a
 Gaussian, lines above THRESHOLD standard deviations cluster
-into content, and regions are chosen: ``article`` elements where there are any, else ``main``, else the smallest element that holds nine tenths of the
-clustered text.  Every line of a chosen region that isn't boilerplate is kept, short ones too.
+into content, and the clusters choose the regions: ``article`` elements if MARKED times the clustered text outside them is no more than
+that inside, else ``main`` elements by the same test, else the smallest element that holds nine tenths of the clustered text.
+Lines of links alone don't count in this unless all clustered lines are such.  Every line of a chosen region that isn't
+boilerplate is kept, short ones too.
 
 Cases: null and empty pages give an empty text; text outside any block counts as a block; unclosed elements end with
 their parent or the next block; unknown end tags are ignored; white space is what ``str.split`` takes for it;
@@ -37,6 +39,8 @@ BOILERPLATE = set(
     "subscription signup login share sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond responses discussion pagination pager copyright hidden".split()
 )
 THRESHOLD = 0.5
+#: A character of clustered text outside ``article`` or ``main`` elements weighs as many inside them.
+MARKED = 3
 PAGE_HEADER = {"header", "head"}
 WRAPS = set("wrap wrapper container layout page body no has with".split())
 
@@ -46,11 +50,13 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, boilerplate, in an article, in an h1
+        self.open: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, number, boilerplate, in an article, in an h1, in a link
         self.parts: list[str] = []
         self.tags, self.number = 0, 0
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.titles: set[int] = set()  # lines in an h1
+        self.links: set[int] = set()  # lines of links alone
+        self.unlinked = False  # the line has text outside links
         self.articles: set[int] = set()
         self.mains: set[int] = set()
 
@@ -63,9 +69,12 @@ class Lines(HTMLParser):
         if text:
             if self.open and self.open[-1][4]:
                 self.titles.add(len(self.lines))
+            if not self.unlinked:
+                self.links.add(len(self.lines))
             self.lines.append((text, self.tags, tuple([o[1] for o in self.open]), bool(self.open) and self.open[-1][2]))
             self.tags = 0
         self.parts.clear()
+        self.unlinked = False
 
     def dropped(self, tag: str, attrs: list) -> bool:
         if tag in ("html", "body", "main"):
@@ -101,8 +110,8 @@ class Lines(HTMLParser):
             self.articles.add(self.number)
         if not gone and (tag == "main" or dict(attrs).get("role") == "main"):
             self.mains.add(self.number)
-        article, title = self.open[-1][3:] if self.open else (False, False)
-        self.open.append((tag, self.number, gone, article or self.number in self.articles, title or tag == "h1"))
+        article, title, link = self.open[-1][3:] if self.open else (False, False, False)
+        self.open.append((tag, self.number, gone, article or self.number in self.articles, title or tag == "h1", link or tag == "a"))
 
     def implied(self, tag: str) -> None:
         if tag in ("body", "main", "article"):
@@ -134,6 +143,7 @@ class Lines(HTMLParser):
         # Boilerplate inside a line (a script, a button) leaves the line without it.
         if not (self.open and self.open[-1][2]) or self.open[-1][0] in BLOCK:
             self.parts.append(data)
+            self.unlinked = self.unlinked or not (self.open and self.open[-1][5]) and not data.isspace()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray:
@@ -153,21 +163,25 @@ def content_blocks(html: str) -> list[str]:
     ratios = np.array([0.0 if gone else len(text) / max(1, tags) for text, tags, _, gone in lines])
     smooth = smoothed(ratios)
     content = [(smooth[i] >= min(THRESHOLD * ratios.std(), smooth.max())) and not line[3] for i, line in enumerate(lines)]
-    chosen = page.articles or page.mains
-    if not any(not gone and chosen.intersection(held) for _, _, held, gone in lines):
-        weights: dict[int, int] = {}
-        for (text, _, held, _), good in zip(lines, content, strict=True):
-            for n in held if good else ():
-                weights[n] = weights.get(n, 0) + len(text)
-        whole = sum(len(line[0]) for line, good in zip(lines, content, strict=True) if good)
-        # Elements are numbered in page order, so of nested ones the inner has the higher number.
-        chosen = {max((n for n, w in weights.items() if w >= 0.9 * whole), default=0)}
-        if chosen == {0}:
-            return [text for text, _, _, gone in lines if not gone]
-        # A title may stand before the element that holds the rest.
-        first = next(i for i, line in enumerate(lines) if not line[3] and chosen.intersection(line[2]))
-        return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i < first and i in page.titles)]
-    return [text for text, _, held, gone in lines if not gone and chosen.intersection(held)]
+    said = [good and i not in page.links for i, good in enumerate(content)]
+    clustered = [line for line, good in zip(lines, said if any(said) else content, strict=True) if good]
+    whole = sum(len(line[0]) for line in clustered)
+    for chosen in (page.articles, page.mains):
+        kept = [text for text, _, held, gone in lines if not gone and chosen.intersection(held)]
+        inside = sum(len(text) for text, _, held, _ in clustered if chosen.intersection(held))
+        if kept and MARKED * (whole - inside) <= inside:
+            return kept
+    weights: dict[int, int] = {}
+    for text, _, held, _ in clustered:
+        for n in held:
+            weights[n] = weights.get(n, 0) + len(text)
+    # Elements are numbered in page order, so of nested ones the inner has the higher number.
+    chosen = {max((n for n, w in weights.items() if w >= 0.9 * whole), default=0)}
+    if chosen == {0}:
+        return [text for text, _, _, gone in lines if not gone]
+    # A title may stand before the element that holds the rest.
+    first = next(i for i, line in enumerate(lines) if not line[3] and chosen.intersection(line[2]))
+    return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i < first and i in page.titles)]
 
 
 def main_text(html: str | None) -> str:
