@@ -83,3 +83,12 @@ def test_a_marked_card_beside_the_body(card):
 def test_links_alone_outside_an_article_weigh_nothing():
     links = "".join(f"<p><a href='/{i}'>{LONG}</a></p>" for i in range(9))
     assert h.main_text(f"<body><article><h1>T</h1>{PARAGRAPHS}</article><div>{links}</div></body>") == f"T\n\n{BODY}"
+
+
+def test_clustered_text_in_several_elements():
+    last = "A last section with some words of its own, which are enough to be seen as text."
+    menu = "<div><a>x</a> <a>y</a></div>"
+    page = f"<body>{menu}<div>{PARAGRAPHS}{PARAGRAPHS}</div><div><p>{last}</p><p>End</p></div>{menu}</body>"
+    assert h.main_text(page) == f"{BODY}\n\n{BODY}\n\n{last}\n\nEnd"
+    page = f"<body><div><p>{LONG}</p></div><h1>T</h1><div>{PARAGRAPHS * 4}</div>{menu}</body>"
+    assert h.main_text(page) == "\n\n".join([LONG.strip(), "T", *[BODY] * 4])

@@ -5,7 +5,8 @@ tags came with it, the elements that hold it, and whether one of them is boilerp
 class or id.  Regions are the elements that directly hold lines.  The lines' text-to-tag ratios are smoothed with a
 Gaussian, lines above THRESHOLD standard deviations cluster
 into content, and the clusters choose the regions: ``article`` elements if MARKED times the clustered text outside them is no more than
-that inside, else ``main`` elements by the same test, else the smallest element that holds nine tenths of the clustered text.
+that inside, else ``main`` elements by the same test, else the smallest element that holds nine tenths of the clustered text and,
+beside it, all other clustered lines with the outermost elements around them whose text is mostly clustered.
 Lines of links alone don't count in this unless all clustered lines are such.  Every line of a chosen region that isn't
 boilerplate is kept, short ones too.
 
@@ -181,7 +182,17 @@ def content_blocks(html: str) -> list[str]:
         return [text for text, _, _, gone in lines if not gone]
     # A title may stand before the element that holds the rest.
     first = next(i for i, line in enumerate(lines) if not line[3] and chosen.intersection(line[2]))
-    return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i < first and i in page.titles)]
+    # Clustered text outside it comes with its own regions: the outermost elements beside it whose text is mostly clustered.
+    beside = [i for i, good in enumerate(said if any(said) else content) if good and not chosen.intersection(lines[i][2])]
+    if beside:
+        lengths: dict[int, int] = {}
+        for text, _, held, gone in lines:
+            for n in () if gone else held:
+                lengths[n] = lengths.get(n, 0) + len(text)
+        above = set(lines[first][2][: lines[first][2].index(*chosen)])
+        chosen |= {n for i in beside for n in [n for n in lines[i][2] if n not in above and 2 * weights[n] > lengths[n]][:1]}
+    alone = set(beside)
+    return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i in alone or i < first and i in page.titles)]
 
 
 def main_text(html: str | None) -> str:
