@@ -100,3 +100,13 @@ def test_query(spark, sf_dir):
         assert r.target == pytest.approx(float(want[source[r.doc_id]]))
         taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] for s in want)
+
+
+def test_rows_without_an_id_are_mixed_like_others(spark):
+    rows = [(None if i % 2 else i, f"a b c d {i}", "s" if i % 3 else "t", "x", i) for i in range(900)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).collect()
+    taken = [tuple(r) for r in out]
+    assert set(taken) <= set(rows) and max(map(taken.count, set(taken))) <= 2
+    want = plain_targets({"s": 3000, "t": 1500})
+    assert all(abs(5 * sum(r.source == s for r in out) - want[s]) <= 0.12 * float(want[s]) for s in want)
+    assert 0.8 < sum(r.doc_id is None for r in out) / sum(r.doc_id is not None for r in out) < 1.25

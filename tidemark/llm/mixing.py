@@ -12,8 +12,9 @@
 All windows run over sources, shards of one source or documents of one shard, never over a whole source.
 
 Cases: a null text has size 0; null is a source of its own, the last; sources are sorted by code point; documents of
-size 0 and sources without words take nothing; rows with the same id are taken as separate documents; other columns are
-ignored; an empty table gives an empty result.
+size 0 and sources without words take nothing; rows with the same id are taken as separate documents; rows with a null
+id are laid by their texts and come out like others (whole rows of one source and one id, or one text without an id, as
+often as the most taken of them); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
+def hashed(seed: int, id: Column, text: Column) -> Column:
+    """By the id, or by the text if that is null: a hash passes over its null arguments."""
+    return F.xxhash64(F.lit(seed), id, F.when(id.isNull(), text))
+
+
 def water_level(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """Add ``target`` to (key, source_size, weight): weight times the one level that shares out everything under the caps."""
     by_cap = Window.orderBy(F.col("source_size") / F.col("weight"), "key")
@@ -72,11 +82,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(id, size, source_size, target, taken, copies) for every row; ``copies`` is ``taken`` to whole documents."""
-    source = F.col(source_col).cast("string")
+    """(id, size, source_size, target, taken, copies, key, order) for every row; ``copies`` is ``taken`` to whole documents."""
+    id, text, source = F.col(id_col), F.col(text_col), F.col(source_col)
     sizes = materialise(
-        docs.select(F.col(id_col).alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("key"), n_words(F.col(text_col)).alias("size"))
-        .withColumn("order", F.xxhash64(F.lit(seed), "id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(shards)).cast("int"))
+        docs.select(
+            id.alias("id"), source.cast("string").alias("source"), source_key(source).alias("key"), n_words(text).alias("size"),
+            hashed(seed, id, text).alias("order"), F.pmod(hashed(seed + 1, id, text), F.lit(shards)).cast("int").alias("shard"),
+        )
     )
     targets = source_targets(sizes, weights)
     mixed = Window.partitionBy("all")
@@ -99,14 +111,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = (F.col("at") >= F.col("start")) & (F.col("at") < stop) | (F.col("at") < stop - F.col("words"))
     return at.select(
         "id", "size", "source_size", "target", (F.col("passes") * F.col("size") + run).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.col("passes") + inside.cast("long")).otherwise(0).alias("copies"),
+        F.when(F.col("size") > 0, F.col("passes") + inside.cast("long")).otherwise(0).alias("copies"), "key", "order",
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it: never, once or twice."""
-    copies = mix(docs, id_col, text_col, source_col, weights).filter("copies > 0").groupBy("id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(copies.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"))
+    copies = mix(docs, id_col, text_col, source_col, weights).filter("copies > 0").groupBy("id", "key", "order").agg(F.max("copies").alias("__copies"))
+    copies = copies.withColumnsRenamed({"id": "__id", "key": "__key", "order": "__order"})
+    id = F.col(id_col)
+    same = id.eqNullSafe(F.col("__id")) & (source_key(F.col(source_col)) == F.col("__key")) & (hashed(SEED, id, F.col(text_col)) == F.col("__order"))
+    out = docs.join(copies, same)
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
