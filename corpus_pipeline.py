@@ -1,6 +1,7 @@
 """From raw documents to token ids: five stages, each one operator, each written and read again before the next.
 
-1. language ID: learns from the labelled documents of its input; documents without any letter are rejected.
+1. language ID: learns from the labelled documents of its input and predicts every document's language.  Only documents
+   without any letter are rejected, whatever the prediction and its score; so they are where nothing was learned.
 2. exact dedup: of texts equal up to white space, the one with the smallest id stays.
 3. MinHash near-dedup: five words a shingle, a similarity of 0.8; one document of each group stays.
 4. mixing: sources to target weights; a document comes out never, once or twice.
@@ -12,19 +13,23 @@ operators define; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe, vocabulary
 from tidemark.llm.common import materialise
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.langid import UNKNOWN, identify, train
+from tidemark.llm.langid import BUCKETS, UNKNOWN, Model, identify, train
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near_dedup import near_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = identify(docs, train(docs), keep=tuple(docs.columns))
+    model = train(docs)
+    if not model.languages:  # one language is predicted for all texts with letters
+        model = Model(np.zeros((1, BUCKETS), np.float32), ["any"])
+    told = identify(docs, model, keep=tuple(docs.columns))
     return told.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

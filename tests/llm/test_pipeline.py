@@ -67,3 +67,9 @@ def test_tokens(stages):
 
 def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_language_without_labels(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "más", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.text for r in pipeline.language_id(spark, docs, "").collect()) == ["más", "some words"]
