@@ -196,7 +196,7 @@ def q_first_cols_diff(spark, sf):
     return D.cells_diff(old, new, n=1).select("p_partkey", F.lit(1).alias("width")).unionByName(D.cells_diff(old, new, n=2).select("p_partkey", F.lit(2).alias("width")))
 
 
-FEEDS = """WITH i AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(conv_id AS VARCHAR) END AS id, CASE WHEN conv_id % 10 = 0 THEN NULL ELSE left(text, 40) END AS title, 'l' || conv_id AS link FROM conversations),
+FEEDS = """WITH i AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(conv_id AS VARCHAR) END AS id, CASE WHEN conv_id % 10 = 0 THEN NULL ELSE text END AS title, 'l' || conv_id AS link FROM conversations),
 o AS (SELECT * FROM i WHERE turn < 2), n AS (SELECT * FROM i WHERE turn >= 2)"""
 
 
@@ -295,7 +295,7 @@ def change_log(spark, sf) -> DataFrame:
 
 def log_sql() -> str:
     kinds = "[" + ", ".join(f"{{'domain': '{d}', 'collection': '{c}', 'kind': '{x}'}}" for d, c, x in LOG_KINDS) + "]"
-    return f"""log AS (SELECT k.domain AS domain, k.collection AS collection, k.kind AS kind, DATE '2024-01-01' + CAST(doc_id % 7 AS INT) AS run_date, CASE WHEN doc_id % 4 = 0 THEN 'apl' ELSE source END AS group_key, CAST(doc_id AS VARCHAR) AS entity_key, CAST(doc_id AS INT) AS pos, left(t, 300) AS title, substring(t, 301, 300) AS text, 'u/' || doc_id AS link, left(t, 200) AS payload
+    return f"""log AS (SELECT k.domain AS domain, k.collection AS collection, k.kind AS kind, DATE '2024-01-01' + CAST(doc_id % 7 AS INT) AS run_date, CASE WHEN doc_id % 4 = 0 THEN 'apl' ELSE source END AS group_key, CAST(doc_id AS VARCHAR) AS entity_key, CAST(doc_id AS INT) AS pos, t AS title, t AS text, 'u/' || doc_id AS link, t AS payload
 FROM (SELECT doc_id, text AS t, source, {kinds}[CAST(doc_id % {len(LOG_KINDS)} AS INT) + 1] AS k FROM documents))"""
 
 
