@@ -27,11 +27,27 @@ def plain(url, listed=u.LIST, patterns=u.PATTERNS):
     return host, path, None, "allow" if "allow" in fit else "block" if fit else "allow"
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
-def test_verdicts(spark, inline):
-    df = spark.createDataFrame([(i, x, "h", "t", 1) for i, x in enumerate(URLS)], SCHEMA)
-    got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in u.judge_urls(df, inline_rules=inline).collect()}
-    assert got == {i: plain(x) for i, x in enumerate(URLS)}
+MANY = tuple((f"h{i}.net", f"/p{i}/", "block" if i % 2 else "allow") for i in range(3000))
+
+
+@pytest.mark.parametrize("listed", [u.LIST, (*u.LIST, *MANY)])
+def test_verdicts(spark, listed):
+    """However many rules there are, and whatever the ids are."""
+    urls = [*URLS, "http://x.h7.net/p7/z", "http://h8.net/p8/", "http://h9.net/p8/"]
+    df = spark.createDataFrame([(i, x, "h", "t", 1) for i, x in enumerate(urls)] + [(1, "http://a.com/fr/", "", "", 1), (1, "http://b.com/de/", "", "", 1), (None, "http://b.com/de/", "", "", 1)], SCHEMA)
+    got = [(r.id, r.host, r.path, r.rule, r.verdict) for r in u.judge_urls(df, listed).collect()]
+    want = [(i, *plain(x, listed)) for i, x in enumerate(urls)] + [(1, "a.com", "/fr/", "com/fr/", "allow"), (1, "b.com", "/de/", "com/de/", "block"), (None, "b.com", "/de/", "com/de/", "block")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_verdicts_stated_by_hand(spark):
+    want = {
+        "https://www.example.org/en/12": ("www.example.org", "/en/12", "example.org/en/1", "block"), "https://example.org/en/2": ("example.org", "/en/2", "org/", "allow"),
+        "http://x.com/es/": ("x.com", "/es/", None, "allow"), "http://ads.x.net/q": ("ads.x.net", "/q", None, "block"), "http://x.net/ads/policy/a": ("x.net", "/ads/policy/a", None, "allow"),
+        "http://m.ads-track.example.com/fr/1": ("m.ads-track.example.com", "/fr/1", "com/fr/", "allow"),
+    }
+    df = spark.createDataFrame([(x,) for x in want], "url string").selectExpr("url AS page_id", "url")
+    assert {r.id: (r.host, r.path, r.rule, r.verdict) for r in u.judge_urls(df).collect()} == want
 
 
 def test_driver_urls(spark, sf_dir):

@@ -10,18 +10,19 @@ Rules of the list (host, path) fit a host and its subdomains if the path starts
 decides (of equal length the one with the longer host, then by code point).  Where none fits, the pattern rules decide:
 allow rules go before block rules; where none of them fits either, the URL is allowed.
 
-A list of up to ``INLINE_RULES`` rules travels in the plan and nothing is shuffled.  A longer one is a table that is
-joined by token.
+The filed rules are a table of hash buckets that travels in the plan, as large as the list that the caller has in memory; a token
+looks into one bucket of it, however many rules there are, and every row is judged where it is, without a shuffle.
 
 Cases: a null URL or one without ``://`` has an empty host and path and fits no rule; hosts are lower-cased in A-Z
-only; ports and user names are part of the host; repeated rows give repeated results (the table form counts them by
-id, so ids must be unique there); other columns are ignored; an empty table gives an empty result.
+only; ports and user names are part of the host; very long URLs are matched whole; each row is judged alone, so repeated rows
+and ids give repeated results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-INLINE_RULES = 2000
 
 #: (host, path, verdict)
 LIST = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -95,36 +95,34 @@ def url_tokens(address: Column) -> Column:
 def file_rules(addresses: DataFrame, rules: list[dict]) -> list[dict]:
     """Give each rule its rarest token, by the number of addresses that hold it.
 
-    One pass counts the rules' own tokens only, so what comes to the driver is bounded by the rule list.
+    One pass counts the rules' own tokens only, so what is broadcast and what comes to the driver is bounded by the rule list.
     """
-    tokens = sorted({t for r in rules for t in r["tokens"]})
-    held = addresses.select(F.explode(F.array_intersect(url_tokens(F.col("address")), F.array(*map(F.lit, tokens)))).alias("token"))
+    tokens = addresses.sparkSession.createDataFrame(sorted({(t,) for r in rules for t in r["tokens"]}), "token string")
+    held = addresses.select(F.explode(url_tokens(F.col("address"))).alias("token")).join(F.broadcast(tokens), "token")
     counts = dict(map(tuple, held.groupBy("token").count().collect()))
     return [{k: v for k, v in r.items() if k != "tokens"} | {"token": min(r["tokens"], key=lambda t: (counts.get(t, 0), t))} for r in rules]
 
 
-RULE = "kind int, length int, host_length int, rule string, verdict string, regex string"
+#: A rule in the table; the first three decide between rules that fit.
+RULE = "kind: int, length: int, host_length: int, rule: string, verdict: string, regex: string, token: string"
 
 
-def judge_urls(pages: DataFrame, listed=LIST, patterns=PATTERNS, id_col: str = "page_id", url_col: str = "url", inline_rules: int = INLINE_RULES) -> DataFrame:
+def filed(rules: list[dict]) -> tuple[Column, int]:
+    """(buckets of rules by the CRC of their token, number of buckets)."""
+    n = 1 << (2 * len(rules)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for r in rules:
+        buckets[crc32(r["token"].encode()) % n].append(r)
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<{RULE}>>>"), n
+
+
+def judge_urls(pages: DataFrame, listed=LIST, patterns=PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, matched) for every row; ``matched`` is the rule or pattern that decided."""
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("address", F.concat("host", "path"))
-    rules = file_rules(urls, rule_rows(listed, patterns))
-    if len(rules) <= inline_rules:
-        index: dict[str, list[dict]] = {}
-        for r in rules:
-            index.setdefault(r["token"], []).append(r)
-        table = F.from_json(F.lit(json.dumps(index)), f"map<string, array<struct<{RULE.replace(' int', ': int').replace(' string', ': string')}>>>")
-        known = F.array(*map(F.lit, sorted(index)))
-        fetched = F.flatten(F.transform(F.array_intersect(url_tokens(F.col("address")), known), lambda t: table[t]))
-        best = urls.withColumn("best", F.array_max(F.filter(fetched, lambda r: F.rlike(F.col("address"), r["regex"]))))
-    else:
-        filed = pages.sparkSession.createDataFrame([[r[c] for c in ("token", "kind", "length", "host_length", "rule", "verdict", "regex")] for r in rules], f"token string, {RULE}")
-        held = urls.select("id", "address", F.explode(url_tokens(F.col("address"))).alias("token"))
-        hits = held.join(filed, "token").filter(F.rlike(F.col("address"), F.col("regex")))
-        hits = hits.groupBy("id").agg(F.max(F.struct("kind", "length", "host_length", "rule", "verdict", "regex")).alias("best"))
-        best = urls.join(hits.withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit")), "left")
+    buckets, n = filed(file_rules(urls, rule_rows(listed, patterns)))
+    fits = lambda t: F.filter(F.get(buckets, F.pmod(F.crc32(t.cast("binary")), F.lit(n)).cast("int")), lambda r: (r["token"] == t) & F.rlike(F.col("address"), r["regex"]))
+    best = urls.withColumn("best", F.array_max(F.flatten(F.transform(url_tokens(F.col("address")), fits))))
     return best.select(
         "id", "host", "path", F.when(F.col("best.kind") == 2, F.col("best.rule")).alias("rule"),
         F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.col("best.rule").alias("matched"),
