@@ -2,9 +2,10 @@ import hashlib
 import re
 from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup, exact_groups
+from tidemark.llm.exact_dedup import exact_dedup, exact_groups, sha256
 
 SCHEMA = "doc_id bigint, text string, digest string, kept int, n string"
 
@@ -50,12 +51,32 @@ def test_digest_collisions_are_told_apart(spark):
     assert got == sorted((x[:4] for x in plain(rows())), key=str)
 
 
-def test_rows_that_stay(spark):
-    df = spark.createDataFrame([r for r in rows() if r[0] != 3], SCHEMA)
-    out = exact_dedup(df)
-    assert out.columns == df.columns
-    want = {x[0] for x in plain([r for r in rows() if r[0] != 3]) if x[3]}
-    assert {r.doc_id for r in out.collect()} == want
+@pytest.mark.parametrize("most_bits", [None, 64])
+def test_rows_that_stay(spark, most_bits):
+    """One row a text, also of repeated rows, of null ids, and when the filter lets all rows through or the digest collides."""
+    given = [*rows(), (3, "another text of row 3", "z", 1, None), *[(77, "twice", c, 1, None) for c in "bab"]]
+    df = spark.createDataFrame(given, SCHEMA).repartition(3)
+    first = {}
+    for r in given:
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")
+        first[t] = min(first.get(t, (True, 0)), (r[0] is None, r[0] or 0))
+    for digest in (sha256, lambda c: F.pmod(F.crc32(c), F.lit(3))):
+        out = exact_dedup(df, digest=digest, most_bits=most_bits)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert sorted((re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id is None, r.doc_id or 0) for r in got) == sorted((t, *i) for t, i in first.items())
+        assert [r.digest for r in got if r.text == "twice"] == ["a"]
+
+
+def test_any_filter_gives_the_same_groups(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    assert found(exact_groups(df, most_bits=64)) == plain(rows())
+
+
+def test_unique_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)], "doc_id bigint, text string")
+    plan = exact_dedup(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [digest") == 2
 
 
 def test_empty(spark):

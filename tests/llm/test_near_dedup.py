@@ -157,3 +157,40 @@ def test_components(spark):
     want = {i: root(i) for a, b in links for i in (a, b) if a != b}
     got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert len(got) == len(want) and {r.id: r.component for r in got} == want
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials_do_not_link(spark):
+    """Modulo 2**64 a polynomial takes the Thue-Morse word of 1,024 letters and its complement for one."""
+    for size in (1024, 4096):
+        word = thue_morse(size)
+        other = word.translate(str.maketrans("ab", "ba"))
+        long = " ".join([f"{i} word" for i in range(20)])
+        rows = [(1, word), (2, other), (3, f"{long} {word}"), (4, f"{long} {other}"), (5, f"{word} {word[:-1]}"), (6, f"{other} {other[:-1]}")]
+        got = n.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=1, percent=98).collect()
+        assert all(r.component == r.id for r in got), got
+
+
+@pytest.mark.parametrize("most_bits", [64])
+def test_repeated_ids(spark, most_bits):
+    """An id with several texts is one document; repeated rows leave one, whatever the filters let through."""
+    rnd = Random(4)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(99)) for _ in range(30)) for _ in range(6)]
+    rows = [(10, texts[0], "x", 1, 1), (11, texts[0], "x", 1, 1), (11, texts[1], "x", 1, 1), (12, texts[1] + " tail", "x", 1, 1), (13, texts[2], "b", 1, 1), (13, texts[2], "a", 1, 1)]
+    rows += [(20, texts[3], None, None, None)] * 40 + [(21, texts[3] + " end", None, None, None), (None, texts[4], None, None, None), (30, texts[5], None, 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = n.near_groups(df, words=3, percent=85, most_bits=most_bits).collect()
+    assert {r.id: r.component for r in got} == {10: 10, 11: 10, 12: 10, 13: 13, 20: 20, 21: 20, None: None, 30: 30} and len(got) == len(rows)
+    stays = n.near_dedup(df, words=3, percent=85, most_bits=most_bits)
+    assert stays.columns == df.columns
+    assert sorted((r.doc_id or 0, r.band or "") for r in stays.collect()) == [(0, ""), (10, "x"), (13, "a"), (20, ""), (30, "")]
+
+
+@pytest.mark.parametrize("most_bits", [64])
+def test_groups_whatever_the_filters_let_through(spark, most_bits):
+    rows = made(3)
+    got = n.near_groups(spark.createDataFrame(rows, SCHEMA), words=3, percent=85, most_bits=most_bits).collect()
+    assert {r.id: (r.n_shingles, r.component) for r in got} == plain(rows, 3, 85)

@@ -37,10 +37,9 @@ def found(df):
     return sorted(((r.path, r.version, [tuple(x) for x in r.spans]) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_spans(spark, monkeypatch, small):
-    monkeypatch.setattr(s, "BROADCAST_ROWS", small)
-    out, fresh = s.scan(spark.createDataFrame(rows(), SCHEMA).repartition(4))
+@pytest.mark.parametrize("most_bits", [None, 64])
+def test_spans(spark, most_bits):
+    out, fresh = s.scan(spark.createDataFrame(rows(), SCHEMA).repartition(4), most_bits=most_bits)
     assert found(out) == sorted(((p, v, plain(t)) for p, v, t, *_ in rows()), key=str)
     assert fresh.count() == len({t or "" for _, _, t, *_ in rows()})
 

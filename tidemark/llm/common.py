@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key set is broadcast up to this many rows (some 100 bytes each in a hash table); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A Bloom filter has 16 to 32 bits a key, and never more than this many bits (16 MB) whatever the number of keys.
+BLOOM_BITS, BLOOM_HASHES = 1 << 27, 4
+SALTS = 16
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,35 +24,141 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, or its checkpoint folder; a temporary folder only where the master is local."""
     global _own_folder
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given and not _own_folder:
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if given:
+        return given
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
         _own_folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    return given or f"file://{_own_folder}"
+    return f"file://{_own_folder}"
 
 
 _own_folder = ""
+#: Paths written by the operators that are running, innermost last.
+_written: list[list[str]] = []
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, hold: bool = False) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there, which cuts its lineage.
 
     Every executor can read the files, so a lost one loses nothing; and their sizes are known, where a checkpoint
-    in a loop would carry on estimates that square each round.  The folder goes when the driver ends.
+    in a loop would carry on estimates that square each round.  The folder goes when the operator is done and its result
+    doesn't read it, else when the driver ends; ``hold``: only when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    if _written and not hold:
+        _written[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
     sc = spark.sparkContext
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place, place.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def tidy(operator: Callable) -> Callable:
+    """Drop an operator's intermediate tables that its result (a DataFrame or a tuple of them) doesn't read."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _written.append([])
+        try:
+            out = operator(*args, **kwargs)
+        except BaseException:
+            _written.pop()
+            raise
+        paths = _written.pop()
+        results = out if isinstance(out, tuple) else (out,)
+        used = "\n".join(f for r in results for f in r.inputFiles()) if paths else ""
+        for path in paths:
+            if path.rsplit("/", 1)[1] in used:
+                if _written:
+                    _written[-1].append(path)
+            else:
+                place, files = _place(results[0].sparkSession, path)
+                files.delete(place, True)
+        return out
+
+    return run
+
+
+def _positions(columns: list[Column], bits: int) -> list[Column]:
+    return [F.xxhash64(F.lit(i), *columns).bitwiseAND(F.lit(bits - 1)) for i in range(BLOOM_HASHES)]
+
+
+def bloom(keys: DataFrame, most_bits: int | None = None) -> Callable[..., Column]:
+    """A test for rows that may have one of ``keys`` (all its columns): true for every key, and for one other in 400 or fewer
+    while the bits are in proportion to the keys.
+
+    The filter is made by aggregates and has a fixed size at most, so it goes to the tasks as a scalar.  Beyond
+    the keys that fit it lets more and more other rows through; what uses it must be right for any of them.  Keys may repeat;
+    they are read again by each action that tests, so they should be a table, and one to ``hold`` if a result still tests.
+    """
+    n = keys.agg(F.approx_count_distinct(F.xxhash64(*keys.columns))).first()[0]
+    if not n:
+        return lambda *columns: F.lit(False)
+    bits = min(BLOOM_BITS if most_bits is None else most_bits, 1 << (16 * max(n, 64) - 1).bit_length())
+    spark, one = keys.sparkSession, F.lit(1).cast("long")
+    at = keys.select(F.explode(F.array(*_positions([F.col(c) for c in keys.columns], bits))).alias("at"))
+    bit = F.call_function("shiftleft", one, F.col("at").bitwiseAND(63).cast("int"))
+    empty = spark.range(max(1, bits >> 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = at.select(F.shiftrightunsigned("at", 6).alias("word"), bit.alias("bit")).unionByName(empty).groupBy("word").agg(F.bit_or("bit").alias("set"))
+    in_order = lambda place, what: F.transform(F.array_sort(F.collect_list(F.struct(place, what))), lambda x: x[what]).alias(what)
+    rows = words.groupBy(F.shiftright("word", 10).alias("row")).agg(in_order("word", "set"))
+    filter_ = rows.agg(in_order("row", "set")).scalar()
+
+    def may_have(*columns: str | Column) -> Column:
+        found = F.lit(True)
+        for at in _positions([F.col(c) if isinstance(c, str) else c for c in columns], bits):
+            word = F.get(F.get(filter_, F.shiftrightunsigned(at, 16).cast("int")), F.shiftrightunsigned(at, 6).bitwiseAND(1023).cast("int"))
+            found = found & (F.getbit(word, at.bitwiseAND(63).cast("int")) == 1)
+        return found
+
+    return may_have
 
 
-def keys_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, n_keys: int) -> DataFrame:
-    """Join with a key set of ``n_keys`` counted rows: broadcast below :data:`BROADCAST_ROWS`, shuffled above."""
-    return left.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, how)
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row; the optimizer would copy a projected expression into each filter on it."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def named_apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` and all columns of ``df`` as one struct ``row``, so that no names clash; see :func:`rows_again`."""
+    return df.select(*(c.alias(n) for n, c in columns.items()), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def rows_again(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*(F.col("row").getField(c).alias(c) for c in like.columns))
+
+
+def without(df: DataFrame, gone: DataFrame, most_bits: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose values of all columns of ``gone`` aren't one of its rows; rows with a null among them stay.
+
+    Two Bloom filters settle nearly all rows where they are: what the first, of ``gone``, rules out stays; of the others, what the
+    second rules out, of the keys that aren't in ``gone`` but get through the first, goes.  Only the rest is compared
+    with ``gone`` itself.
+    """
+    keys = gone.columns
+    gone = materialise(gone.distinct(), hold=True)
+    first = bloom(gone, most_bits)
+    here = F.lit(True)
+    for c in keys:
+        here = here & F.col(c).isNotNull()
+    suspect = here & first(*keys)
+    passed = df.select(*keys).filter(suspect).distinct().join(gone, keys, "left_anti")
+    second = bloom(materialise(passed, hold=True), most_bits)
+    return df.filter(~suspect).unionByName(df.filter(suspect & second(*keys)).join(gone, keys, "left_anti").select(*df.columns))
 
 
 def salted(df: DataFrame, key: str, salts: int) -> DataFrame:

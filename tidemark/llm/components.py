@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import for_each_salt, materialise, salted
+from tidemark.llm.common import for_each_salt, materialise, salted, tidy
 
 SALTS = 8
 
@@ -22,6 +22,7 @@ def _smallest(links: DataFrame) -> DataFrame:
     return salted(links, "v", SALTS).join(least, ["u", "__salt"]).drop("__salt")
 
 
+@tidy
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """(id, component) for every node that has a link to another; ``component`` is the smallest id it can reach."""
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()

@@ -17,9 +17,13 @@
 
 In stars the member that many are compared with is sent once for every salt, and the others stream past it.
 
+Which texts, signatures and bands a later step needs is told where they are by Bloom filters of a fixed size at most; what they
+let through beside them finds no partner in the joins that follow.  So no text is shuffled but as a set of a candidate.
+
 Cases: null and empty texts and texts of white space have empty sets and link with nothing; fewer words than a shingle
-make one; rows with the same id are one document; rows with a null id link with nothing and are kept (their component
-is null); other columns are ignored; an empty table gives an empty result.
+make one; a very long text is one set, however large; rows with the same id are one document, linked if any of them is, and of those that repeat
+id and text one row stays; rows with a null id link with nothing and are kept (their component
+is null); other columns are carried along whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,28 +38,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import for_each_salt, keys_join, materialise, read, salted
+from tidemark.llm.common import SALTS, bloom, for_each_salt, materialise, named_apart, read, rows_again, salted, tidy, without
 from tidemark.llm.components import components
 
 ROWS, BAND_MISS, PRUNE_MISS, STEP, SEED = 5, 1e-6, 1e-9, 20, 7
 STARS, TILE = 3, 384
-#: Shared bands are broadcast up to this many rows (some 200 bytes each in a hash table); beyond it the join is salted.
-BROADCAST_BANDS = 100_000
-SLICE, SALTS = 1 << 20, 16
+SLICE = 1 << 20
+#: Sets of up to this many shingles are told apart by the shingles themselves, larger ones by all their hashes.
+SPELT = 8
 U = np.uint64
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 2 * SLICE), base, U)
-        x[0] = 1
-        _powers[base] = np.cumprod(x)
-    return _powers[base][:n]
+FACTOR = 0x9E3779B97F4A7C15
+#: Bytes of a word whose images come from a table; those further on are worked out.
+TABLED = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,8 +60,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def byte_images(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit image of each byte at each place of a word."""
+    return mixed((place.astype(U) << U(8) | byte.astype(U)) * U(FACTOR) + U(SEED))
+
+
+IMAGES = byte_images(np.repeat(np.arange(TABLED), 256), np.tile(np.arange(256), TABLED))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each document and the end): words are runs of other bytes than white space."""
+    """(hash of every word, first word of each document and the end): words are runs of other bytes than white space.
+
+    A word's hash is the sum of the images of its bytes at their places, which no rule of arithmetic ties together as a polynomial
+    would, mixed with its length.
+    """
     data = LOWER[data]
     gap = SPACE[data]
     starts, ends = ~gap, ~gap
@@ -75,9 +83,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts[edges] |= ~gap[edges]
     ends[edges - 1] |= ~gap[edges - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)))])
-    h = (sums[last] - sums[first]) * powers(BASE_INVERSE, len(data) + 1)[first]
-    return mixed(h + (last - first).astype(U)), np.searchsorted(first, offsets)
+    size = last - first
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    byte = data[~gap]
+    image = IMAGES[np.minimum(at, TABLED - 1) << 8 | byte]
+    far = np.flatnonzero(at >= TABLED)
+    image[far] = byte_images(at[far], byte[far])
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(image)])
+    end = np.cumsum(size)
+    return mixed(sums[end] - sums[end - size] + size.astype(U)), np.searchsorted(first, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -139,6 +153,12 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def spelt(text: str, k: int) -> bytes:
+    """A text's shingles as they are, without repeats and in order."""
+    words = text.encode().translate(LOWER.tobytes()).split()
+    return b"\0".join(sorted({b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}))
+
+
 def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
     """(id, n_shingles, digest, bands, signature) of (id, body) rows; the last three null for empty sets."""
 
@@ -150,11 +170,12 @@ def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 s = signatures([sets[i] for i in full], bands * ROWS)
                 key = np.full((len(full), bands), 1, U) * np.arange(1, bands + 1, dtype=U) * U(0x9FB21C651E98DF25)
                 for j in range(ROWS):
-                    key = mixed(key ^ s[:, j::ROWS].astype(U)) * U(BASE)
+                    key = mixed(key ^ s[:, j::ROWS].astype(U)) * U(FACTOR)
                 short = (s >> np.uint32(16)).astype(np.uint16)
                 for row, i in enumerate(full):
                     keys[i], marks[i] = key[row].view(np.int64), short[row].tobytes()
-                    digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    told = sets[i].tobytes() if len(sets[i]) > SPELT else spelt(part.column(1)[i].as_py(), k)
+                    digests[i] = hashlib.blake2b(told, digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                 names=["id", "n_shingles", "digest", "bands", "signature"],
@@ -348,43 +369,57 @@ def tiles(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
+def once(df: DataFrame, by: list[str], repeats: Callable) -> DataFrame:
+    """``df`` without rows that repeat ``by`` (the id first); ``repeats`` may only say no of ids that don't."""
+    may = F.coalesce(repeats("id"), F.lit(False))
+    return df.filter(~may).unionByName(df.filter(may).dropDuplicates(by))
+
+
+def repeated_ids(sketched: DataFrame) -> DataFrame:
+    """Ids of several rows with the same set."""
+    return materialise(sketched.filter("id IS NOT NULL").groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id").distinct())
+
+
+@tidy
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, tile: int = TILE, most_bits: int | None = None) -> DataFrame:
     """(id, n_shingles, component, kept) for every row; links: 100 * shared >= percent * all shingles of two documents."""
     threshold = percent / 100
     bands = n_bands(threshold)
-    given = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("body"))
-    sketched = materialise(sketches(given, words, bands))
+    every = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("body"))
+    sketched = materialise(sketches(every, words, bands))
+    repeats = bloom(repeated_ids(sketched), most_bits)
+    known = once(sketched.filter("id IS NOT NULL AND digest IS NOT NULL"), ["id", "digest"], repeats)
+    given = once(every.filter("id IS NOT NULL"), ["id", "body"], repeats)
 
     # Classes of equal sets.
-    known = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    several = materialise(known.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("digest", "rep"))
-    copies = salted(known.select("id", "digest"), "id", SALTS).join(for_each_salt(several, SALTS), ["digest", "__salt"]).filter("id <> rep").select("id", "rep")
-    copies = materialise(copies.distinct())
-    reps = keys_join(known, copies.select("id"), "id", "left_anti", copies.count())
+    several = materialise(known.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("digest", "rep"))
+    copies = salted(known.select("id", "digest"), "id", SALTS).join(for_each_salt(several, SALTS), ["digest", "__salt"]).filter("id <> rep").select("id", "digest", "rep")
+    copies = materialise(copies)
+    reps = without(known.select("id", "digest", "bands"), copies.select("id", "digest"), most_bits)
+    # An id with several texts is one document, so its classes are linked.
+    texts = known.groupBy("id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("id")
+    one = materialise(copies.join(texts, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
 
     # Members of the bands that more than one class shares, with each band's first members.
     place = lambda i: F.col("id") if i == 0 else F.xxhash64(F.lit(SEED + i), "id")
     banded = reps.select("id", F.explode("bands").alias("band"))
     firsts = [F.min(F.struct(place(i).alias("at"), F.col("id").alias("a"))).alias(f"first{i}") for i in range(STARS)]
-    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("size"), *firsts).filter("size > 1").drop("size"))
-    n_shared = shared.count()
-    if n_shared <= BROADCAST_BANDS:
-        members = banded.join(F.broadcast(shared), "band")
-    else:
-        members = salted(banded, "id", SALTS).join(for_each_salt(shared, SALTS), ["band", "__salt"]).drop("__salt")
+    shared = materialise(banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), *firsts).filter("low < high").drop("low", "high"))
+    may_share = bloom(shared.select("band"), most_bits)
+    members = salted(banded.filter(may_share("band")), "id", SALTS).join(for_each_salt(shared, SALTS), ["band", "__salt"]).drop("__salt")
     members = materialise(members)
 
     def needed(items: DataFrame, ids: DataFrame) -> DataFrame:
-        ids = materialise(ids.distinct())
-        return keys_join(items, ids, "id", "left_semi", ids.count())
+        """``items`` of these ids, and some others, which what follows joins away."""
+        return items.filter(bloom(ids, most_bits)("id"))
 
     # Stars: of all its bands' first members, a document is compared with the very first, for each of the orders.
     first = members.groupBy("id").agg(*(F.min(f"first{i}").alias(f"first{i}") for i in range(STARS)))
     pairs = materialise(first.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array(*(f"first{i}.a" for i in range(STARS))))).alias("a")).filter("a <> b"))
-    signed = materialise(needed(sketched.filter("signature IS NOT NULL").select("id", "signature"), members.select("id")))
+    signed = needed(known.select("id", "signature"), members.select("id"))
     likely = materialise(compare(pairs, signed.select("id", F.col("signature").alias("payload")), by_signature(threshold, bands * ROWS)))
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    found = materialise(compare(likely, full_sets(needed(given, ends), words), by_set(percent)))
+    found = materialise(compare(likely, full_sets(needed(given, ends), words), by_set(percent)).unionByName(one))
     grouped = materialise(components(found))
 
     # Tiles: bands with several components, the largest one's members in blocks of their own.
@@ -412,15 +447,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Back to all rows: from a copy to its class, from the class to its component.
     of_copies = salted(copies, "id", SALTS).join(for_each_salt(grouped.select(F.col("id").alias("rep"), "component"), SALTS), ["rep", "__salt"], "left")
     settled = of_copies.select("id", F.coalesce("component", "rep").alias("component")).unionByName(grouped.select("id", "component"))
-    out = sketched.select("id", "n_shingles").join(settled.groupBy("id").agg(F.min("component").alias("component")), "id", "left")
+    settled = settled.groupBy("id").agg(F.min("component").alias("component"))
+    sizes = sketched.select("id", "n_shingles")
+    out = sizes.filter("id IS NOT NULL").join(settled, "id", "left").unionByName(sizes.filter("id IS NULL").withColumn("component", F.lit(None).cast("bigint")))
     component = F.coalesce("component", "id")
     return out.select("id", "n_shingles", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all columns."""
-    gone = materialise(near_groups(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("id").alias("__gone")).distinct())
-    return keys_join(docs.withColumn("__gone", F.col(id_col)), gone, "__gone", "left_anti", gone.count()).select(*docs.columns)
+@tidy
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, most_bits: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each group, with all columns, and one row of each id and text."""
+    groups = near_groups(docs, id_col, text_col, words, percent, most_bits=most_bits)
+    gone = groups.filter("id IS NOT NULL AND NOT kept").select(F.col("id").alias("__gone"))
+    repeats = bloom(materialise(groups.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), hold=True), most_bits)
+    id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = without(named_apart(docs, __gone=id.cast("bigint"), __text=text), gone, most_bits)
+    others = [F.col("row").getField(c) for c in docs.columns if c not in (id_col, text_col)]
+    may = F.coalesce(repeats("__gone"), F.lit(False))
+    first = F.min_by("row", F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(others)))) if others else F.lit("")).alias("row")
+    single = rows.filter(may).groupBy("__gone", "__text").agg(first)
+    return rows_again(rows.filter(~may).select("row").unionByName(single.select("row")), docs)
 
 
 def op6_minhash_dedup(spark, sf_dir):

@@ -2,15 +2,16 @@ r"""Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is content-addressed (SHA-256).  The ledger has a row for each (blob, rules version) that was
 ever scanned, with the spans found.  A run scans one copy of each blob that the ledger lacks under the present rules and joins the
-findings back to all paths and versions of the blob.  Hashes, not texts, are shuffled: rows that need no scan
-are taken out by their key, with a broadcast set while it is small, with a join beyond that.
+findings back to all paths and versions of the blob.  Hashes, not texts, are shuffled: which rows to scan is told where they are
+by three Bloom filters of a fixed size at most, of the keys to scan, of those to skip, and of those to scan that the second has too.
+They never pass over a key to scan; a key to skip that they let through is scanned once more than needed, to the same findings.
 
 A rule has a cheap test that decides whether its expression runs on a text at all.  Spans are code points, end
 exclusive: the pieces between the matches and the matches' lengths add up to where each match starts.
 
-Cases: a null text is empty and has no spans; null paths and versions are values of their own; repeated rows each get
-the blob's findings; other columns are ignored; an empty table gives an empty result; without a ledger everything is
-unseen.
+Cases: a null text is empty and has no spans; very long texts are scanned whole; null paths and versions are values of their own;
+repeated rows each get the blob's findings; other columns are ignored; an empty table gives an empty result; without
+a ledger everything is unseen.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, for_each_salt, materialise, read, salted
+from tidemark.llm.common import SALTS, bloom, computed, for_each_salt, materialise, read, salted, tidy
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,6 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPAN = "array<struct<start: int, rank: int, kind: string, end: int>>"
-SALTS = 16
 
 
 def rules_version(rules: tuple[Rule, ...]) -> str:
@@ -85,7 +85,8 @@ def all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_sort(F.flatten(F.array(*(spans_of(text, r, i) for i, r in enumerate(rules)))))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", version_col: str | None = "version", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+@tidy
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", version_col: str | None = "version", text_col: str = "text", most_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, version, blob, spans) for every row of ``versions``, and the new rows of the ledger.
 
     A ledger has (blob string, rules string, spans array); append the new rows to it for the next run.
@@ -101,13 +102,13 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         firsts = firsts.join(ledger.filter(F.col("rules") == version).select("blob"), "blob", "left_anti")
     unseen = materialise(firsts.select("blob", "at.p", "at.v"))
 
-    skipped = blobs.count() - unseen.count()
-    if skipped <= BROADCAST_ROWS:
-        todo = keyed.join(F.broadcast(blobs.join(unseen.select("p", "v"), ["p", "v"], "left_anti").select("p", "v")), ["p", "v"], "left_anti")
-    else:
-        todo = keyed.join(unseen.select("p", "v"), ["p", "v"], "left_semi")
-    found = todo.withColumn("spans", all_spans(F.col("body"), rules)).filter(F.size("spans") > 0)
-    # One key can have several texts (repeated rows), so the findings are by blob.
+    to_scan = unseen.select("p", "v")
+    skipped = materialise(blobs.select("p", "v").join(to_scan, ["p", "v"], "left_anti").distinct())
+    may_scan, may_skip = bloom(to_scan, most_bits), bloom(skipped, most_bits)
+    in_both = bloom(materialise(to_scan.filter(may_skip("p", "v"))), most_bits)
+    todo = keyed.filter(may_scan("p", "v") & (~may_skip("p", "v") | in_both("p", "v")))
+    found = computed(todo, spans=all_spans(F.col("body"), rules)).filter(F.size("spans") > 0)
+    # One key can have several texts (repeated rows), and a blob several scanned rows, so the findings are by blob.
     found = materialise(found.select(F.sha2("body", 256).alias("blob"), "spans").dropDuplicates(["blob"]))
     fresh = unseen.select("blob", F.lit(version).alias("rules")).join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     known = found.select("blob", "spans")
@@ -122,8 +123,12 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+LEDGER = "blob string, rules string, spans " + SPAN
+
+
 def op9_secret_scan(spark, sf_dir):
-    rows, _ = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), path_col="doc_id", version_col=None)
+    """Every path has one version and the ledger is empty: all blobs are unseen."""
+    rows, _ = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), spark.createDataFrame([], LEDGER), path_col="doc_id", version_col=None)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return rows.select(F.col("path").alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
