@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -92,3 +94,48 @@ def test_clustered_text_in_several_elements():
     assert h.main_text(page) == f"{BODY}\n\n{BODY}\n\n{last}\n\nEnd"
     page = f"<body><div><p>{LONG}</p></div><h1>T</h1><div>{PARAGRAPHS * 4}</div>{menu}</body>"
     assert h.main_text(page) == "\n\n".join([LONG.strip(), "T", *[BODY] * 4])
+
+
+LINK = "<p><a href='/x'>One link</a></p>"
+
+
+def menus():
+    """An unmarked page: a link between paragraphs belongs to them, unmarked menus around them don't."""
+    far, head, tail = LINK * 6, "<p>By A</p><p>May 1</p>", "<p>Said</p><p>Done</p>"
+    return f"<body><div>{far}{head}<p>{LONG}</p>{LINK}<p>{LONG}</p>{tail}{far}</div></body>", "\n\n".join(["By A", "May 1", LONG.strip(), "One link", LONG.strip(), "Said", "Done"])
+
+
+def test_ratios_decide_on_unmarked_pages(monkeypatch):
+    page, want = menus()
+    assert h.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(h, "smoothed", lambda ratios: ratios)
+        assert h.main_text(page) != want
+    with monkeypatch.context() as m:
+        m.setattr(h, "smoothed", np.zeros_like)
+        assert h.main_text(page) != want
+    with monkeypatch.context() as m:
+        m.setattr(h, "THRESHOLD", 1e9)
+        assert h.main_text(page) != want
+
+
+def test_ratios_decide_between_articles_and_the_rest(monkeypatch):
+    page = f"<body><article><h3>Card</h3><p>Teaser</p></article><div>{PARAGRAPHS}<p>{LONG * 2}</p></div><article><p>Another card</p></article></body>"
+    want = BODY + "\n\n" + (LONG * 2).strip()
+    assert want in h.main_text(page) and "Card" not in h.main_text(page)
+    monkeypatch.setattr(h, "MARKED", 0)
+    assert want not in h.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<span><div>x</div>" * 60_000, "<b>" * 150_000 + "</i>" * 150_000, "<div>x" * 170_000, "<p>" * 300_000 + "x", "<li><b>" * 140_000 + "x", "<a>" * 330_000 + "x"])
+def test_a_megabyte_of_odd_markup(page):
+    """Linear in time and memory, however deep the elements nest."""
+    assert 0.9e6 < len(page) < 1.3e6
+    start = time.process_time()
+    h.main_text(page)
+    assert time.process_time() - start < 20
+    tracemalloc.start()
+    h.main_text(page[: len(page) // 10])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20

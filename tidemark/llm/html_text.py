@@ -1,24 +1,28 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
 The standard library's parser streams a page's events.  Block-level tags end a line; a line knows its text, how many
-tags came with it, the elements that hold it, and whether one of them is boilerplate by its tag, role, or a word of its
+tags came with it, the element that holds it, and whether one of the open elements is boilerplate by its tag, role, or a word of its
 class or id.  Regions are the elements that directly hold lines.  The lines' text-to-tag ratios are smoothed with a
 Gaussian, lines above THRESHOLD standard deviations cluster
 into content, and the clusters choose the regions: ``article`` elements if MARKED times the clustered text outside them is no more than
 that inside, else ``main`` elements by the same test, else the smallest element that holds nine tenths of the clustered text and,
 beside it, all other clustered lines with the outermost elements around them whose text is mostly clustered.
 Lines of links alone don't count in this unless all clustered lines are such.  Every line of a chosen region that isn't
-boilerplate is kept, short ones too.
+boilerplate is kept, short ones too; outside marked regions a line of links alone (a menu's) is kept only if it clusters.
+
+Elements know their parent and open elements are found by tag, so time and memory are linear in the page, however deep it nests.
 
 Cases: null and empty pages give an empty text; text outside any block counts as a block; unclosed elements end with
-their parent or the next block; unknown end tags are ignored; white space is what ``str.split`` takes for it;
-repeated rows give repeated results; null ids and URLs stay null; other columns are ignored.
+their parent or the next block; unknown end tags are ignored; white space is what ``str.split`` takes for it; very long and very deep pages
+are parsed whole; repeated rows give repeated results; null ids and URLs stay null; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +50,29 @@ PAGE_HEADER = {"header", "head"}
 WRAPS = set("wrap wrapper container layout page body no has with".split())
 
 
+class Open(NamedTuple):
+    """An open element: what is told of it, and of all that hold it."""
+
+    tag: str
+    number: int
+    gone: bool
+    article: bool
+    title: bool
+    link: bool
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, holders, boilerplate) lines; ``holders`` are the numbers of the open elements."""
+    """Collects (text, tags, holder, boilerplate) lines; ``holder`` is the number of the innermost open element, 0 for none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, number, boilerplate, in an article, in an h1, in a link
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}  # where in ``open`` the elements of a tag are
+        self.blocks: list[int] = []  # and those of block level
         self.parts: list[str] = []
-        self.tags, self.number = 0, 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.tags = 0
+        self.parent = [0]  # of each element
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.titles: set[int] = set()  # lines in an h1
         self.links: set[int] = set()  # lines of links alone
         self.unlinked = False  # the line has text outside links
@@ -68,21 +86,32 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            if self.open and self.open[-1][4]:
+            if self.open and self.open[-1].title:
                 self.titles.add(len(self.lines))
             if not self.unlinked:
                 self.links.add(len(self.lines))
-            self.lines.append((text, self.tags, tuple([o[1] for o in self.open]), bool(self.open) and self.open[-1][2]))
+            self.lines.append((text, self.tags, self.open[-1].number if self.open else 0, bool(self.open) and self.open[-1].gone))
             self.tags = 0
         self.parts.clear()
         self.unlinked = False
 
+    def close_from(self, place: int) -> None:
+        """End the open elements from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, -1 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def dropped(self, tag: str, attrs: list) -> bool:
         if tag in ("html", "body", "main"):
             return False
         if tag in DROPPED:
             return True
-        inside = bool(self.open) and self.open[-1][3]
+        inside = bool(self.open) and self.open[-1].article
         if tag == "header":
             return not inside
         given = {k: v or "" for k, v in attrs}
@@ -104,47 +133,41 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
             self.implied(tag)
-        over = bool(self.open) and self.open[-1][2]
-        self.number += 1
-        gone = over or self.dropped(tag, attrs)
+        top = self.open[-1] if self.open else Open("", 0, False, False, False, False)
+        number = len(self.parent)
+        self.parent.append(top.number)
+        gone = top.gone or self.dropped(tag, attrs)
         if not gone and (tag == "article" or dict(attrs).get("itemprop") == "articleBody"):
-            self.articles.add(self.number)
+            self.articles.add(number)
         if not gone and (tag == "main" or dict(attrs).get("role") == "main"):
-            self.mains.add(self.number)
-        article, title, link = self.open[-1][3:] if self.open else (False, False, False)
-        self.open.append((tag, self.number, gone, article or self.number in self.articles, title or tag == "h1", link or tag == "a"))
+            self.mains.add(number)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(Open(tag, number, gone, top.article or number in self.articles, top.title or tag == "h1", top.link or tag == "a"))
 
     def implied(self, tag: str) -> None:
-        if tag in ("body", "main", "article"):
-            for i, (name, *_) in enumerate(self.open):
-                if name == "head":
-                    del self.open[i:]
-                    break
+        if tag in ("body", "main", "article") and self.places.get("head"):
+            self.close_from(self.places["head"][0])
         names, bounds = CLOSES.get(tag, ("p", "") if tag not in ("html", "head", "body", "title", "option") else ("", ""))
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in names.split():
-                del self.open[i:]
-                return
-            if name in bounds.split() or name in BLOCK and not bounds:
-                return
+        place = self.last(names.split())
+        if place >= 0 and place >= (self.last(bounds.split()) if bounds else self.blocks[-1]):
+            self.close_from(place)
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                break
+        place = self.last((tag,))
+        # An inline element doesn't end beyond the block it is in.
+        if place >= 0 and (tag in BLOCK or not self.blocks or place > self.blocks[-1]):
+            self.close_from(place)
 
     def handle_data(self, data):
         # Boilerplate inside a line (a script, a button) leaves the line without it.
-        if not (self.open and self.open[-1][2]) or self.open[-1][0] in BLOCK:
+        if not (self.open and self.open[-1].gone) or self.open[-1].tag in BLOCK:
             self.parts.append(data)
-            self.unlinked = self.unlinked or not (self.open and self.open[-1][5]) and not data.isspace()
+            self.unlinked = self.unlinked or not (self.open and self.open[-1].link) and not data.isspace()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray:
@@ -153,46 +176,66 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndar
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
+def held_by(parent: list[int], chosen: set[int]) -> list[bool]:
+    """Whether each element is one of the chosen or in one; parents have smaller numbers than what they hold."""
+    out = [False] * len(parent)
+    for n in range(1, len(parent)):
+        out[n] = n in chosen or out[parent[n]]
+    return out
+
+
+def sums(parent: list[int], lines) -> list[int]:
+    """The length of the lines that each element holds, itself or in others; 0 holds all."""
+    out = [0] * len(parent)
+    for text, _, holder, _ in lines:
+        out[holder] += len(text)
+    for n in range(len(parent) - 1, 0, -1):
+        out[parent[n]] += out[n]
+    return out
+
+
 def content_blocks(html: str) -> list[str]:
     """The main text's blocks in page order."""
     page = Lines()
     feed(page, html)
     page.flush()
-    lines = page.lines
+    lines, parent = page.lines, page.parent
     if not lines:
         return []
     ratios = np.array([0.0 if gone else len(text) / max(1, tags) for text, tags, _, gone in lines])
     smooth = smoothed(ratios)
-    content = [(smooth[i] >= min(THRESHOLD * ratios.std(), smooth.max())) and not line[3] for i, line in enumerate(lines)]
+    least = min(THRESHOLD * ratios.std(), smooth.max())
+    content = [bool(high) and not line[3] for high, line in zip(smooth >= least, lines, strict=True)]
     said = [good and i not in page.links for i, good in enumerate(content)]
-    clustered = [line for line, good in zip(lines, said if any(said) else content, strict=True) if good]
+    said = said if any(said) else content
+    clustered = [line for line, good in zip(lines, said, strict=True) if good]
     whole = sum(len(line[0]) for line in clustered)
     for chosen in (page.articles, page.mains):
-        kept = [text for text, _, held, gone in lines if not gone and chosen.intersection(held)]
-        inside = sum(len(text) for text, _, held, _ in clustered if chosen.intersection(held))
+        within = held_by(parent, chosen)
+        kept = [text for text, _, holder, gone in lines if not gone and within[holder]]
+        inside = sum(len(text) for text, _, holder, _ in clustered if within[holder])
         if kept and MARKED * (whole - inside) <= inside:
             return kept
-    weights: dict[int, int] = {}
-    for text, _, held, _ in clustered:
-        for n in held:
-            weights[n] = weights.get(n, 0) + len(text)
+    menu = [i in page.links and not good for i, good in enumerate(content)]
+    weights = sums(parent, clustered)
     # Elements are numbered in page order, so of nested ones the inner has the higher number.
-    chosen = {max((n for n, w in weights.items() if w >= 0.9 * whole), default=0)}
-    if chosen == {0}:
-        return [text for text, _, _, gone in lines if not gone]
+    best = max((n for n, w in enumerate(weights) if w >= 0.9 * whole), default=0)
+    if not best:
+        return [line[0] for i, line in enumerate(lines) if not line[3] and not menu[i]]
+    within = held_by(parent, {best})
     # A title may stand before the element that holds the rest.
-    first = next(i for i, line in enumerate(lines) if not line[3] and chosen.intersection(line[2]))
+    first = next(i for i, line in enumerate(lines) if not line[3] and within[line[2]])
     # Clustered text outside it comes with its own regions: the outermost elements beside it whose text is mostly clustered.
-    beside = [i for i, good in enumerate(said if any(said) else content) if good and not chosen.intersection(lines[i][2])]
+    beside = {i for i, good in enumerate(said) if good and not within[lines[i][2]]}
     if beside:
-        lengths: dict[int, int] = {}
-        for text, _, held, gone in lines:
-            for n in () if gone else held:
-                lengths[n] = lengths.get(n, 0) + len(text)
-        above = set(lines[first][2][: lines[first][2].index(*chosen)])
-        chosen |= {n for i in beside for n in [n for n in lines[i][2] if n not in above and 2 * weights[n] > lengths[n]][:1]}
-    alone = set(beside)
-    return [line[0] for i, line in enumerate(lines) if not line[3] and (chosen.intersection(line[2]) or i in alone or i < first and i in page.titles)]
+        lengths, above, n = sums(parent, [line for line in lines if not line[3]]), set(), best
+        while n:
+            n = parent[n]
+            above.add(n)
+        mostly = {n for n in range(1, len(parent)) if n not in above and 2 * weights[n] > lengths[n]}
+        holds = held_by(parent, mostly)
+        within = [a or b for a, b in zip(within, holds, strict=True)]
+    return [line[0] for i, line in enumerate(lines) if not line[3] and not menu[i] and (within[line[2]] or i in beside or i < first and i in page.titles)]
 
 
 def main_text(html: str | None) -> str:
