@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from random import Random
 
 import pyarrow as pa
@@ -56,5 +57,32 @@ def test_round_trip_of_bytes(turns):
     assert text.count("</s>") == text.count("<s>") == len(turns) and turn[-1] == len(out)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "é"]), st.lists(st.sampled_from(PIECES)).map("".join)), min_size=1, max_size=30), st.sampled_from([1, 5, 40]))
+def test_small_slices_change_nothing(turns, size):
+    schema = pa.schema([("id", pa.int64()), ("n_rows", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pydict({"id": [i // 4 for i in range(len(turns))], "role": [r for r, _ in turns], "body": [t for _, t in turns]})
+    want = c.formatted_batch(batch, schema)
+    old, old_most = c.SLICE, c.MOST
+    c.SLICE, c.MOST = size, size
+    try:
+        assert c.formatted_batch(batch, schema).equals(want)
+        parts = [c.formatted_batch(p, schema) for p in c.parted(batch)]
+        assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches([want]))
+    finally:
+        c.SLICE, c.MOST = old, old_most
+
+
+def test_memory_of_a_long_conversation():
+    """Numpy's and Python's memory; Arrow's escaped copies are some two bytes a byte on top."""
+    schema = pa.schema([("id", pa.int64()), ("n_rows", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pydict({"id": [1] * 40, "role": ["user", "assistant"] * 20, "body": ["é words </s> " * 80_000] * 40})
+    tracemalloc.start()
+    out = c.formatted_batch(batch, schema)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 1 and most < 3 * batch.nbytes + (150 << 20)
+
+
 def test_empty(spark):
     assert c.read_back(c.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0

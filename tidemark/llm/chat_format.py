@@ -7,11 +7,16 @@ the assistants' texts, in code points.
 
 The rows come sorted by conversation and turn.  For a batch, numpy works out the lengths of all segments, their
 cumulative offsets and where each byte goes, and copies headers, texts and ends into one preallocated buffer, which
-becomes the Arrow column as it is.  A conversation that goes on in the next batch is finished there.
+becomes the Arrow column as it is.  The scatter indices are made for ``SLICE`` bytes at a time, and a segment larger than that is
+copied as it is, so what is held beside the texts and the buffer doesn't grow with either.  A conversation that goes on
+in the next batch is finished there.
+
+A conversation is one value of the result, so one task writes it, in some 5 bytes of memory a byte of text; one of 2 GB or more can't be a
+value and is refused by an error.
 
 Cases: a null text or role is empty; rows of one turn (ties, repeated rows) are all kept, sorted by role and text; rows
-without a turn number come first; rows with a null id are one conversation with a null id; other columns are ignored;
-an empty table gives an empty result.
+without a turn number come first; rows with a null id are one conversation with a null id; long conversations and very long texts
+are written whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from tidemark.llm.common import read
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, CLOSE, END = b"<s>[INST]", b"[/INST]", b"</s>"
 LOSS_ROLE = "assistant"
+SLICE, MOST, LIMIT = 4 << 20, 512 << 20, (1 << 31) - 1
 
 FORMATTED = "id bigint, n_rows bigint, formatted string, loss_spans array<bigint>"
 TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.DOTALL)
@@ -38,7 +44,7 @@ ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(column: pa.Array) -> pa.Array:
-    column = pc.replace_substring(pc.fill_null(column.cast(pa.string()), ""), "\\", "\\\\")
+    column = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\\", "\\\\")
     for c in CONTROLS:
         column = pc.replace_substring(column, c, f"{c[0]}\\{c[1:]}")
     return column
@@ -53,23 +59,36 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
-    return at.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    return at, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
 def scatter(out: np.ndarray, to: np.ndarray, at: np.ndarray, data: np.ndarray) -> None:
-    """Copy value i of a column (``at``, ``data``) to ``to[i]``, all values at once."""
+    """Copy value i of a column (``at``, ``data``) to ``to[i]``, all values at once; a large one as it is."""
     size = np.diff(at)
-    index = np.repeat(to - at[:-1], size) + np.arange(at[0], at[-1])
-    out[index] = data[at[0] : at[-1]]
+    if size.sum() <= SLICE:
+        index = np.repeat(to - at[:-1], size) + np.arange(at[0], at[-1])
+        out[index] = data[at[0] : at[-1]]
+    else:
+        for place, n, start in zip(to.tolist(), size.tolist(), at.tolist()):
+            out[place : place + n] = data[start : start + n]
 
 
 def fixed(out: np.ndarray, to: np.ndarray, what: bytes) -> None:
     out[(to[:, None] + np.arange(len(what))).ravel()] = np.tile(np.frombuffer(what, np.uint8), len(to))
 
 
+def slices(turn: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of turns of up to ``SLICE`` bytes, or of one turn."""
+    start = 0
+    while start < len(turn) - 1:
+        stop = max(start + 1, int(np.searchsorted(turn, turn[start] + SLICE, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all turns, start of each turn and the end, start of each text) for one batch."""
+    """(bytes of all turns, start of each turn and the end, start and end of each text) for one batch."""
     role_at, role_data = bytes_of(escape(roles))
     text_at, text_data = bytes_of(escape(texts))
     n_role, n_text = np.diff(role_at), np.diff(text_at)
@@ -78,26 +97,41 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     out = np.empty(turn[-1], np.uint8)
     role_to = turn[:-1] + len(OPEN)
     text_to = role_to + n_role + len(CLOSE)
-    fixed(out, turn[:-1], OPEN)
-    scatter(out, role_to, role_at, role_data)
-    fixed(out, role_to + n_role, CLOSE)
-    scatter(out, text_to, text_at, text_data)
-    fixed(out, text_to + n_text, END)
+    for a, b in slices(turn):
+        fixed(out, turn[a:b], OPEN)
+        scatter(out, role_to[a:b], role_at[a : b + 1], role_data)
+        fixed(out, role_to[a:b] + n_role[a:b], CLOSE)
+        scatter(out, text_to[a:b], text_at[a : b + 1], text_data)
+        fixed(out, text_to[a:b] + n_text[a:b], END)
     return out, turn, np.stack([text_to, text_to + n_text], 1)
 
 
+def code_points(out: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points before each of the rising places ``at``, the first of which is 0: bytes that don't go on an earlier one."""
+    counts, places = [], [0]
+    for start in range(0, len(out), SLICE):
+        stop = min(start + SLICE, len(out))
+        within = at[np.searchsorted(at, start, "right") : np.searchsorted(at, stop)]
+        edges = np.unique(np.concatenate([[start], within]))
+        counts.append(np.add.reduceat((out[start:stop] & 0xC0) != 0x80, edges - start, dtype=np.int64))
+        places.extend([*edges[1:].tolist(), stop])
+    before = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+    return before[np.searchsorted(np.array(places), at)]
+
+
 def formatted_batch(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     """One row for each run of rows with the same id."""
     roles, texts = batch.column("role"), batch.column("body")
     out, turn, spans = assemble(roles, texts)
+    if len(out) > LIMIT:
+        raise ValueError(f"a conversation of {len(out)} bytes is no value: {batch.column('id')[0]}")
     first = starts(batch.column("id"))
     bounds = np.append(first, batch.num_rows)
-    # Code points before each byte: those that don't go on an earlier one.
-    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
     loss = pc.fill_null(pc.equal(roles, LOSS_ROLE), False).to_numpy(zero_copy_only=False)
-    begin = points[turn[bounds[:-1]]]
+    points = code_points(out, np.concatenate([np.stack([turn[:-1], spans[:, 0], spans[:, 1]], 1).ravel(), turn[-1:]]))
+    begin = points[3 * bounds[:-1]]
     of = np.repeat(np.arange(len(first)), np.diff(bounds))
-    masked = (points[spans] - begin[of][:, None])[loss].ravel()
+    masked = (np.stack([points[1:-1:3], points[2::3]], 1) - begin[of][:, None])[loss].ravel()
     n_masked = np.concatenate([[0], np.cumsum(2 * np.bincount(of[loss], minlength=len(first)))])
     offsets = turn[bounds].astype(np.int32)
     text = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out))
@@ -105,6 +139,17 @@ def formatted_batch(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(first)), pa.array(np.diff(bounds), pa.int64()), text, listed], schema=schema)
 
 
+def parted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole conversations of some ``MOST`` bytes of text, or one conversation."""
+    first = np.append(starts(batch.column("id")), batch.num_rows)
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("body")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])[first]
+    start = 0
+    while start < len(first) - 1:
+        stop = max(start + 1, int(np.searchsorted(size, size[start] + MOST, "right")) - 1)
+        yield batch.slice(int(first[start]), int(first[stop] - first[start]))
+        start = stop
+
+
 def starts(ids: pa.Array) -> np.ndarray:
     """Rows at which another id begins (null is an id of its own)."""
     if not len(ids):
@@ -114,7 +159,7 @@ def starts(ids: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (null[1:] != null[:-1])]))
 
 
-def whole_conversations(batches: Iterator[pa.RecordBatch], most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+def whole_conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that end where a conversation ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -151,14 +196,20 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     def run(batches):
         for batch in whole_conversations(batches):
-            yield formatted_batch(batch, schema)
+            for part in parted(batch):
+                yield formatted_batch(part, schema)
 
     return dealt.mapInArrow(run, FORMATTED)
 
 
-def parsed(formatted: str) -> list[tuple[str, str]]:
+def turns_of(formatted: str) -> Iterator[tuple[str, str]]:
     """The (role, text) turns of a formatted conversation."""
-    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
+    for m in TURN.finditer(formatted):
+        yield unescape(m[1]), unescape(m[2])
+
+
+def parsed(formatted: str) -> list[tuple[str, str]]:
+    return list(turns_of(formatted))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -167,13 +218,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for id_, text, spans in zip(batch.column("id").to_pylist(), batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
-                turns = parsed(text)
-                every = hashlib.sha256()
-                for role, said in turns:
-                    every.update(f"{role}\n{said}\n".encode())
-                loss = "".join(unescape(text[a:b]) for a, b in zip(spans[::2], spans[1::2], strict=True))
-                rows.append((id_, len(turns), every.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            for i in range(batch.num_rows):
+                text, spans = batch.column("formatted")[i].as_py(), batch.column("loss_spans")[i].as_py()
+                every, loss, n_turns, n_loss = hashlib.sha256(), hashlib.sha256(), 0, 0
+                for role, said in turns_of(text):
+                    every.update(f"{role}\n".encode())
+                    every.update(said.encode())
+                    every.update(b"\n")
+                    n_turns += 1
+                for a, b in zip(spans[::2], spans[1::2], strict=True):
+                    said = unescape(text[a:b])
+                    loss.update(said.encode())
+                    n_loss += len(said)
+                rows.append((batch.column("id")[i].as_py(), n_turns, every.hexdigest(), n_loss, loss.hexdigest(), len(text)))
             names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
