@@ -110,3 +110,17 @@ def test_rows_without_an_id_are_mixed_like_others(spark):
     want = plain_targets({"s": 3000, "t": 1500})
     assert all(abs(5 * sum(r.source == s for r in out) - want[s]) <= 0.12 * float(want[s]) for s in want)
     assert 0.8 < sum(r.doc_id is None for r in out) / sum(r.doc_id is not None for r in out) < 1.25
+
+
+def test_shards_follow_the_source(spark):
+    """Whatever the number of documents a shard, the sources' words come near their targets; more documents make more shards."""
+    rows = [(i, "w " * (1 + i % 5), "a" if i % 3 else "b", None, None) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS)
+    for shard_rows in (20, 10_000):
+        got = mixing.mix(df, shard_rows=shard_rows).collect()
+        for target in {r.target for r in got}:
+            taken = sum(r.taken for r in got if r.target == target)
+            assert abs(taken - target) <= 2 * 900 / shard_rows + 2
+        assert all(r.taken <= 2 * r.size for r in got)
+    plan = mixing.mix(df, shard_rows=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod" in plan and "shards" in plan

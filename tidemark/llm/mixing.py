@@ -5,14 +5,15 @@
    the sources sorted by size/weight).
 2. Blocks: the mix has equal blocks of ``block`` words (all words of the mix over 2**20, at least one).  The highest
    quotients target/(2k+1) give each source its blocks, then the highest quotients size/(2k+1) give each of the
-   source's shards (by a hash of the id) its own.
+   source's shards (by a hash of the id, some ``SHARD_ROWS`` documents each, however many there are) its own.
 3. Selection: a shard lays its documents in a seeded order.  Its quota is taken as whole passes, then as a run of
    blocks from a seeded block on, around the end of the shard.  A document's share is the overlap of two intervals.
 
-All windows run over sources, shards of one source or documents of one shard, never over a whole source.
+All windows run over sources (which are few: their names are compared in one task), shards of one source or documents of one
+shard, never over a whole source.
 
 Cases: a null text has size 0; null is a source of its own, the last; sources are sorted by code point; documents of
-size 0 and sources without words take nothing; rows with the same id are taken as separate documents; rows with a null
+size 0 and sources without words take nothing; a very long document is taken whole or not, or in part by ``taken``; rows with the same id are taken as separate documents; rows with a null
 id are laid by their texts and come out like others (whole rows of one source and one id, or one text without an id, as
 often as the most taken of them); other columns are ignored; an empty table gives an empty result.
 """
@@ -22,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialise, read
+from tidemark.llm.common import WORD, materialise, read, tidy
 
 WEIGHTS = (3, 1, 2)
-SHARE, EPOCHS, BLOCKS, SHARDS, SEED = 1.5, 2, 1 << 20, 256, 20240229
+SHARE, EPOCHS, BLOCKS, SHARD_ROWS, SEED = 1.5, 2, 1 << 20, 20_000, 20240229
 
 
 def n_words(text: Column) -> Column:
@@ -74,27 +75,30 @@ def sainte_lague(df: DataFrame, group: list[str], key: str, weight: str, seats:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """(key, source_size, target): the sources by code point, null last, with the weights in turn."""
-    by_source = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    """(key, source_size, source_rows, target): the sources by code point, null last, with the weights in turn."""
+    by_source = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weighed = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))
     return water_level(weighed.drop("source"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+@tidy
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
     """(id, size, source_size, target, taken, copies, key, order) for every row; ``copies`` is ``taken`` to whole documents."""
     id, text, source = F.col(id_col), F.col(text_col), F.col(source_col)
     sizes = materialise(
         docs.select(
             id.alias("id"), source.cast("string").alias("source"), source_key(source).alias("key"), n_words(text).alias("size"),
-            hashed(seed, id, text).alias("order"), F.pmod(hashed(seed + 1, id, text), F.lit(shards)).cast("int").alias("shard"),
+            hashed(seed, id, text).alias("order"), hashed(seed + 1, id, text).alias("spread"),
         )
     )
     targets = source_targets(sizes, weights)
     mixed = Window.partitionBy("all")
     targets = targets.withColumn("all", F.lit(0)).withColumn("sum", F.sum("target").over(mixed))
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("sum") / BLOCKS)).cast("long")).withColumn("blocks", F.round(F.col("sum") / F.col("block")).cast("long"))
-    targets = materialise(sainte_lague(targets, ["all"], "key", "target", "blocks").select("key", "source_size", "target", "block", F.col("quota").alias("blocks")))
+    targets = sainte_lague(targets, ["all"], "key", "target", "blocks").withColumn("shards", F.ceil(F.col("source_rows") / shard_rows))
+    targets = materialise(targets.select("key", "source_size", "target", "block", F.col("quota").alias("blocks"), "shards"))
+    sizes = sizes.join(targets.select("key", "shards"), "key").withColumn("shard", F.pmod("spread", "shards")).drop("spread", "shards")
 
     by_shard = sizes.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(targets.select("key", "block", "blocks"), "key")
     quotas = sainte_lague(by_shard, ["key"], "shard", "words", "blocks")
