@@ -35,8 +35,9 @@ def test_held_out_accuracy_and_odd_rows(spark):
     df = spark.createDataFrame(rows + odd, SCHEMA)
     model = langid.train(df, per_language=40)
     assert set(model.languages) == {"germanic", "romance", "xx"}
-    got = langid.identify(df, model, keep=("lang", "label")).collect()
+    got = langid.identify(df, model, whole=True).collect()
     assert len(got) == len(rows) + len(odd)
+    assert sorted(map(tuple, (r.row for r in got)), key=str) == sorted(rows + odd, key=str)
     by = {r.id: r for r in got}
     assert all(0 <= r.score <= 1 for r in got)
     assert [by[i].lang_pred for i in (9001, 9002, 9003, 9004)] == ["und", "und", "und", "en"]
@@ -78,3 +79,38 @@ def test_query(spark, sf_dir):
 @pytest.mark.parametrize("text", ["a", "é", "ab"])
 def test_short(text):
     assert langid.counts(text).sum() > 0
+
+
+def plain_prediction(model, text):
+    """The families' and languages' votes, from byte sequences counted one by one."""
+    folded = b" " + b" ".join(bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.lower().encode()).split()) + b" "
+    x = np.zeros(langid.BUCKETS)
+    m = 1 << 32
+    for i, a in enumerate(folded):
+        x[(a * 2654435761 % m) >> 19] += 1
+        if i + 1 < len(folded):
+            two = (a * 40503 + folded[i + 1] * 2246822519) % m
+            x[(two * 2654435761 % m) >> 19] += 1
+        if i + 2 < len(folded):
+            x[((two * 3266489917 + folded[i + 2] * 668265263) % m * 2654435761 % m) >> 19] += 1
+    x = np.sqrt(x) / np.linalg.norm(np.sqrt(x))
+
+    def best(names, pairs):
+        won = dict.fromkeys(names, 0)
+        for (a, b), w in pairs.items():
+            won[a if x @ w[:-1] + w[-1] >= 0 else b] += 1
+        top = [n for n in names if won[n] == max(won.values())]
+        assert len(top) == 1
+        return top[0]
+
+    return best(model.languages[best(list(model.languages), model.of_family)], model.of_language[best(list(model.languages), model.of_family)])
+
+
+def test_query_against_plain_votes(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
+    got = langid.op4_language_id(spark, sf).collect()
+    assert {r.doc_id: (r.held_out, r.lang_pred) for r in got} == {
+        i: (is_held(i), plain_prediction(model, r.text) if r.text and any(c.isalpha() for c in r.text) else "und") for i, r in docs.items()
+    }

@@ -73,3 +73,34 @@ def test_language_without_labels(spark):
     rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "más", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert sorted(r.text for r in pipeline.language_id(spark, docs, "").collect()) == ["más", "some words"]
+
+
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, score string, lang_pred string, row string, body string, digest string, key int, salt int, __gone int"
+
+
+def test_extra_columns_null_ids_and_repeated_rows(spark):
+    """Every stage keeps clashing columns and null ids; of repeated rows one stays."""
+    extra = (1, "s", "p", "r", "b", "d", 2, 3, 4)
+    rows = [(i, f"the words of text number {i} and {i * 7}", "en", f"src{i % 3}", 1, *extra) for i in range(40)]
+    rows += [(None, "a text without an id, one of two", None, None, None, *extra), (None, "der zweite Text ohne Nummer", "de", "src0", 1, *extra)]
+    rows += [(50, "the same row twice", "en", "src1", 3, *extra)] * 2 + [(51, "the same row twice ", "en", "src1", 3, *extra), (60, "12 34", "en", "src1", 3, *extra)]
+    docs = spark.createDataFrame(rows, CLASH)
+    seen = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.materialise(stage(spark, docs, ""))
+        assert docs.columns == [c.split()[0] for c in CLASH.split(", ")]
+        seen[name] = sorted((tuple(r) for r in docs.collect()), key=str)
+    unique = sorted([r for r in rows if r[0] not in (50, 51, 60)] + [rows[42]], key=str)
+    assert seen["language_id"] == sorted([r for r in rows if r[0] != 60], key=str)
+    assert len(seen["exact_dedup"]) == len(unique) + 1 and set(seen["exact_dedup"]) >= set(unique)  # a white space at the end is a text of its own
+    assert seen["near_dedup"] == unique
+    assert set(seen["mix_sources"]) <= set(unique) and any(r[0] is None for r in seen["mix_sources"])
+    out = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(out) == len(seen["mix_sources"])
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], CLASH)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0

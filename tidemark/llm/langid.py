@@ -11,8 +11,9 @@ texts, in pieces of ``PIECE`` bytes whose counts add up.
 
 Cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing was learned; one
 learned language is predicted for all texts with letters, with score 1; null labels and held-out rows (a remainder
-of 0; null ids have none and count as held out) are never learned from; other columns are ignored; an empty table gives
-an empty result.
+of 0; null ids have none and count as held out) are never learned from; repeated rows get the same prediction; other columns
+are ignored, or carried along whatever their names; an empty table gives an empty result.  The separators of every pair of
+families and of every pair of languages of one family are on the driver, 32 KB each, so languages may be hundreds but not unbounded.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.common import read
+from tidemark.llm.common import named_apart, read
 
 BUCKETS, PER_LANGUAGE, PIECE, EPOCHS, COST = 1 << 13, 200, 1 << 20, 15, 10.0
 UNKNOWN = "und"
@@ -159,20 +162,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(x, [r[0] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score) and the columns ``keep`` for every row of ``docs``."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, lang_pred, score) for every row of ``docs``; ``whole``: and the row itself, as a struct ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kept = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    given = named_apart(docs if whole else docs.select(F.col(id_col), F.col(text_col)))
+    fields = given.schema["row"].dataType
+    id, text = (fields.names.index(c) for c in (id_col, text_col))
+    schema = StructType([StructField("id", fields[id].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())] + ([StructField("row", fields)] if whole else []))
 
     def run(batches):
         for batch in batches:
-            told = [shared.value.predict(t.as_py()) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", *(f"keep_{c}" for c in keep)])
+            row = batch.column(0)
+            told = [shared.value.predict(t.as_py()) for t in pc.struct_field(row, [text])]
+            columns = [pc.struct_field(row, [id]), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64()), *[row] * whole]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    out = given.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double{kept}")
-    return out.select("id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return given.mapInArrow(run, schema)
 
 
 def op4_language_id(spark, sf_dir):
