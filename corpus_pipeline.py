@@ -7,8 +7,9 @@
 4. mixing: sources to target weights; a document comes out never, once or twice.
 5. BPE: the token ids of every row, with digests of ids and decoded text.
 
-Every stage but the last returns the columns of its input.  Null languages, sources and texts pass through as the
-operators define; an empty table gives an empty result.
+Every stage but the last returns the columns of its input, whatever other columns it has.  Null ids, languages and sources pass
+through; a null, empty or wordless text has no letter and goes in the first stage; a very long text is one document
+throughout; of repeated rows the second stage keeps one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe, vocabulary
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, rows_again
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.langid import BUCKETS, UNKNOWN, Model, identify, train
 from tidemark.llm.mixing import mixed_documents
@@ -29,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not model.languages:  # one language is predicted for all texts with letters
         model = Model(np.zeros((1, BUCKETS), np.float32), ["any"])
-    told = identify(docs, model, keep=tuple(docs.columns))
-    return told.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    told = identify(docs, model, whole=True)
+    return rows_again(told.filter(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
