@@ -1,4 +1,7 @@
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 from random import Random
 
 import public_tokenizers
@@ -87,3 +90,22 @@ def test_query(spark, sf_dir, library):
     for r in op1_bpe(spark, sf_dir).collect():
         ids, decoded = want(library, text[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids.split()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_a_word_of_a_million_letters(library):
+    """In a process of its own: equal to the library, in memory that is linear in the word."""
+    code = """
+import hashlib, resource, sys
+from random import Random
+from tidemark.llm.bpe import WordBpe, vocabulary
+coder = WordBpe(vocabulary())
+least = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+word = "".join(Random(5).choices("acgt", k=1_000_000))
+ids, text = next(iter(coder.encoded([word])))
+print("SAID", hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - least) // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
+    _, ids_sha, text_sha, grown = said.stdout[said.stdout.index("SAID"):].split()
+    word = "".join(Random(5).choices("acgt", k=1_000_000))
+    ids, text = want(library, word)
+    assert (ids_sha, text_sha) == (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) and int(grown) < 400

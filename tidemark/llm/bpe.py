@@ -3,11 +3,14 @@
 A BPE encoding has one last token, and the encoding of a word without its last token's symbols is the encoding of that
 prefix.  So a prefix is described by its last token alone: it is the one vocabulary entry that ends the prefix and whose
 pair with the last token of what comes before is stable, i.e. encodes to itself.  The distinct words of a slice of texts
-go into a trie; a depth-first walk finds each node's last token from those of its ancestors, so a prefix that many words
-share is encoded once.  A word's ids are read back from its end.
+form a trie, walked depth-first: in sorted order a word has its path in common with the word before as far as their bytes agree,
+and only the rest of the path is new.  The last tokens of the nodes on the path are all the state there is, so a prefix that many words
+share is encoded once, and a word takes memory in proportion to its length.  A word's ids are read back from its end.
+Which entries end a prefix is found by a trie of the vocabulary's entries read backwards.
 
 Texts are cut into slices of ``SLICE`` characters' worth of documents for the trie; known words are kept between slices
-up to ``KNOWN`` of them, so memory doesn't grow with the input.  One document is one row, however long.
+up to ``KNOWN`` of them and ``KNOWN_BYTES`` bytes, so memory doesn't grow with the number of documents.  One document is one row,
+however long, and so is a word.
 
 Cases: a null text is empty and has no tokens; special-token strings in a text become special tokens, as in the
 library; repeated rows give repeated results; null ids stay null; other columns are ignored; an empty table gives an
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 
-SLICE, KNOWN, PAIRS = 1 << 20, 500_000, 1 << 19
+SLICE, KNOWN, KNOWN_BYTES, PAIRS = 1 << 20, 500_000, 1 << 24, 1 << 19
 WORD_END = "</w>"
 #: Case pairs of Unicode 16, which the library's tables have and Python's may lack: upper-case code point, lower-case one.
 NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
@@ -62,11 +65,22 @@ class WordBpe:
         self.words = regex.compile(split).findall
         self.digits = {i: str(i) for i in self.token}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
-        self.symbols = byte_symbols()
         self.stable: dict[int, bool] = {}
+        # The entries backwards: node and byte to the next node, and the entry (or -1) that each node spells.
+        # Entries that end a word start at another root.
+        self.before: dict[int, int] = {}
+        self.spells = [-1, -1]
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        for token, i in self.vocab.items():
+            spelt, node = token.removesuffix(WORD_END), int(token.endswith(WORD_END))
+            for c in reversed(spelt if all(c in byte_of for c in spelt) else ""):
+                node = self.before.setdefault(node << 8 | byte_of[c], len(self.spells))
+                if node == len(self.spells):
+                    self.spells.append(-1)
+            self.spells[node] = i if node > 1 else -1
         self.ids_of: dict[str, str] = {}
         self.text_of: dict[str, str] = {}
+        self.held = 0
 
     def fits(self, pair: int) -> bool:
         """Does a pair of tokens encode to itself?
@@ -88,68 +102,55 @@ class WordBpe:
             else:
                 return True
 
-    def last_token(self, path: str, last: list[int], ending: str) -> tuple[int, int]:
-        """(id, length) of the last token of the prefix ``path``, from those of its own prefixes (``last``, by length)."""
-        n, get, known = len(path), self.vocab.get, self.stable
-        for size in range(1, min(n, self.longest) + 1):
-            token = get(path[n - size :] + ending)
-            if token is not None:
-                if size == n:
-                    return token, size
-                pair = last[n - size] << 17 | token
+    def last_token(self, data: bytes, n: int, node: int, last: list[int]) -> tuple[int, int]:
+        """(id, start) of the last token of the first ``n`` bytes, from those of its prefixes (``last``, by length)."""
+        before, spells, known = self.before.get, self.spells, self.stable
+        at = n
+        while at:
+            at -= 1
+            node = before(node << 8 | data[at])
+            if node is None:
+                break
+            token = spells[node]
+            if token >= 0:
+                if not at:
+                    return token, 0
+                pair = last[at] << 17 | token
                 fits = known.get(pair)
                 if fits is None:
                     if len(known) >= PAIRS:
                         known.clear()
                     fits = known[pair] = self.fits(pair)
                 if fits:
-                    return token, size
-        raise ValueError(f"no token ends {path!r}")
+                    return token, at
+        raise ValueError(f"no token ends {data[:n]!r}")
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words by one depth-first walk over their trie."""
-        # A word's last symbol is one of its own (it has the word end), so it has a key of its own: the byte's complement.
-        root: dict = {}
-        for word in words:
-            data = (word if word.isascii() else word.translate(NEWER_LOWER)).encode()
-            node = root
-            for b in data[:-1]:
-                below = node.get(b)
-                if below is None:
-                    below = node[b] = {}
-                node = below
-            node[~data[-1]] = word
-        # By length of the prefix: the prefix, its last token and that token's length.
-        paths, last, sizes = [""], [0], [0]
-        symbols, last_token = self.symbols, self.last_token
-        walk = [iter(root.items())]
-        while walk:
-            for b, node in walk[-1]:
-                if b < 0:
-                    self.note(node, paths[-1] + symbols[~b], last, sizes)
-                    continue
-                path = paths[-1] + symbols[b]
-                token, size = last_token(path, last, "")
-                paths.append(path)
+        last_token, digits = self.last_token, self.digits.__getitem__
+        # By length of the prefix: its last token and where that starts.
+        last, starts, path = [0], [0], b""
+        for data, word in sorted(((w if w.isascii() else w.translate(NEWER_LOWER)).encode(), w) for w in words):
+            n, shared = len(data), 0
+            for x, y in zip(data, path):
+                if x != y:
+                    break
+                shared += 1
+            path = data[:-1]  # a word's last byte is one of the word end's
+            shared = min(shared, n - 1)
+            del last[shared + 1 :], starts[shared + 1 :]
+            for size in range(shared + 1, n):
+                token, at = last_token(data, size, 0, last)
                 last.append(token)
-                sizes.append(size)
-                walk.append(iter(node.items()))
-                break
-            else:
-                walk.pop()
-                paths.pop()
-                last.pop()
-                sizes.pop()
-
-    def note(self, word: str, path: str, last: list[int], sizes: list[int]) -> None:
-        token, size = self.last_token(path, last, WORD_END)
-        ids, n = [token], len(path) - size
-        while n:
-            ids.append(last[n])
-            n -= sizes[n]
-        ids.reverse()
-        self.ids_of[word] = " ".join(map(self.digits.__getitem__, ids))
-        self.text_of[word] = self.decode(ids)
+                starts.append(at)
+            token, at = last_token(data, n, 1, last)
+            ids = [token]
+            while at:
+                ids.append(last[at])
+                at = starts[at]
+            ids.reverse()
+            self.ids_of[word] = " ".join(map(digits, ids))
+            self.text_of[word] = self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder of its own, the vocabulary's tokens are joined by spaces."""
@@ -174,12 +175,15 @@ class WordBpe:
     def encoded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by a space, decoded text) of each text."""
         split = [self.split(t) for t in texts]
-        if len(self.ids_of) > KNOWN:
+        if len(self.ids_of) > KNOWN or self.held > KNOWN_BYTES:
             self.ids_of.clear()
             self.text_of.clear()
+            self.held = 0
         for content, i in self.special.items():
             self.ids_of[content], self.text_of[content] = str(i), content
-        self.learn({w for words in split for w in words} - self.ids_of.keys())
+        new = {w for words in split for w in words} - self.ids_of.keys()
+        self.held += sum(map(len, new))
+        self.learn(new)
         ids, text = self.ids_of.__getitem__, self.text_of.__getitem__
         for words in split:
             yield " ".join(map(ids, words)), " ".join(map(text, words))
