@@ -80,33 +80,42 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # where in ``open`` the elements of a tag are
+        self.stops: list[int] = []  # and those that no implied end of a paragraph reaches beyond
 
     def parse_html_declaration(self, i):
         return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def handle_starttag(self, tag, attrs):
         names, bounds = ENDS.get(tag, ("", frozenset()))
-        for i in range(len(self.open) - 1, 0, -1) if names or tag in ENDS_P else ():
-            name = self.open[i].tag
-            if name in names.split() or (tag in ENDS_P and name == "p"):
-                del self.open[i:]
-                break
-            # An open paragraph holds no block, so none is beyond the nearest block.
-            if name in bounds or (not bounds and (name in SCOPES or name in ENDS_P)):
-                break
+        place = self.last([*names.split(), *["p"] * (tag in ENDS_P)])
+        # An open paragraph holds no block, so none is beyond the nearest block.
+        if place and place >= (self.last(bounds) if bounds else self.stops[-1] if self.stops else 0):
+            self.close_from(place)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag in SCOPES or tag in ENDS_P:
+                self.stops.append(len(self.open))
             self.open.append(node)
 
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+        while self.stops and self.stops[-1] >= place:
+            self.stops.pop()
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if place := self.last((tag,)):
+            self.close_from(place)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -154,7 +163,7 @@ class Blocks:
         if table:
             texts = []
             for row in list(table.all("tr"))[1:]:
-                cells = [c.text() for c in row.all("td", "th")][:4]
+                cells = [c.text() for c in row.all("td")][:4]
                 texts.append((row, " | ".join(cells)))
             texts = [(n, t) for n, t in texts if t.strip()]
         else:
