@@ -71,10 +71,40 @@ def hits(text: str | Column, words: list[str] = WATCHED) -> Column:
     """All words that occur in a text, without case, in the vocabulary's order.
 
     The lower-cased text is a lambda's variable, so it is made once however the optimizer moves or copies the expression;
-    as a projected column, a filter on the hits would lower-case the text again for every word.
+    as a projected column, a filter on the hits would lower-case the text again for every word.  Words that share a piece are looked for
+    only where that piece occurs.
     """
-    found = lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words)))
-    return F.transform(F.array(F.lower(default(text))), found)[0]
+    of = guards([w.lower() for w in words])
+    number = {g: i for i, g in enumerate(dict.fromkeys(of.values()))}
+    here = lambda low: F.struct(low.alias("low"), *(F.contains(low, F.lit(g)).alias(f"g{i}") for g, i in number.items()))
+
+    def holds(s: Column, word: str) -> Column:
+        guard = s[f"g{number[of[word]]}"]
+        return guard if of[word] == word else guard & F.contains(s["low"], F.lit(word))
+
+    found = lambda s: F.array_compact(F.array(*(F.when(holds(s, w.lower()), F.lit(w)) for w in words)))
+    return F.transform(F.transform(F.array(F.lower(default(text))), here), found)[0]
+
+
+def guards(words: list[str], least: int = 3) -> dict[str, str]:
+    """For each word a piece of it, so that there are few pieces: again and again the one that most of the words left over share."""
+    out, left = {}, sorted(set(words))
+    while left:
+        shared: dict[str, int] = {}
+        for w in left:
+            for piece in {w[i:j] for i in range(len(w)) for j in range(i + least, len(w) + 1)}:
+                shared[piece] = shared.get(piece, 0) + 1
+        best = max(shared, key=lambda p: (shared[p], len(p), p), default="")
+        here = [w for w in left if best and best in w] if shared.get(best, 0) > 1 else left
+        out |= {w: best if len(here) > 1 and best in w and shared.get(best, 0) > 1 else w for w in here}
+        left = [w for w in left if w not in out]
+    return out
+
+
+def with_hits(df, text: str | Column, words: list[str] = WATCHED, name: str = "matched_keywords"):
+    """The rows that hit, with their hits: worked out once a row, where a filter on a projected column would work them out again."""
+    found = hits(text, words)
+    return df.select("*", F.explode(F.filter(F.array(found), lambda h: F.size(h) > 0)).alias(name))
 
 
 def vendor_profile(vendor: str | Column, profiles: str | Column, vendors: list[str], names: list[str], field: str = "pp_short_name") -> Column:

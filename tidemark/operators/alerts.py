@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import default, hits, spaced
+from tidemark.functions.expr import default, spaced, with_hits
 from tidemark.functions.vocab import REST, WATCHED
 
 # What is scanned, and how an alert names its source and kind.
@@ -40,4 +40,4 @@ def alerts(changes: DataFrame, branches=BRANCHES, words: list[str] = WATCHED) ->
         row = F.struct(name.alias("source"), (default("category", REST) if alert is None else F.lit(alert)).alias("kind"), texts[text].alias("title"))
         chosen = (F.when if chosen is None else chosen.when)(here, row)
     found = changes.select("run_date", "pos", chosen.alias("a")).filter("a IS NOT NULL").select("run_date", "pos", "a.*")
-    return found.withColumn("matched_keywords", hits("title", words)).filter(F.size("matched_keywords") > 0)
+    return with_hits(found, "title", words)

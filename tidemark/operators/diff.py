@@ -68,7 +68,7 @@ def keyed_diff(old: DataFrame, new: DataFrame, by: str, transitions: Sequence[Tr
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
     events = [F.when(F.col("o").isNull(), event("added", nothing, nothing))] * added + [F.when(F.col("n").isNull(), event("removed", nothing, nothing))] * removed
     events += [F.when(both & t.holds(), event(t.kind, F.col(f"o.{t.field}").cast("string"), F.col(f"n.{t.field}").cast("string"))) for t in transitions]
-    found = o.join(n, "entity_key", "full_outer").withColumn("e", F.explode(F.array_compact(F.array(*events))))
+    found = o.join(n, "entity_key", "full_outer").withColumn("e", F.explode(F.array(*events))).filter("e IS NOT NULL")
     return found.select("entity_key", "e.kind", "e.old_value", "e.new_value", F.col("o").alias("old"), F.col("n").alias("new"))
 
 
