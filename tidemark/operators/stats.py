@@ -51,3 +51,11 @@ def totals(changes: DataFrame) -> DataFrame:
 def roll_up(section_totals: DataFrame) -> DataFrame:
     """The totals by statistic."""
     return section_totals.groupBy("stat").agg(F.sum("n").alias("n"))
+
+
+def domain_metrics(changes: DataFrame) -> DataFrame:
+    """What a run says of each domain: (domain, page_items_added, document_changes, feed_items_new, entity_changes)."""
+    at = lambda collection, kind: (F.col("collection") == collection) & (F.col("kind") == kind)
+    pages, documents, feeds = at("pages", "added"), at("documents", "header_changed"), at("feeds", "added")
+    others = ~F.col("collection").isin("pages", "documents", "feeds")
+    return changes.groupBy("domain").agg(F.count_if(pages).alias("page_items_added"), F.count_if(documents).alias("document_changes"), F.count_if(feeds).alias("feed_items_new"), F.count_if(others).alias("entity_changes"))

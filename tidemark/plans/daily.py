@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import category, header_detail, vendor_profile
-from tidemark.functions.vocab import KEPT, PROFILE_WORDS, VENDOR_WORDS, WEEK_FILES
+from tidemark.functions.vocab import KEPT, PROFILE_WORDS, SCHEMA_VERSION, VENDOR_WORDS, WEEK_FILES
 from tidemark.operators import alerts as alerting
 from tidemark.operators import merge, quality, stats
-from tidemark.operators.diff import Transition, cells_diff, feed_diff, header_diff, keyed_diff, text_diff
+from tidemark.operators.diff import Transition, cells_diff, feed_diff, header_diff, keyed_diff, schema_warnings, text_diff
 from tidemark.plans import sinks
 
 CHANGE = "domain string, collection string, group_key string, kind string, entity_key string, pos int, title string, text string, link string, category string, old_value string, new_value string, payload string"
@@ -88,8 +88,8 @@ def compute_changes(old: Snapshot, new: Snapshot) -> DataFrame:
     labs = F.col("domain") == "cctl_labs"
     posts = feed_diff(old["feed_items"].filter(labs), new["feed_items"].filter(labs), "feed_name", ("id", "title"))
     feeds = feed_diff(*(s["feed_items"].filter(~labs).withColumn("__feed", F.concat_ws("\0", "domain", "feed_name")) for s in (old, new)), "__feed").drop("__feed")
-    for rows in (posts, feeds):
-        parts.append(log_rows(rows, F.col("domain"), "feeds", group_key=F.col("feed_name"), kind=F.col("kind"), entity_key=F.coalesce("id", "title", "link"), pos=F.col("pos"), title=F.col("title"), text=F.col("summary"), link=F.col("link"), category=category("title"), payload=payload(rows)))
+    for rows, told in ((posts, None), (feeds, category("title"))):  # posts of labs have no category
+        parts.append(log_rows(rows, F.col("domain"), "feeds", group_key=F.col("feed_name"), kind=F.col("kind"), entity_key=F.coalesce("id", "title", "link"), pos=F.col("pos"), title=F.col("title"), text=F.col("summary"), link=F.col("link"), payload=payload(rows), **({} if told is None else {"category": told})))
 
     pages = text_diff(old["page_items"], new["page_items"], n=120, group=("domain", "page_key"))
     parts.append(log_rows(pages, F.col("domain"), "pages", group_key=F.col("page_key"), kind=F.col("kind"), pos=F.col("pos"), text=F.col("text"), link=F.col("href"), payload=payload(pages)))
@@ -131,6 +131,27 @@ class Store:
         for name in self.collections:
             snapshot[name].write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}/snapshot_date={day}")
 
+    def finish(self, day: str, version: int = SCHEMA_VERSION) -> None:
+        """V4: mark a day as whole, last of all; what isn't marked is done again and never compared with."""
+        fs, p = self._folder(f"{self.root}/finished/snapshot_date={day}/schema_version={version}")
+        fs.create(p, True).close()
+
+    def finished(self) -> list[str]:
+        return self.days("finished")
+
+    def version(self, day: str | None) -> int | None:
+        """The schema version of a day's snapshot."""
+        fs, p = self._folder(f"{self.root}/finished/snapshot_date={day}")
+        return max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if "=" in s.getPath().getName()), default=None) if fs.exists(p) else None
+
+    def write_text(self, name: str, text: str) -> None:
+        fs, p = self._folder(f"{self.root}/published/{name}")
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
     def read(self, day: str | None) -> Snapshot:
         if day is None:
             return empty_snapshot(self.spark)
@@ -138,7 +159,7 @@ class Store:
 
     def prior(self, today: str) -> str | None:
         """L2."""
-        return max((d for d in self.days() if d != today), default=None)
+        return max((d for d in self.finished() if d != today), default=None)
 
     def write_changes(self, changes: DataFrame, day: str) -> None:
         changes.write.mode("overwrite").parquet(f"{self.root}/changes/run_date={day}")
@@ -152,7 +173,7 @@ class Store:
     def rotate(self, keep: int = KEPT) -> list[str]:
         """L3: drop all but the newest ``keep`` days."""
         gone = []
-        for table, name in [*((f"snapshots/{c}", "snapshot_date") for c in self.collections), ("changes", "run_date")]:
+        for table, name in [("finished", "snapshot_date"), *((f"snapshots/{c}", "snapshot_date") for c in self.collections), ("changes", "run_date")]:
             for day in self.days(table, name)[:-keep]:
                 fs, p = self._folder(f"{self.root}/{table}/{name}={day}")
                 fs.delete(p, True)
@@ -160,30 +181,49 @@ class Store:
         return gone
 
 
-def run_daily(store: Store, collect: Callable[[], Snapshot], today: str, send: Callable[[str], None] | None = None) -> dict:
-    """Guard, collect, check, persist, diff, alert, rotate.  A second run of a day does nothing."""
-    if today in store.days():
+def run_daily(store: Store, collect: Callable[[], Snapshot], today: str, send: Callable[[str], None] | None = None, log: Callable[[str], None] = print) -> dict:
+    """Guard, collect, check, persist, diff, alert, publish, rotate.  A second run of a whole day does nothing."""
+    if today in store.finished():
         return {"skipped": True}
     snapshot = empty_snapshot(store.spark) | collect()
     warnings = quality.require(quality.checks(counts(snapshot)))
     prior = store.prior(today)
+    warnings += schema_warnings(store.version(prior), SCHEMA_VERSION, SCHEMA_VERSION) if prior else []
     store.write(snapshot, today)
     found = compute_changes(store.read(prior), store.read(today))
     store.write_changes(found if prior else quality.first_run(found), today)
+    store.finish(today)
     store.rotate()
-    log = store.changes([today])
-    told = [r.asDict() for r in alerting.alerts(log).collect()] if prior else []
+    changes = store.changes([today])
+    metrics = [r.asDict() for r in stats.domain_metrics(changes).orderBy("domain").collect()]
+    for m in metrics:
+        log(f"[{m['domain']}] page items added: {m['page_items_added']}, documents changed: {m['document_changes']}, feed items new: {m['feed_items_new']}, entities changed: {m['entity_changes']}")
+    told = [r.asDict() for r in alerting.alerts(changes).collect()] if prior else []
+    publish(store, today)
     sent = sinks.notify(sinks.chat_message(told), send)
-    return {"skipped": False, "prior": prior, "warnings": warnings, "alerts": told, "sent": sent}
+    return {"skipped": False, "prior": prior, "warnings": warnings, "alerts": told, "metrics": metrics, "sent": sent}
+
+
+def publish(store: Store, today: str) -> None:
+    """K1-K3: the day's JSON, dashboard and feed under ``published``."""
+    changes = store.changes([today])
+    store.write_text(f"{today}_diff.json", sinks.as_json(changes))
+    store.write_text("dashboard.html", render(store, today, today))
+    items = sinks.rss_items(changes, alert_rows=alerting.alerts(changes))
+    store.write_text("changes.rss", sinks.rss_document(items, "Changes", "https://www.niap-ccevs.org/", "Changes between snapshots"))
 
 
-def run_weekly(store: Store, n: int = WEEK_FILES) -> tuple[DataFrame, DataFrame]:
-    """The merged log of the last ``n`` days there are, and the merged alerts."""
+def run_weekly(store: Store, n: int = WEEK_FILES, send: Callable[[str], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merged log of the last ``n`` days there are, and the merged alerts; published as JSON, and sent as a digest."""
     days = store.days("changes", "run_date")[-n:]
     if not days:
         raise FileNotFoundError("no change logs yet")
     log = store.changes(days)
-    return merge.merge_changes(log), merge.merge_alerts(alerting.alerts(log))
+    merged, told = merge.merge_changes(log), merge.merge_alerts(alerting.alerts(log))
+    store.write_text(f"{days[-1]}_weekly.json", sinks.weekly_json(merged, told, days))
+    if send:
+        sinks.notify(sinks.digest_html(sinks.digest_rows(merged), alert_rows=told), send)
+    return merged, told
 
 
 def run_bootstrap(store: Store, collect: Callable[[], Snapshot], today: str) -> None:
@@ -191,6 +231,7 @@ def run_bootstrap(store: Store, collect: Callable[[], Snapshot], today: str) ->
     snapshot = empty_snapshot(store.spark) | collect()
     quality.require(quality.checks(counts(snapshot)))
     store.write(snapshot, today)
+    store.finish(today)
 
 
 def render(store: Store, today: str, generated: str) -> str:
@@ -202,5 +243,9 @@ def render(store: Store, today: str, generated: str) -> str:
     for r in stats.sparkline(stats.daily_counts(recent, dates)).orderBy("section", "run_date").collect():
         lines.setdefault(r.section, []).append(r.pct)
     totals = stats.totals(log)
-    return sinks.dashboard([r.asDict() for r in totals.orderBy("section").collect()], [r.asDict() for r in stats.roll_up(totals).orderBy("stat").collect()], lines, [r.asDict() for r in alerting.alerts(log).collect()], generated)
+    items: dict[str, list[str]] = {}
+    named = log.select(stats.section().alias("section"), F.concat_ws(": ", "kind", F.coalesce("title", "group_key", "text")).alias("item"), "pos").filter("section IS NOT NULL")
+    for r in named.orderBy("section", "pos", "item").toLocalIterator():
+        items.setdefault(r.section, []).append(r.item)
+    return sinks.dashboard([r.asDict() for r in totals.orderBy("section").collect()], [r.asDict() for r in stats.roll_up(totals).orderBy("stat").collect()], lines, [r.asDict() for r in alerting.alerts(log).collect()], generated, items)
 

@@ -57,16 +57,26 @@ class _HttpReader(DataSourceReader):
     def partitions(self):
         return [_Part(u) for u in self.urls]
 
+    def answer(self, request):
+        """The response; to a HEAD, that of an error page too, whose status and headers count."""
+        try:
+            return urllib.request.urlopen(request, timeout=self.timeout)
+        except urllib.error.HTTPError as e:
+            if self.method != "HEAD":
+                raise
+            return e
+
     def read(self, partition):
         def fetch():
             request = urllib.request.Request(partition.row, method=self.method)
             if self.most:
                 request.add_header("Range", f"bytes=0-{self.most - 1}")
-            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+            with self.answer(request) as r:
                 h = r.headers
                 return (partition.row, getattr(r, "status", None) or 200, h.get("Last-Modified", ""), h.get("ETag", ""), h.get("Content-Length", ""), r.read(self.most or -1) if self.method == "GET" else b"")
 
-        found = with_retry(fetch, self.attempts, sleep=lambda s: time.sleep(s * self.wait))
+        # A HEAD is tried once.
+        found = with_retry(fetch, 1 if self.method == "HEAD" else self.attempts, sleep=lambda s: time.sleep(s * self.wait))
         yield found or (partition.row, None, "", "", "", None)
 
 
