@@ -17,9 +17,10 @@ from tidemark.operators import alerts as A
 from tidemark.operators import diff as D
 from tidemark.operators import merge as M
 from tidemark.operators import quality, stats, topk
-from tidemark.plans import sinks
+from tidemark.plans import daily, sinks
 from tidemark.sources import html as H
-from tidemark.sources.landed import union_events
+from tidemark.sources.collect import REST, feed_rows
+from tidemark.sources.landed import doc_headers, envelope, union_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -272,7 +273,7 @@ WORDS_SQL = "[" + ", ".join(map(quoted, OWN_WORDS)) + "]"
 @query(f"WITH h AS (SELECT doc_id, list_filter({WORDS_SQL}, lambda w: contains(lower(text), lower(w))) AS hits FROM documents) SELECT doc_id, array_to_string(hits, ',') AS hits FROM h WHERE len(hits) > 0")
 def q_keyword_hits(spark, sf):
     """C2."""
-    found = table(spark, sf, "documents").select("doc_id", E.hits("text", OWN_WORDS).alias("hits")).filter(F.size("hits") > 0)
+    found = E.with_hits(table(spark, sf, "documents").select("doc_id", "text"), "text", OWN_WORDS, "hits")
     return found.select("doc_id", F.array_join("hits", ",").alias("hits"))
 
 
@@ -510,9 +511,9 @@ def rss_sql() -> str:
     esc = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     parts = []
     for i, (domain, collection, kind, title, said, _) in enumerate(sinks.FEED_BRANCHES):
-        name = quoted(title).replace("{title}", "' || coalesce(title, '') || '").replace("{group}", "' || group_key || '")
-        text = quoted(said) if said else esc("left(coalesce(text, ''), 200)" if collection == "feeds" else "coalesce(text, '')")
-        parts.append(f"SELECT {i} AS ord, pos, group_key, '<item><title>' || {esc(f'({name})')} || '</title><link>' || link || '</link><description>' || {text} || '</description></item>' AS item FROM log WHERE domain = '{domain}' AND collection = '{collection}' AND kind = '{kind}'")
+        name = quoted(title).replace("{title}", "' || coalesce(title, '') || '").replace("{text}", "' || coalesce(text, '') || '").replace("{group}", "' || group_key || '")
+        text = "''" if said and said.startswith("payload ") else quoted(said) if said else esc("left(coalesce(text, ''), 200)" if collection == "feeds" else "coalesce(text, '')")
+        parts.append(f"SELECT {i} AS ord, pos, group_key, '<item><title>' || {esc(f'({name})')} || '</title><link>' || {esc('link')} || '</link><description>' || {text} || '</description></item>' AS item FROM log WHERE domain = '{domain}' AND collection = '{collection}' AND kind = '{kind}'")
     return f"WITH {LOG} " + " UNION ALL ".join(parts)
 
 
@@ -523,7 +524,7 @@ def q_rss_items(spark, sf):
 
 
 def digest_sql() -> str:
-    text = {"title": "coalesce(title, '')", "group": "group_key", "text 120": "left(coalesce(text, ''), 120)", "title - text": "coalesce(title, '') || ' - ' || coalesce(text, '')", "title (text)": "coalesce(title, '') || ' (' || coalesce(text, '') || ')'", "title - sunset": "coalesce(title, '') || ' - Sunset: 2030-01-01'", "group: detail": "group_key || ': ' || coalesce(text, '')"}
+    text = {"title": "coalesce(title, '')", "text": "coalesce(text, '')", "text - title": "coalesce(text, '') || ' - ' || coalesce(title, '')", "group": "group_key", "text 120": "left(coalesce(text, ''), 120)", "title - text": "coalesce(title, '') || ' - ' || coalesce(text, '')", "title (text)": "coalesce(title, '') || ' (' || coalesce(text, '') || ')'", "title - sunset": "coalesce(title, '') || ' - Sunset: 2030-01-01'", "group: detail": "group_key || ': ' || coalesce(text, '')"}
     parts = []
     for i, (section, domain, collection, kind, group, label, content, most) in enumerate(sinks.DIGEST):
         tag = "'NEWS'" if label == "category" else "left(group_key, 18)" if label == "group 18" else f"'{label.split('group')[0]}' || left(group_key, 8)" if label.endswith("group 8") else quoted(label)
@@ -549,3 +550,158 @@ def q_expressions(spark, sf):
     """P5, P10, P11, P14, P16."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", E.xml_escape("text").alias("escaped"), E.prefix("text", 14).alias("start"), E.first_filled(F.nullif("source", F.lit("src0")), "lang", otherwise="#").alias("first"), E.spaced("source", "lang").alias("spaced"), E.plural(F.col("doc_id") % 3, "change").alias("label"))
+
+
+# --- pages, feeds and answers made from nations, with SQL stated by hand ----------------------------------------------
+
+LONG_TEXT = "rtrim(repeat(n_name || ' ', 100))"
+
+
+def nation_pages(spark, sf, *parts: str) -> DataFrame:
+    """One page a nation from pieces of HTML; {name} and {key} stand for the nation's, {long} for its name a hundred times."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("page_id"), F.col("n_name").alias("name"))
+    html = F.lit("".join(parts))
+    for mark, value in (("{name}", F.col("name")), ("{key}", F.col("page_id").cast("string")), ("{long}", F.repeat(F.concat("name", F.lit(" ")), F.lit(100)))):
+        html = F.replace(html, F.lit(mark), value)
+    return n.select("page_id", html.alias("html"))
+
+
+def page_blocks(spark, sf, rule: H.Blocks, *parts: str) -> DataFrame:
+    return H.blocks(nation_pages(spark, sf, *parts), rule).select("key", "text", "href")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, 'News of the nation' || n_name || 'today' AS text, '' AS href FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'Another item about ' || n_name, '/n/' || n_nationkey FROM nation")
+def q_portal_news(spark, sf):
+    """Over 20 characters, inside the main part."""
+    return page_blocks(spark, sf, H.NEWS, "<div id='main'><p>News of the nation <b>{name}</b> today</p><li>short</li><p><a href='/n/{key}'>Another item about {name}</a></p></div><p>This is outside of the main part</p>")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS text, '/n/' || n_nationkey AS href FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'no address', '' FROM nation")
+def q_portal_links(spark, sf):
+    """Links of the main part that have a text."""
+    return page_blocks(spark, sf, H.LINKS, "<a href='/out'>out</a><div id='main'><p><a href='/n/{key}'> {name} </a></p><a>no address</a><a href='/empty'> </a></div>")
+
+
+@query(f"SELECT CAST(n_nationkey AS VARCHAR) AS key, left({LONG_TEXT}, 400) AS text, '' AS href FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'Head of ' || n_name || ' pages', '/h' FROM nation")
+def q_pane_items(spark, sf):
+    """Cut at 400 characters, one item for each 80-character prefix."""
+    return page_blocks(spark, sf, H.PANE, "<p>This is outside of the pane</p><main><p>{long}</p><li>{long} and a tail</li><h3>Head <i>of</i> <a href='/h'>{name}</a> pages</h3><p>15 letters only</p></main>")
+
+
+@query(f"SELECT CAST(n_nationkey AS VARCHAR) AS key, left({LONG_TEXT}, 500) AS text, '' AS href FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'A cell of ' || n_name, '' FROM nation")
+def q_main_items(spark, sf):
+    """Cut at 500 characters, one item for each 120-character prefix, cells too."""
+    return page_blocks(spark, sf, H.MAIN, "<p>This is outside of the content</p><div id='content'><p>{long}</p><p>{long}!</p><p>ten chars!</p><table><tr><td>A cell of {name}</td></tr></table></div>")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_nationkey || ' | ' || n_name || ' | c | d' AS text, '/n/' || n_nationkey AS href FROM nation")
+def q_html_rows_th(spark, sf):
+    """The first four cells, header cells and rows without cells apart."""
+    return page_blocks(spark, sf, H.ROWS, "<main><p>This text is beside the table</p><table><tr><th>Key</th></tr><tr><th>row</th><td>{key}</td><td> <a href='/n/{key}'>{name}</a> </td><td>c</td><td>d</td><td>e</td></tr><tr><th>none</th></tr></table></main>")
+
+
+@query(f"SELECT CAST(n_nationkey AS VARCHAR) AS key, left({LONG_TEXT}, 400) AS text, '' AS href FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'A paragraph about ' || n_name || ' here', '' FROM nation")
+def q_text_items(spark, sf):
+    """Over 20 characters, cut at 400."""
+    return page_blocks(spark, sf, H.ROWS, "<div id='main-content'><p>{long}</p><p>A paragraph about <b>{name}</b> here</p><li>twenty letters only!</li></div>")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CAST(n_nationkey AS VARCHAR) AS first, n_name AS name, '/n/' || n_nationkey AS link FROM nation")
+def q_table_links(spark, sf):
+    """Cells by header, and the row's first link."""
+    t = H.tables(nation_pages(spark, sf, "<table><tr><th>Key</th><th>Name</th></tr><tr><td>{key}</td><td><a href='/n/{key}'>{name}</a></td></tr><tr><th>no cell</th></tr></table>"))
+    named = F.map_from_arrays("cells.name", "cells.value")
+    return t.select("key", named["Key"].alias("first"), named["Name"].alias("name"), named["_link"].alias("link"))
+
+
+@query("SELECT n_name AS title, '/n/' || n_nationkey AS link FROM nation WHERE n_nationkey < 20")
+def q_post_limit(spark, sf):
+    """E5, L4: the first 20 of a page's posts."""
+    n = table(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("at"), F.concat(F.lit("<h3><a href='/n/"), F.col("n_nationkey"), F.lit("'>"), "n_name", F.lit("</a></h3>")).alias("post"))
+    page = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "post"))), lambda x: x["post"]), "").alias("html")).withColumn("page_id", F.lit(1))
+    return H.posts(page).select("title", "link")
+
+
+@query("SELECT page_id, md5(encode(html)[1:2048]) AS start FROM pages")
+def q_fingerprint_start(spark, sf):
+    """The first 2,048 bytes."""
+    return table(spark, sf, "pages").select("page_id", E.fingerprint("html").alias("start"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS cctl_id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'Certified' END AS status, 0 AS pos FROM nation WHERE n_nationkey % 4 <> 0")
+def q_envelope(spark, sf):
+    """Records below a path; an answer without the path has none."""
+    k = F.col("n_nationkey")
+    record = F.struct(k.cast("string").alias("cctl_id"), F.col("n_name").alias("name"), F.when(k % 3 != 0, F.struct(F.lit("Certified").alias("status_name"))).alias("status_id"))
+    answers = table(spark, sf, "nation").select(F.when(k % 4 == 0, F.lit('{"results": {}}')).otherwise(F.to_json(F.struct(F.struct(F.array(record).alias("cctls")).alias("results")))).alias("text"))
+    return envelope(answers, "text", *REST["cctls"]).select("cctl_id", "name", F.col("status_id.status_name").alias("status"), "pos")
+
+
+@query("SELECT 'd' AS domain, 'f' || n_nationkey AS feed_name, n_name AS title, '/n/' || n_nationkey AS link, 'About ' || n_name AS summary, CASE WHEN n_nationkey % 2 = 0 THEN 'Mon' ELSE 'Tue' END AS published, CASE WHEN n_nationkey % 2 = 0 THEN '/n/' || n_nationkey ELSE 'id' || n_nationkey END AS id, 0 AS pos FROM nation")
+def q_feed_items(spark, sf):
+    """S3: RSS items (the id falls back to the link) and Atom entries."""
+    k = F.col("n_nationkey")
+    rss = F.concat(F.lit("<rss><channel><item><title>"), "n_name", F.lit("</title><link>/n/"), k, F.lit("</link><description>About "), "n_name", F.lit("</description><pubDate>Mon</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title>"), "n_name", F.lit('</title><link href="/n/'), k, F.lit('"/><summary>About '), "n_name", F.lit("</summary><updated>Tue</updated><id>id"), k, F.lit("</id></entry></feed>"))
+    return feed_rows(table(spark, sf, "nation").select(F.lit("d").alias("domain"), F.concat(F.lit("f"), k).alias("name"), F.when(k % 2 == 0, rss).otherwise(atom).alias("text")))
+
+
+@query("""WITH h AS (SELECT page_id, url, html, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'e' || page_id END AS etag FROM pages)
+SELECT url, status_code, etag, CASE WHEN (status_code IS NULL OR etag = '') AND page_id % 5 <> 0 THEN md5(encode(html)[1:2048]) ELSE '' END AS partial_hash FROM h""")
+def q_doc_poll(spark, sf):
+    """Error pages keep status and headers; a failed HEAD or one without headers falls back to a hash of a good body."""
+    k = F.col("page_id")
+    pages = table(spark, sf, "pages")
+    heads = pages.select("url", F.when(k % 4 == 1, 404).when(k % 4 != 0, 200).alias("status_code"), F.lit("").alias("last_modified"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("e"), k)).alias("etag"), F.lit("").alias("content_length"))
+    bodies = pages.select("url", F.when(k % 5 == 0, 500).when(k % 2 == 0, 206).otherwise(200).alias("status_code"), F.col("html").cast("binary").alias("body"))
+    return doc_headers(heads, bodies).select("url", "status_code", "etag", "partial_hash")
+
+
+@query("""SELECT 'niap' AS domain, 'news' AS collection, 'added' AS kind, CAST(n_nationkey AS VARCHAR) AS entity_key, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' policy' ELSE '' END AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'POLICY' ELSE 'NEWS' END AS category FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'niap', 'events', 'added', CAST(n_nationkey AS VARCHAR), n_name, NULL FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'niap', 'cctls', CASE WHEN n_nationkey % 3 = 0 THEN 'added' ELSE 'removed' END, CAST(n_nationkey AS VARCHAR), n_name, NULL FROM nation WHERE n_nationkey % 3 <> 2
+UNION ALL SELECT 'cctl_labs', 'feeds', 'added', CAST(n_nationkey AS VARCHAR), n_name, NULL FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'nist', 'feeds', 'added', CAST(n_nationkey AS VARCHAR), n_name, 'NEWS' FROM nation WHERE n_nationkey % 3 = 0""")
+def q_compute_changes(spark, sf):
+    """All collections of two snapshots; posts of labs have no category."""
+    k = F.col("n_nationkey")
+    n = table(spark, sf, "nation")
+
+    def side(rows: DataFrame) -> dict[str, DataFrame]:
+        text = lambda c: c.cast("string")
+        none = F.lit(None).cast("string")
+        s = daily.empty_snapshot(spark)
+        s["news"] = rows.select(text(k).alias("id"), F.concat("n_name", F.when(k % 2 == 0, " policy").otherwise("")).alias("title"), none.alias("link"), none.alias("url"), none.alias("date"), k.cast("int").alias("pos"))
+        s["events"] = rows.select(text(k).alias("id"), F.col("n_name").alias("title"), none.alias("link"), k.cast("int").alias("pos"))
+        s["labs_directory"] = rows.select(text(k).alias("cctl_id"), F.col("n_name").alias("name"), F.struct(F.lit("Certified").alias("status_name")).alias("status_id"), k.cast("int").alias("pos"))
+        feed = lambda domain: rows.select(F.lit(domain).alias("domain"), F.lit("f").alias("feed_name"), F.col("n_name").alias("title"), none.alias("link"), none.alias("summary"), none.alias("published"), text(k).alias("id"), k.cast("int").alias("pos"))
+        s["feed_items"] = feed("cctl_labs").unionByName(feed("nist"))
+        return s
+
+    return daily.compute_changes(side(n.filter(k % 3 != 0)), side(n.filter(k % 3 != 1))).select("domain", "collection", "kind", "entity_key", "title", "category")
+
+
+@query(MERGED.replace("n = 1 OR NOT ((domain = 'niap' AND days > 1) OR last > first)", "n = 1"), "run_date")
+def q_weekly_merge_loose(spark, sf):
+    """Lists that no later day touches lose their duplicates too."""
+    return M.merge_changes(change_log(spark, sf), strict=False).select("domain", "collection", "kind", "group_key", "run_date", "pos")
+
+
+@query(f"WITH {LOG} SELECT domain, count(*) FILTER (WHERE collection = 'pages' AND kind = 'added') AS page_items_added, count(*) FILTER (WHERE collection = 'documents') AS document_changes, count(*) FILTER (WHERE collection = 'feeds') AS feed_items_new, count(*) FILTER (WHERE collection NOT IN ('pages', 'documents', 'feeds')) AS entity_changes FROM log GROUP BY domain")
+def q_domain_metrics(spark, sf):
+    """G6."""
+    return stats.domain_metrics(change_log(spark, sf))
+
+
+@query(f"WITH {LOG}, {ALERTS} SELECT run_date, pos, left(source, 14) AS label, title || ' — ' || array_to_string(words, ', ') AS content FROM al WHERE len(words) > 0", "run_date")
+def q_digest_alerts(spark, sf):
+    """K4: the alerts at the head of the digest."""
+    return sinks.digest_alerts(A.alerts(change_log(spark, sf), words=OWN_WORDS))
+
+
+@query(f"WITH {LOG} SELECT '<item><title>New TD: ' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><link>http://h/?a=1&amp;b=' || entity_key || '</link><description>PP &lt;' || entity_key || '&gt;</description></item>' AS item FROM log WHERE collection = 'tds'")
+def q_rss_td(spark, sf):
+    """K3: a decision's line has its identifier and the profile; links are escaped."""
+    log = change_log(spark, sf).filter("collection = 'tds'")
+    log = log.withColumns({"link": F.concat(F.lit("http://h/?a=1&b="), "entity_key"), "payload": F.to_json(F.struct(F.concat(F.lit("PP <"), "entity_key", F.lit(">")).alias("pp_short_name")))})
+    return sinks.rss_items(log).select("item")
