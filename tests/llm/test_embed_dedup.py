@@ -67,10 +67,13 @@ def test_bounds_lose_no_pair():
         x = np.stack([base + rnd.standard_normal(dims) * s for s in np.linspace(0, 0.5, 200)])
         x /= np.linalg.norm(x, axis=1)[:, None]
         q, s, err = e.quantised(x)
-        may = e.possible(q, s, err, q, s, err, 0.95)
+        block = {"q": q, "scale": s, "error": err}
+        low, high = e.bounds(block, block)
         real = x @ x.T
-        assert may[real >= 0.95].all()
-        assert not may[real < 0.88].any() or dims == 3
+        assert (low <= real).all() and (real <= high).all()
+        assert (high - low).max() < 0.06 or dims == 3
+        again = e.bounds({k: v[:50] for k, v in block.items()}, {k: v[50:90] for k, v in block.items()})
+        assert (again[0] == low[50:90, :50].T).all() and (again[1] == high[50:90, :50].T).all()
 
 
 def test_band_of_misses():
@@ -89,6 +92,24 @@ def test_band_of_misses():
     assert lost == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_pairs_that_the_bounds_leave_open(spark, kind):
+    """Pairs so near the threshold that int8 products can't tell, among copies of one vector."""
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal(48)
+    x /= np.linalg.norm(x)
+    rows = []
+    for off in (-5e-3, -1e-3, -1e-5, 1e-5, 1e-3, 5e-3) * 8:
+        y = rnd.standard_normal(48)
+        y -= (y @ x) * x
+        c = 0.95 + off
+        rows.append(c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y))
+    rows = [(i, [float(np.float32(v)) for v in row], None, None, None) for i, row in enumerate([x, x, *rows])]
+    got = e.vector_groups(spark.createDataFrame(rows, SCHEMA.format(kind)).repartition(4), tile=8).collect()
+    want = plain(rows, kind=np.float64 if kind == "double" else np.float32)
+    assert {r.id: (r.n_links, r.component) for r in got} == want and want[0][0] == 25
+
+
 def test_empty(spark):
     assert e.vector_groups(spark.createDataFrame([], SCHEMA.format("float"))).count() == 0
     assert [tuple(r) for r in e.vector_groups(spark.createDataFrame([(1, None, None, None, None)], SCHEMA.format("float"))).collect()] == [(1, 0, 1, True)]

@@ -6,10 +6,13 @@
    pair right at the threshold shares no bucket with a probability of ``MISS`` at most (closer pairs with less).
 3. A bucket is cut into blocks of about ``TILE`` vectors, and each pair of blocks is a tile of its own, so no bucket has
    to fit into one task.
-4. A tile quantises its vectors to int8 and multiplies those.  A vector's quantisation error e is known exactly; with |x| = 1 the
-   product is off by at most ex (1 + ey) + ey.  Pairs that may reach the threshold are computed again in double
-   precision from the vectors as given, and only those count.  A pair counts in the first table where both share a bucket.
-5. A tile returns for each vector how many it linked with, and a spanning forest of its links instead of the links.
+4. Each vector is quantised to int8 once, and only that form goes to the tiles.  Its quantisation error e is known exactly; with
+   |x| = 1 the product of two is off by at most ex + ey + ex ey.  Pairs that the bounds put at or above the threshold
+   link, those that they put below it don't.
+5. Vectors with pairs that the bounds leave open go once more to the tiles where that is so, now as given, and just these pairs
+   are computed in double precision.  No pairs are written, so this is never more than the vectors of those tiles.
+6. A pair counts in the first table where both share a bucket.  A tile returns for each vector how many it linked with, and a
+   spanning forest of its links instead of the links.
 
 Cases: null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of different
 lengths don't link; labels aren't read; repeated ids each count; rows with a null id link with nothing; other columns are ignored; an empty table gives
@@ -78,7 +81,9 @@ def packed(given: DataFrame, wide: bool) -> DataFrame:
 
 
 def bucketed(classes: DataFrame, wide: bool, bits: int, tables: int) -> DataFrame:
-    """(id, n, raw, codes, marks): the bucket of every table, as numbers with the dimension and as bytes without it."""
+    """(id, n, raw, q, scale, error, codes, marks): quantised vectors, and the bucket of every table, as numbers with the
+    dimension and as bytes without it."""
+    kind = mark_kind(bits)
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -87,45 +92,67 @@ def bucketed(classes: DataFrame, wide: bool, bits: int, tables: int) -> DataFram
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 raw = part.column("raw").to_pylist()
-                codes, marks = [None] * len(raw), [None] * len(raw)
+                made = [None] * len(raw)
                 for size in {len(r) for r in raw}:
                     here = [i for i, r in enumerate(raw) if len(r) == size]
                     x = rows_of([raw[i] for i in here], np.float64 if wide else np.float32).astype(np.float64)
                     dims = x.shape[1]
                     if dims not in planes:
                         planes[dims] = directions(dims, bits, tables)
-                    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-                    code = (x @ planes[dims] > 0).reshape(len(here), tables, bits) @ weights
-                    for i, c in zip(here, code, strict=True):
-                        codes[i], marks[i] = c + (dims << 40), c.astype(np.int32).tobytes()
-                columns = [part.column(c) for c in ("id", "n", "raw")] + [pa.array(codes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "raw", "codes", "marks"])
+                    x /= np.linalg.norm(x, axis=1)[:, None]
+                    code = (x.astype(np.float32) @ planes[dims] > 0).reshape(len(here), tables, bits) @ weights
+                    for i, q, scale, error, c in zip(here, *quantised(x), code, strict=True):
+                        made[i] = (q.tobytes(), scale, error, c + (dims << 40), c.astype(kind).tobytes())
+                columns = [part.column(c) for c in ("id", "n", "raw")]
+                columns += [pa.array(values, t) for values, t in zip(zip(*made, strict=True), (pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "raw", "q", "scale", "error", "codes", "marks"])
 
-    return classes.mapInArrow(run, "id bigint, n bigint, raw binary, codes array<bigint>, marks binary")
+    return classes.mapInArrow(run, "id bigint, n bigint, raw binary, q binary, scale double, error double, codes array<bigint>, marks binary")
 
 
-def possible(qa: np.ndarray, sa: np.ndarray, ea: np.ndarray, qb: np.ndarray, sb: np.ndarray, eb: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs may reach the threshold, from int8 products; sums of up to 1024 products are exact in float32."""
-    dots = np.zeros((len(qa), len(qb)), np.float64 if qa.shape[1] > 1024 else np.float32)
-    for at in range(0, qa.shape[1], 1024):
-        dots += qa[:, at : at + 1024].astype(np.float32) @ qb[:, at : at + 1024].astype(np.float32).T
-    bound = threshold - 1e-9 - (ea[:, None] * (1 + eb[None, :]) + eb[None, :])
-    # A float32 product of scales and dots is off by less than 1e-6.
-    return dots * (sa[:, None] * sb[None, :]) >= bound - 1e-6
+def mark_kind(bits: int):
+    """The smallest type that holds a bucket's number."""
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.int32
 
 
-def tile_links(a: dict, b: dict | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the links of a tile that no earlier table has seen; ``b`` is None for a block with itself."""
+def bounds(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What the cosines of all pairs are at least and at most, from int8 products.
+
+    Sums of up to 1024 products are exact in float32 and all else is symmetric, so a pair has the same bounds in any tile.
+    """
+    dots = np.zeros((len(a["q"]), len(b["q"])), np.float64 if a["q"].shape[1] > 1024 else np.float32)
+    for at in range(0, a["q"].shape[1], 1024):
+        dots += a["q"][:, at : at + 1024].astype(np.float32) @ b["q"][:, at : at + 1024].astype(np.float32).T
+    value = dots * (a["scale"][:, None] * b["scale"][None, :])
+    off = (a["error"][:, None] + b["error"][None, :]) + a["error"][:, None] * b["error"][None, :] + 1e-9
+    return value - off, value + off
+
+
+def tile_pairs(a: dict, b: dict | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of a tile that no earlier table has seen and that may link, and whether they surely do; ``b`` is None for a
+    block with itself."""
     other = a if b is None else b
-    i, j = np.nonzero(possible(a["q"], a["scale"], a["error"], other["q"], other["scale"], other["error"], threshold))
+    low, high = bounds(a, other)
+    i, j = np.nonzero(high >= threshold)
     if b is None:
         i, j = i[i < j], j[i < j]
+    new = [np.zeros(0, bool)]
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        new.append(~(a["marks"][x, :table] == other["marks"][y, :table]).any(1))
+    new = np.concatenate(new)
+    i, j = i[new], j[new]
+    return i, j, low[i, j] >= threshold
+
+
+def confirmed(a: dict, b: dict | None, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that link, in double precision."""
+    other = a if b is None else b
     keep = [np.zeros(0, bool)]
     for at in range(0, len(i), 1 << 16):
         x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         cosine = np.einsum("ij,ij->i", a["raw"][x], other["raw"][y]) / (a["norm"][x] * other["norm"][y])
-        seen = (a["codes"][x, :table] == other["codes"][y, :table]).any(1)
-        keep.append((cosine >= threshold) & ~seen)
+        keep.append(cosine >= threshold)
     keep = np.concatenate(keep)
     return i[keep], j[keep]
 
@@ -142,39 +169,57 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = least
 
 
-def tiles(rows: DataFrame, wide: bool, threshold: float) -> DataFrame:
-    """(id, links, root) from rows sorted by tile: (table, code, x, y, side, ...)."""
+TILE_KEY = ("table", "code", "x", "y")
+FOUND = "id bigint, links bigint, root bigint, table int, code bigint, x int, y int, side int"
+
+
+def tiles(rows: DataFrame, bits: int, threshold: float, exact: str | None = None) -> DataFrame:
+    """FOUND from rows of tiles: (table, code, x, y, side, id, n, q, scale, error, marks and, if ``exact``, raw).
+
+    A row has the links and the root of a vector, or, if a table, stands for a vector with open pairs in that tile.  With
+    ``exact``, the type of the components in ``raw``, only open pairs are looked at, and none stays open.
+    """
 
-    def block(ids: np.ndarray, n: np.ndarray, raw: list[bytes], marks: list[bytes]) -> dict:
-        raw = rows_of(raw, np.float64 if wide else np.float32).astype(np.float64)
-        norm = np.linalg.norm(raw, axis=1)
-        q, scale, error = quantised(raw / norm[:, None])
-        return {"id": ids, "n": n, "raw": raw, "norm": norm, "q": q, "scale": scale, "error": error, "codes": rows_of(marks, np.int32)}
+    def block(part: pa.Table) -> dict:
+        out = {c: part.column(c).to_numpy() for c in ("id", "n", "scale", "error")}
+        out |= {"q": rows_of(part.column("q").to_pylist(), np.int8), "marks": rows_of(part.column("marks").to_pylist(), mark_kind(bits))}
+        if exact:
+            out["raw"] = rows_of(part.column("raw").to_pylist(), exact).astype(np.float64)
+            out["norm"] = np.linalg.norm(out["raw"], axis=1)
+        return out
 
     def answer(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(held)
-        side = np.array(whole.column("side").to_pylist(), np.int64)
-        ids, n = (whole.column(c).to_numpy() for c in ("id", "n"))
-        raw, marks = whole.column("raw").to_pylist(), whole.column("marks").to_pylist()
+        side = whole.column("side").to_numpy()
         parts = [np.flatnonzero(side == s) for s in (0, 1)]
         if not len(parts[0]) or key[2] != key[3] and not len(parts[1]):
             return None
-        a, b = (block(ids[p], n[p], [raw[k] for k in p], [marks[k] for k in p]) if len(p) else None for p in parts)
-        i, j = tile_links(a, b, key[0], threshold)
+        a, b = (block(whole.take(p)) if len(p) else None for p in parts)
+        i, j, sure = tile_pairs(a, b, key[0], threshold)
         if not len(i):
             return None
         ids, n = (a["id"], a["n"]) if b is None else (np.concatenate([a["id"], b["id"]]), np.concatenate([a["n"], b["n"]]))
-        j = j if b is None else j + len(a["id"])
+        shift = 0 if b is None else len(a["id"])
+        open_ = np.zeros(len(ids), bool)
+        if exact:
+            i, j = confirmed(a, b, i[~sure], j[~sure], threshold)
+        else:
+            open_[i[~sure]] = open_[j[~sure] + shift] = True
+            i, j = i[sure], j[sure]
+        j = j + shift
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, n[j])
         np.add.at(links, j, n[i])
-        root, some = forest(len(ids), i, j, ids), links > 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], names=["id", "links", "root"])
+        some = links > 0
+        linked, left = int(some.sum()), int(open_.sum())
+        columns = [np.concatenate([ids[some], ids[open_]]), [*links[some].tolist(), *[None] * left], [*forest(len(ids), i, j, ids)[some].tolist(), *[None] * left]]
+        columns += [[None] * linked + [k] * left for k in key] + [[None] * linked + [int(k >= shift and b is not None) for k in np.flatnonzero(open_)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32(), pa.int64()] + [pa.int32()] * 3, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "code", "x", "y")], 1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in TILE_KEY], 1)
             if not len(keys):
                 continue
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -187,7 +232,7 @@ def tiles(rows: DataFrame, wide: bool, threshold: float) -> DataFrame:
         if held and (out := answer(key, held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "id bigint, links bigint, root bigint")
+    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(run, FOUND)
 
 
 def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -202,12 +247,16 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     keyed = vectors_in.select("id", F.posexplode("codes").alias("table", "code"))
     sizes = keyed.groupBy("table", "code").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = sizes.select("table", "code", F.ceil(F.col("size") / tile).cast("int").alias("blocks"))
-    placed = vectors_in.select("id", "n", "raw", "marks", F.posexplode("codes").alias("table", "code"))
-    placed = salted(placed, "id", SALTS).join(for_each_salt(sizes, SALTS), ["table", "code", "__salt"]).drop("__salt")
+    # Only keys meet the sizes; the quantised vectors come to them by their ids.
+    placed = salted(keyed, "id", SALTS).join(for_each_salt(sizes, SALTS), ["table", "code", "__salt"]).drop("__salt")
     own = F.pmod(F.xxhash64(F.lit(SEED), "id", "table"), F.col("blocks")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("table", "code", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "raw", "marks")
-    found = materialise(tiles(dealt.repartition("table", "code", "x", "y").sortWithinPartitions("table", "code", "x", "y"), wide, threshold))
+    dealt = dealt.select("id", "table", "code", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    light = vectors_in.select("id", "n", "q", "scale", "error", "marks")
+    first = materialise(tiles(dealt.join(light, "id"), bits, threshold))
+    left_open = first.filter("table is not null").select("id", *TILE_KEY, "side")
+    second = materialise(tiles(left_open.join(vectors_in.drop("codes"), "id"), bits, threshold, "f8" if wide else "f4"))
+    found = first.unionByName(second).filter("table is null").select("id", "links", "root")
 
     grouped = components(found.filter("id <> root"), "id", "root")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
