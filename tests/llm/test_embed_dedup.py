@@ -68,12 +68,15 @@ def test_bounds_lose_no_pair():
         x /= np.linalg.norm(x, axis=1)[:, None]
         q, s, err = e.quantised(x)
         block = {"q": q, "scale": s, "error": err}
-        low, high = e.bounds(block, block)
-        real = x @ x.T
-        assert (low <= real).all() and (real <= high).all()
+        i, j, low, high = e.bounds(block, block, -2)
+        real = (x @ x.T)[i, j]
+        assert len(i) == 200 * 200 and (low <= real).all() and (real <= high).all()
         assert (high - low).max() < 0.06 or dims == 3
-        again = e.bounds({k: v[:50] for k, v in block.items()}, {k: v[50:90] for k, v in block.items()})
-        assert (again[0] == low[50:90, :50].T).all() and (again[1] == high[50:90, :50].T).all()
+        i, j, _, _ = e.bounds(block, block, 0.95)
+        assert set(zip(*np.nonzero(x @ x.T >= 0.95), strict=True)) <= set(zip(i, j, strict=True))
+        part = e.bounds({k: v[:50] for k, v in block.items()}, {k: v[50:90] for k, v in block.items()}, -2)
+        turned = {(p, q): (least, most) for p, q, least, most in zip(*e.bounds(block, block, -2), strict=True)}
+        assert all(turned[q + 50, p] == (least, most) for p, q, least, most in zip(*part, strict=True))
 
 
 def test_band_of_misses():

@@ -115,34 +115,39 @@ def mark_kind(bits: int):
     return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.int32
 
 
-def bounds(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
-    """What the cosines of all pairs are at least and at most, from int8 products.
+def bounds(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, ...]:
+    """Index pairs whose cosine may reach the threshold, and what it is at least and at most, from int8 products.
 
     Sums of up to 1024 products are exact in float32 and all else is symmetric, so a pair has the same bounds in any tile.
     """
     dots = np.zeros((len(a["q"]), len(b["q"])), np.float64 if a["q"].shape[1] > 1024 else np.float32)
     for at in range(0, a["q"].shape[1], 1024):
         dots += a["q"][:, at : at + 1024].astype(np.float32) @ b["q"][:, at : at + 1024].astype(np.float32).T
-    value = dots * (a["scale"][:, None] * b["scale"][None, :])
-    off = (a["error"][:, None] + b["error"][None, :]) + a["error"][:, None] * b["error"][None, :] + 1e-9
-    return value - off, value + off
+    # First by the largest errors of the tile, in single precision with room for its rounding; then by those of each pair.
+    rough = dots * a["scale"][:, None].astype(np.float32)
+    rough *= b["scale"][None, :].astype(np.float32)
+    ea, eb = a["error"].max(), b["error"].max()
+    i, j = np.nonzero(rough >= np.float32(threshold - (ea + eb + ea * eb) - 1e-5))
+    ea, eb = a["error"][i], b["error"][j]
+    value, off = dots[i, j] * (a["scale"][i] * b["scale"][j]), (ea + eb) + ea * eb + 1e-9
+    some = value + off >= threshold
+    return i[some], j[some], (value - off)[some], (value + off)[some]
 
 
 def tile_pairs(a: dict, b: dict | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of a tile that no earlier table has seen and that may link, and whether they surely do; ``b`` is None for a
     block with itself."""
     other = a if b is None else b
-    low, high = bounds(a, other)
-    i, j = np.nonzero(high >= threshold)
+    i, j, low, _ = bounds(a, other, threshold)
     if b is None:
-        i, j = i[i < j], j[i < j]
+        once = i < j
+        i, j, low = i[once], j[once], low[once]
     new = [np.zeros(0, bool)]
     for at in range(0, len(i), 1 << 16):
         x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         new.append(~(a["marks"][x, :table] == other["marks"][y, :table]).any(1))
     new = np.concatenate(new)
-    i, j = i[new], j[new]
-    return i, j, low[i, j] >= threshold
+    return i[new], j[new], low[new] >= threshold
 
 
 def confirmed(a: dict, b: dict | None, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
