@@ -167,5 +167,11 @@ def salted(df: DataFrame, key: str, salts: int) -> DataFrame:
 
 
 def for_each_salt(df: DataFrame, salts: int) -> DataFrame:
-    """The other side of :func:`salted`: each row once for every salt."""
-    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """The other side of :func:`salted`: each row once for every salt.
+
+    Unpivoting makes an Expand, whose size estimate counts the copies; an explode's estimate is that of one copy, and Spark would
+    broadcast a table whose copies are far over the threshold.
+    """
+    each = [f"__s{i}" for i in range(salts)]
+    wide = df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(each)))
+    return wide.unpivot(df.columns, each, "__of", "__salt").drop("__of")
