@@ -16,6 +16,8 @@ QUERIES = {
     "op8_exact_dedup": ("exact_dedup", "OP8_SQL"),
     "op9_secret_scan": ("secrets", "OP9_SQL"),
     "op10_mixing": ("mixing", None),
+    "op11_resampling": ("resampling", "OP11_SQL"),
+    "op13_branch_merge": ("branch_merge", "OP13_SQL"),
 }
 
 
