@@ -11,7 +11,7 @@ SQL = q.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(SQL[name])
     columns = [c[0] for c in want.description]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +40,52 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _own_folder = ""
-#: Paths written by the operators that are running, innermost last.
-_written: list[list[str]] = []
+#: Paths written by the operator that is running in this thread (or task of an event loop), which no other one sees.
+_frame: ContextVar[list[str] | None] = ContextVar("tidemark-written", default=None)
+#: Paths of files that go once no plan reads the table that they belong to: a weak reference to its file index.
+_kept: dict[str, object] = {}
+_lock = threading.Lock()
 
 
-def materialise(df: DataFrame, hold: bool = False) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there, which cuts its lineage.
 
     Every executor can read the files, so a lost one loses nothing; and their sizes are known, where a checkpoint
-    in a loop would carry on estimates that square each round.  The folder goes when the operator is done and its result
-    doesn't read it, else when the driver ends; ``hold``: only when the driver ends.
+    in a loop would carry on estimates that square each round.  The folder goes when the operator is done if its result
+    doesn't read it; else some time after the last DataFrame that reads it is gone (see :func:`sweep`), at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    frame = _frame.get()
+    if frame is not None:
+        frame.append(path)
     df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    keep_with(table, path)
+    return table
+
+
+def keep_with(table: DataFrame, path: str) -> None:
+    """Keep the files at ``path`` for as long as any plan reads ``table``, which :func:`materialise` made."""
+    spark = table.sparkSession
     place, files = _place(spark, path)
     files.deleteOnExit(place)
-    if _written and not hold:
-        _written[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    leaf = table._jdf.queryExecution().analyzed().collectLeaves().head()
+    if leaf.nodeName().startswith("LogicalRelation"):
+        held = spark.sparkContext._jvm.java.lang.ref.WeakReference(leaf.relation().location())
+        with _lock:
+            _kept[path] = held
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that no plan reads any more, as far as the JVM has collected their plans; the number of tables left."""
+    with _lock:
+        gone = [path for path, held in _kept.items() if held.get() is None]
+        for path in gone:
+            del _kept[path]
+    for path in gone:
+        _drop(spark, path)
+    return len(_kept)
 
 
 def _place(spark: SparkSession, path: str):
@@ -65,27 +94,58 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+    files.cancelDeleteOnExit(place)
+    with _lock:
+        _kept.pop(path, None)
+
+
+def _read_by(df: DataFrame) -> str:
+    """The roots of the files that a plan and its subqueries read, as one text."""
+    plan = df._jdf.queryExecution().analyzed()
+    plans = [plan, *(plan.subqueriesAll().apply(i) for i in range(plan.subqueriesAll().size()))]
+    roots = []
+    for p in plans:
+        leaves = p.collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.nodeName().startswith("LogicalRelation") and hasattr(leaf.relation(), "location"):
+                roots.append(leaf.relation().location().rootPaths().mkString("\n"))
+    return "\n".join(roots)
+
+
 def tidy(operator: Callable) -> Callable:
-    """Drop an operator's intermediate tables that its result (a DataFrame or a tuple of them) doesn't read."""
+    """Drop an operator's intermediate tables that its result (a DataFrame or a tuple of them) doesn't read, or all if it fails.
+
+    Operators may run side by side: each knows only the tables written in its own context.
+    """
 
     @functools.wraps(operator)
     def run(*args, **kwargs):
-        _written.append([])
+        outer = _frame.get()
+        paths: list[str] = []
+        token = _frame.set(paths)
         try:
             out = operator(*args, **kwargs)
         except BaseException:
-            _written.pop()
+            spark = SparkSession.getActiveSession()
+            for path in paths if spark else ():
+                _drop(spark, path)
             raise
-        paths = _written.pop()
+        finally:
+            _frame.reset(token)
         results = out if isinstance(out, tuple) else (out,)
-        used = "\n".join(f for r in results for f in r.inputFiles()) if paths else ""
+        spark = results[0].sparkSession
+        used = "\n".join(map(_read_by, results)) if paths else ""
         for path in paths:
             if path.rsplit("/", 1)[1] in used:
-                if _written:
-                    _written[-1].append(path)
+                if outer is not None:
+                    outer.append(path)
             else:
-                place, files = _place(results[0].sparkSession, path)
-                files.delete(place, True)
+                _drop(spark, path)
+        sweep(spark)
         return out
 
     return run
@@ -101,7 +161,7 @@ def bloom(keys: DataFrame, most_bits: int | None = None) -> Callable[..., Column
 
     The filter is made by aggregates and has a fixed size at most, so it goes to the tasks as a scalar.  Beyond
     the keys that fit it lets more and more other rows through; what uses it must be right for any of them.  Keys may repeat;
-    they are read again by each action that tests, so they should be a table, and one to ``hold`` if a result still tests.
+    they are read again by each action that tests, so they should be a table.
     """
     n = keys.agg(F.approx_count_distinct(F.xxhash64(*keys.columns))).first()[0]
     if not n:
@@ -150,14 +210,14 @@ def without(df: DataFrame, gone: DataFrame, most_bits: int | None = None) -> Dat
     with ``gone`` itself.
     """
     keys = gone.columns
-    gone = materialise(gone.distinct(), hold=True)
+    gone = materialise(gone.distinct())
     first = bloom(gone, most_bits)
     here = F.lit(True)
     for c in keys:
         here = here & F.col(c).isNotNull()
     suspect = here & first(*keys)
     passed = df.select(*keys).filter(suspect).distinct().join(gone, keys, "left_anti")
-    second = bloom(materialise(passed, hold=True), most_bits)
+    second = bloom(materialise(passed), most_bits)
     return df.filter(~suspect).unionByName(df.filter(suspect & second(*keys)).join(gone, keys, "left_anti").select(*df.columns))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import for_each_salt, materialise, read, salted
+from tidemark.llm.common import for_each_salt, materialise, read, salted, tidy
 from tidemark.llm.components import components
 
 THRESHOLD, MISS, TILE, SEED, SALTS = 0.95, 1e-7, 512, 11, 16
@@ -240,6 +240,7 @@ def tiles(rows: DataFrame, bits: int, threshold: float, exact: str | None = None
     return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(run, FOUND)
 
 
+@tidy
 def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(id, n_links, component, kept) for every row of ``vectors``."""
     wide = vectors.schema[vector_col].dataType.elementType.simpleString() == "double"

@@ -39,7 +39,7 @@ def sha256(text: Column) -> Column:
 
 
 def repeated(digests: DataFrame) -> DataFrame:
-    return materialise(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), hold=True)
+    return materialise(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
 
 
 @tidy

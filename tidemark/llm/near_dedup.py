@@ -459,7 +459,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: one document of each group, with all columns, and one row of each id and text."""
     groups = near_groups(docs, id_col, text_col, words, percent, most_bits=most_bits)
     gone = groups.filter("id IS NOT NULL AND NOT kept").select(F.col("id").alias("__gone"))
-    repeats = bloom(materialise(groups.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), hold=True), most_bits)
+    repeats = bloom(materialise(groups.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")), most_bits)
     id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = without(named_apart(docs, __gone=id.cast("bigint"), __text=text), gone, most_bits)
     others = [F.col("row").getField(c) for c in docs.columns if c not in (id_col, text_col)]

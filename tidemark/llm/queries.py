@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_scan": ("secrets", "OP9_SQL"),
     "op10_mixing": ("mixing", None),
     "op11_resampling": ("resampling", "OP11_SQL"),
+    "op12_token_files": ("token_files", None),
     "op13_branch_merge": ("branch_merge", "OP13_SQL"),
 }
 
