@@ -3,6 +3,7 @@ from random import Random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid
 
@@ -69,6 +70,38 @@ def test_nothing_and_one_language(spark):
     assert {r[1:] for r in langid.identify(one, langid.train(one)).collect()} == {("en", 1.0)}
 
 
+def test_repeats_of_one_id_keep_to_the_bound(spark, monkeypatch):
+    """At most the bound's rows of a language are learned from, whatever repeats: one id, or whole rows."""
+    seen = []
+    monkeypatch.setattr(langid, "Model", lambda x, langs: seen.append(list(langs)))
+    free = next(i for i in range(1, 100) if not is_held(i))
+    words = ["der hund", "le chat"]
+    same = spark.range(5000).select(F.lit(free).alias("doc_id"), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 2 + 1).cast("int")).alias("text"), F.when(F.col("id") % 2 == 0, "de").otherwise("fr").alias("lang"))
+    langid.train(same.repartition(8), per_language=200)
+    apart = same.withColumn("text", F.concat("text", F.lit(" "), F.rand(1).cast("string")))
+    langid.train(apart, per_language=200)
+    assert sorted(seen[0]) == ["de", "fr"]  # one row of each counts
+    assert len(seen[1]) == 400 and seen[1].count("de") == seen[1].count("fr") == 200
+
+
+def test_separators_against_a_plain_svm(monkeypatch):
+    """The dual ascent ends at the optimum that plain gradient descent finds for the same loss; the usual rounds come near it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 12)).astype(np.float32)
+    y = np.where(x @ rng.normal(size=12) + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * langid.COST
+    wide = np.hstack([x, np.ones((80, 1))])
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (wide @ w)) ** 2).sum()
+    plain = np.zeros(13)
+    for _ in range(20_000):
+        plain -= 1e-4 * (plain - 2 * ((cost * np.maximum(0, 1 - y * (wide @ plain)) * y) @ wide))
+    assert (np.sign(wide @ langid.svm(x, y)) == np.sign(wide @ plain)).mean() > 0.9
+    monkeypatch.setattr(langid, "EPOCHS", 1000)
+    found = langid.svm(x, y).astype(float)
+    assert loss(found) < 1.01 * loss(plain)
+    assert (np.sign(wide @ found) == np.sign(wide @ plain)).mean() > 0.97
+
+
 def test_query(spark, sf_dir):
     got = {r.doc_id: r for r in langid.op4_language_id(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()

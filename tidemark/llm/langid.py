@@ -5,8 +5,8 @@ one space), as an L2-normalised vector.  Linear SVMs (L2 loss, dual coordinate d
 apart, then each pair of languages of the family that won most pairs.  Families come from a table of ISO 639-1 codes;
 a language that isn't in it is a family of its own.
 
-Training: a bounded sample, at most ``PER_LANGUAGE`` labelled documents a language taken by a hash of their id, of
-documents outside the held-out fifth.  The counts that set the sampling rate are over all rows.  Prediction reads whole
+Training: a bounded sample, at most ``PER_LANGUAGE`` labelled rows a language (whatever repeats) taken by a hash of id and text, of
+documents outside the held-out fifth; rows with the same id, text and label count once.  The counts that set the sampling rate are over all rows.  Prediction reads whole
 texts, in pieces of ``PIECE`` bytes whose counts add up.
 
 Cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing was learned; one
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -138,15 +138,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most ``per_language`` rows of each language; fitted on the driver, whose share the bound fixes."""
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("label"))
-    by_label = dict(map(tuple, rows.groupBy("label").count().collect()))
+    # Of rows that repeat, one is as good as all, so different ones are counted, by a sketch of their hashes.
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "body"), F.lit(1 << 30)))
+    by_label = dict(map(tuple, rows.groupBy("label").agg(F.approx_count_distinct("place")).collect()))
     if not by_label:
         return Model(np.zeros((0, BUCKETS), np.float32), [])
-    # A rate that leaves about twice the bound of each language; the bound then takes the first by hash.
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    # A rate that leaves about twice the bound of each language; the bound then takes the first by hash, and every task
+    # keeps no more than the bound's rows of a language before any go further.
     rate = F.create_map(*[F.lit(v) for label, n in sorted(by_label.items()) for v in (label, min(1 << 30, (2 * per_language << 30) // n + 1))])
-    some = rows.withColumn("place", place).filter(F.col("place") < F.element_at(rate, F.col("label")))
-    first = some.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("all")).select("label", F.explode(F.slice("all", 1, per_language)).alias("at"))
-    picked = some.join(F.broadcast(first.select("label", "at.place", "at.id")), ["label", "place", "id"], "left_semi")
+    some = rows.filter(F.col("place") < F.element_at(rate, F.col("label"))).groupBy("label", "place").agg(F.min("body").alias("body"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    picked = some.withColumn("rank", rank).filter(F.col("rank") <= per_language)
     kind = "label string, place bigint, x binary"
 
     def featured(batches):
