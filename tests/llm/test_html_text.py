@@ -96,6 +96,36 @@ def test_clustered_text_in_several_elements():
     assert h.main_text(page) == "\n\n".join([LONG.strip(), "T", *[BODY] * 4])
 
 
+SECTIONS = ["section class='related-work'", "section id='discussion'", "div class='copyright-law'", "section id='responses'", "div class='notice-period'", "section class='related'", "div class='shareHolders social-history'"]
+
+
+@pytest.mark.parametrize("mark", SECTIONS)
+def test_sections_of_an_article_with_a_word_of_boilerplate_stay(mark):
+    section = f"<{mark}><h2>Heading</h2><p>{LONG}</p><p>{LONG}</p></{mark.split()[0]}>"
+    for page in (f"<article><h1>T</h1>{PARAGRAPHS}{section}</article>", f"<article><h1>T</h1>{section}{PARAGRAPHS}</article>"):
+        got = h.main_text(page)
+        assert got.count(LONG.strip()) == 5 and "Heading" in got
+
+
+@pytest.mark.parametrize("mark", SECTIONS)
+def test_the_same_marks_on_links_forms_comments_and_short_lines_go(mark):
+    end = mark.split()[0]
+    for held in (
+        "<ul>" + "".join(f"<li><a href='/{i}'>Read this other article with a long title</a></li>" for i in range(5)) + "</ul>",
+        f"<p>{LONG}</p><form><textarea>say</textarea></form>",
+        f"<div class='comment-body'><p>{LONG}</p></div>",
+        "<p>© A. All rights reserved</p><p><a>Post</a> <a>Mail</a></p>",
+    ):
+        assert h.main_text(f"<article><h1>T</h1>{PARAGRAPHS}<{mark}>{held}</{end}></article>") == f"T\n\n{BODY}"
+
+
+def test_outside_an_article_and_alone_the_words_still_tell():
+    for mark in ("notice", "copyright", "share", "social", "comments", "ads"):
+        assert h.main_text(f"<article><h1>T</h1>{PARAGRAPHS}<div class='{mark}'><p>{LONG}</p></div></article>") == f"T\n\n{BODY}"
+    for mark in SECTIONS[:4]:
+        assert h.main_text(f"<body><{mark}><p>{LONG}</p></{mark.split()[0]}><article><h1>T</h1>{PARAGRAPHS}</article></body>") == f"T\n\n{BODY}"
+
+
 LINK = "<p><a href='/x'>One link</a></p>"
 
 

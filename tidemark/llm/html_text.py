@@ -2,7 +2,9 @@
 
 The standard library's parser streams a page's events.  Block-level tags end a line; a line knows its text, how many
 tags came with it, the element that holds it, and whether one of the open elements is boilerplate by its tag, role, or a word of its
-class or id.  Regions are the elements that directly hold lines.  The lines' text-to-tag ratios are smoothed with a
+class or id.  Inside an article some of these words only raise a doubt (a section "discussion" or "related-work"): such a section is
+boilerplate if its smoothed ratios don't cluster, its own ratio is under half that of the page's clustered lines, most of its text is links, or it holds
+forms or marks of reader comments.  Regions are the elements that directly hold lines.  The lines' text-to-tag ratios are smoothed with a
 Gaussian, lines above THRESHOLD standard deviations cluster
 into content, and the clusters choose the regions: ``article`` elements if MARKED times the clustered text outside them is no more than
 that inside, else ``main`` elements by the same test, else the smallest element that holds nine tenths of the clustered text and,
@@ -43,6 +45,12 @@ BOILERPLATE = set(
     "menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer foot colophon cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay paywall newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond responses discussion pagination pager copyright hidden".split()
 )
+#: Words that an article's own sections use too.  Inside an article they only raise a doubt, these alone or with others...
+TOPICS = set("related recommended recommendations discussion responses respond replies".split())
+#: ... and these beside other words (copyright-law, notice-period); alone they tell boilerplate.
+COMPOUND = TOPICS | set("notice notices alert alerts disclaimer share sharing social copyright subscription promotion promotions reply rail overlay banner banners sponsor sponsors foot".split())
+#: What a doubtful section of readers' words holds.
+ANSWERS = set("comment comments commentlist disqus reply avatar commenter".split())
 THRESHOLD = 0.5
 #: A character of clustered text outside ``article`` or ``main`` elements weighs as many inside them.
 MARKED = 3
@@ -59,6 +67,7 @@ class Open(NamedTuple):
     article: bool
     title: bool
     link: bool
+    doubt: int  # the outermost element that may be boilerplate, 0 for none
 
 
 class Lines(HTMLParser):
@@ -78,6 +87,8 @@ class Lines(HTMLParser):
         self.unlinked = False  # the line has text outside links
         self.articles: set[int] = set()
         self.mains: set[int] = set()
+        self.doubts: list[int] = []  # of each line, the doubtful element that it is in
+        self.answers: set[int] = set()  # doubtful elements with forms or marks of comments
 
     def parse_html_declaration(self, i):
         """Marked sections of any name are bogus comments, where the parser would raise on names it doesn't know."""
@@ -90,6 +101,7 @@ class Lines(HTMLParser):
                 self.titles.add(len(self.lines))
             if not self.unlinked:
                 self.links.add(len(self.lines))
+            self.doubts.append(self.open[-1].doubt if self.open else 0)
             self.lines.append((text, self.tags, self.open[-1].number if self.open else 0, bool(self.open) and self.open[-1].gone))
             self.tags = 0
         self.parts.clear()
@@ -106,7 +118,8 @@ class Lines(HTMLParser):
         """The place of the innermost open element with one of the tags, -1 for none."""
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
-    def dropped(self, tag: str, attrs: list) -> bool:
+    def dropped(self, tag: str, attrs: list) -> bool | None:
+        """Is an element boilerplate?  None: in doubt."""
         if tag in ("html", "body", "main"):
             return False
         if tag in DROPPED:
@@ -120,7 +133,12 @@ class Lines(HTMLParser):
         if given.get("role", "").lower() in ROLES:
             return True
         words = set(re.split("[^a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}").lower()))
-        return not words & WRAPS and bool(words & BOILERPLATE or not inside and words & PAGE_HEADER)
+        if words & WRAPS:
+            return False
+        told = words & BOILERPLATE
+        if inside and told and told <= (COMPOUND if words - told - {""} else TOPICS):
+            return None
+        return bool(told or not inside and words & PAGE_HEADER)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -133,10 +151,13 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
             self.implied(tag)
-        top = self.open[-1] if self.open else Open("", 0, False, False, False, False)
+        top = self.open[-1] if self.open else Open("", 0, False, False, False, False, 0)
         number = len(self.parent)
         self.parent.append(top.number)
-        gone = top.gone or self.dropped(tag, attrs)
+        found = top.gone or self.dropped(tag, attrs)
+        gone, doubt = bool(found), top.doubt or (number if found is None else 0)
+        if top.doubt and (tag in ("form", "textarea", "button") or set(re.split("[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower())) & ANSWERS):
+            self.answers.add(top.doubt)
         if not gone and (tag == "article" or dict(attrs).get("itemprop") == "articleBody"):
             self.articles.add(number)
         if not gone and (tag == "main" or dict(attrs).get("role") == "main"):
@@ -144,7 +165,7 @@ class Lines(HTMLParser):
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK:
             self.blocks.append(len(self.open))
-        self.open.append(Open(tag, number, gone, top.article or number in self.articles, top.title or tag == "h1", top.link or tag == "a"))
+        self.open.append(Open(tag, number, gone, top.article or number in self.articles, top.title or tag == "h1", top.link or tag == "a", doubt))
 
     def implied(self, tag: str) -> None:
         if tag in ("body", "main", "article") and self.places.get("head"):
@@ -194,12 +215,34 @@ def sums(parent: list[int], lines) -> list[int]:
     return out
 
 
+def settled(page: Lines) -> list[tuple[str, int, int, bool]]:
+    """The lines, those in doubtful sections told to be boilerplate or not."""
+    if not any(page.doubts):
+        return page.lines
+    ratios = np.array([0.0 if gone else len(text) / max(1, tags) for text, tags, _, gone in page.lines])
+    smooth = smoothed(ratios)
+    high = smooth >= min(THRESHOLD * ratios.std(), smooth.max())
+    sure = [i for i, d in enumerate(page.doubts) if not d and high[i] and not page.lines[i][3]]
+    dense = lambda lines: sum(len(page.lines[i][0]) for i in lines) / max(1, sum(page.lines[i][1] for i in lines))
+    held: dict[int, list[int]] = {}
+    for i, d in enumerate(page.doubts):
+        if d and not page.lines[i][3]:
+            held.setdefault(d, []).append(i)
+    out = set(page.answers)
+    for d, lines in held.items():
+        size = lambda some: sum(len(page.lines[i][0]) for i in some)
+        clustered, linked = size([i for i in lines if high[i]]), size([i for i in lines if i in page.links])
+        if 2 * clustered < size(lines) or 2 * linked > size(lines) or 2 * dense(lines) < dense(sure):
+            out.add(d)
+    return [(text, tags, holder, gone or d in out) for (text, tags, holder, gone), d in zip(page.lines, page.doubts)]
+
+
 def content_blocks(html: str) -> list[str]:
     """The main text's blocks in page order."""
     page = Lines()
     feed(page, html)
     page.flush()
-    lines, parent = page.lines, page.parent
+    lines, parent = settled(page), page.parent
     if not lines:
         return []
     ratios = np.array([0.0 if gone else len(text) / max(1, tags) for text, tags, _, gone in lines])
