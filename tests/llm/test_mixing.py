@@ -44,6 +44,52 @@ def test_apportionment_by_highest_quotients(spark):
 DOCS = "doc_id bigint, text string, source string, size string, `order` int"
 
 
+def test_many_equal_keys(spark):
+    """Rows in proportion to the keys, however many seats rounding moves: 0.6 seats for each of many equal keys."""
+    import time
+
+    for n, seats in ((300, 180), (300, 211), (100_000, 60_000)):
+        df = spark.range(n).select(F.lit(1).alias("g"), "id", F.lit(7.0).alias("w"), F.lit(seats).alias("n"))
+        start = time.time()
+        got = {r.id: r.quota for r in mixing.sainte_lague(df, ["g"], "id", "w", "n").collect()}
+        assert n < 1000 or time.time() - start < 30
+        assert got == (plain_apportionment(dict.fromkeys(range(n), 7.0), seats) if n < 1000 else {i: int(i < seats) for i in range(n)})
+
+
+def test_taken_against_a_plain_mix(spark):
+    """Each document's part of the mix from the definition: whole passes over its shard, then the run of words from the start block on."""
+    rnd = Random(8)
+    rows = [(i, " ".join("w" * rnd.choice([0, 1, 7, 30])), "ab"[i % 3 > 0], None, None) for i in range(500)]
+    df = spark.createDataFrame(rows, DOCS)
+    shard_rows, size = 60, {r[0]: len(r[1].split()) for r in rows}
+    got = {r.id: r for r in mixing.mix(df, shard_rows=shard_rows).collect()}
+    S = mixing.SEED
+    seen = df.select("doc_id", "source", F.xxhash64(F.lit(S), "doc_id", "text").alias("order"), F.xxhash64(F.lit(S + 1), "doc_id", "text").alias("spread")).collect()
+    targets = plain_targets({s: sum(size[r.doc_id] for r in seen if r.source == s) for s in "ab"})
+    blocks = plain_apportionment(targets, round(sum(targets.values())))  # blocks of one word
+    for s in "ab":
+        mine = [r for r in seen if r.source == s]
+        n = -(-len(mine) // shard_rows)
+        shards = {k: sorted((r for r in mine if r.spread % n == k), key=lambda r: (r.order, r.doc_id)) for k in range(n)}
+        words = {k: sum(size[r.doc_id] for r in v) for k, v in shards.items() if v}
+        quota = plain_apportionment({k: float(w) for k, w in words.items()}, blocks[s])
+        for k, w in words.items():
+            take = min(quota[k], 2 * w)
+            first = spark.range(1).select(F.pmod(F.xxhash64(F.lit(S + 2), F.lit("=" + s), F.lit(k).cast("long")), F.lit(w))).first()[0]
+            chosen, at = {(first + i) % w for i in range(take % w)}, 0
+            for r in shards[k]:
+                here = range(at, at + size[r.doc_id])
+                at += size[r.doc_id]
+                assert got[r.doc_id].taken == take // w * len(here) + len(chosen & set(here)), (s, k, r.doc_id)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    schema = "doc_id bigint, text string, source string, __copy int, __key string, __id int, __copies int, copies int, copy int, row string, key string, `order` int, c_id int"
+    rows = [(i, f"a b {i}", "s" if i % 3 else "t", 777, "k", 1, 2, 3, 4, "r", "key", 5, 6) for i in range(200)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, schema))
+    assert set(map(tuple, out.collect())) <= set(rows) and out.count() > 200
+
+
 def test_targets_and_taken(spark):
     rnd = Random(5)
     rows = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 1, 5, 40, 400]))), rnd.choice(["a", "b", "b", "b", "c", "É", None]), "x", 1) for i in range(600)]

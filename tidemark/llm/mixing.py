@@ -5,7 +5,7 @@
    the sources sorted by size/weight).
 2. Blocks: the mix has equal blocks of ``block`` words (all words of the mix over 2**20, at least one).  The highest
    quotients target/(2k+1) give each source its blocks, then the highest quotients size/(2k+1) give each of the
-   source's shards (by a hash of the id, some ``SHARD_ROWS`` documents each, however many there are) its own.
+   source's shards (by a hash of id and text, some ``SHARD_ROWS`` documents each, however many there are) its own.
 3. Selection: a shard lays its documents in a seeded order.  Its quota is taken as whole passes, then as a run of
    blocks from a seeded block on, around the end of the shard.  A document's share is the overlap of two intervals.
 
@@ -14,8 +14,8 @@ shard, never over a whole source.
 
 Cases: a null text has size 0; null is a source of its own, the last; sources are sorted by code point; documents of
 size 0 and sources without words take nothing; a very long document is taken whole or not, or in part by ``taken``; rows with the same id are taken as separate documents; rows with a null
-id are laid by their texts and come out like others (whole rows of one source and one id, or one text without an id, as
-often as the most taken of them); other columns are ignored; an empty table gives an empty result.
+id come out like others (rows of one source, id and text, as
+often as the most taken of them); other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialise, read, tidy
+from tidemark.llm.common import WORD, materialise, named_apart, read, rows_again, tidy
 
 WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS, BLOCKS, SHARD_ROWS, SEED = 1.5, 2, 1 << 20, 20_000, 20240229
@@ -38,8 +38,8 @@ def source_key(source: Column) -> Column:
 
 
 def hashed(seed: int, id: Column, text: Column) -> Column:
-    """By the id, or by the text if that is null: a hash passes over its null arguments."""
-    return F.xxhash64(F.lit(seed), id, F.when(id.isNull(), text))
+    """By id and text, so that one id's texts are laid apart; a hash passes over its null arguments."""
+    return F.xxhash64(F.lit(seed), id, text)
 
 
 def water_level(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -60,15 +60,19 @@ def water_level(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS)
 def sainte_lague(df: DataFrame, group: list[str], key: str, weight: str, seats: str) -> DataFrame:
     """Add ``quota``: the seats of each group, dealt to its keys by the highest quotients weight/(2k+1), ties by key.
 
-    Rounded proportional shares miss the number of seats by some ``d``; the right divisor moves every share the same
-    way and all of them by ``d`` together, so only the quotients within ``d`` of a share can be won or lost.
+    With the right divisor each of ``n`` keys is rounded by a half at most, so all shares together are within n/2 of the seats, and a
+    key's share is within that of its part of ``seats - n/2`` and ``seats + n/2``.  What lies below is won, what lies above is
+    lost, and the quotients between, some n of all keys together, are ranked; rows stay in proportion to the keys.
     """
     g = Window.partitionBy(*group)
-    total, share = F.sum(weight).over(g), F.coalesce(F.round(F.col(weight) * F.col(seats) / F.nullif(F.sum(weight).over(g).cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
-    x = df.withColumn("__share", share).withColumn("__left", F.when(total > 0, F.col(seats)).otherwise(0) - F.sum("__share").over(g))
-    x = x.withColumn("__base", F.greatest(F.lit(0), F.col("__share") - F.abs("__left")))
-    x = x.withColumn("__open", F.when(total > 0, F.col(seats)).otherwise(0) - F.sum("__base").over(g))
-    tries = x.select(*group, key, "__base", "__open", weight, F.explode(F.sequence("__base", F.col("__share") + F.abs("__left"))).alias("__k"))
+    total, n = F.sum(weight).over(g), F.count("*").over(g)
+    x = df.withColumns({"__seats": F.when(total > 0, F.col(seats)).otherwise(0), "__part": F.coalesce(F.col(weight) / F.nullif(total.cast("double"), F.lit(0.0)), F.lit(0.0)), "__n": n})
+    # A seat of slack either way, as these shares are rounded themselves.
+    low = F.floor(F.col("__part") * F.greatest(F.lit(0), F.col("__seats") - F.col("__n") / 2) - 1.5)
+    high = F.ceil(F.col("__part") * (F.col("__seats") + F.col("__n") / 2) + 1.5)
+    x = x.withColumns({"__base": F.greatest(F.lit(0), low).cast("long"), "__top": high.cast("long")})
+    x = x.withColumn("__open", F.col("__seats") - F.sum("__base").over(g))
+    tries = x.select(*group, key, "__base", "__open", weight, F.explode(F.sequence("__base", "__top")).alias("__k"))
     best = Window.partitionBy(*group).orderBy((F.col(weight) / (2 * F.col("__k") + 1)).desc(), key, "__k")
     won = tries.withColumn("__rank", F.row_number().over(best)).groupBy(*group, key).agg((F.first("__base") + F.count_if(F.col("__rank") <= F.col("__open"))).alias("quota"))
     return df.join(won, [*group, key], "left")
@@ -121,12 +125,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it: never, once or twice."""
-    copies = mix(docs, id_col, text_col, source_col, weights).filter("copies > 0").groupBy("id", "key", "order").agg(F.max("copies").alias("__copies"))
-    copies = copies.withColumnsRenamed({"id": "__id", "key": "__key", "order": "__order"})
-    id = F.col(id_col)
-    same = id.eqNullSafe(F.col("__id")) & (source_key(F.col(source_col)) == F.col("__key")) & (hashed(SEED, id, F.col(text_col)) == F.col("__order"))
-    out = docs.join(copies, same)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = mix(docs, id_col, text_col, source_col, weights).filter("copies > 0").groupBy("id", "key", "order").agg(F.max("copies").alias("copies"))
+    copies = copies.select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), F.col("order").alias("c_order"), "copies")
+    id, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    rows = named_apart(docs, id=id, key=source_key(source), order=hashed(SEED, id, text))
+    same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")) & (F.col("order") == F.col("c_order"))
+    out = rows.join(copies, same)
+    return rows_again(out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), docs)
 
 
 def op10_mixing(spark, sf_dir):
