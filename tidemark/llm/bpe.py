@@ -189,13 +189,13 @@ class WordBpe:
             yield " ".join(map(ids, words)), " ".join(map(text, words))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts (column 1) have about ``SLICE`` bytes."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (column 1) have about ``most`` bytes."""
     for batch in batches:
         start, size = 0, 0
         for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()):
             size += n
-            if size >= SLICE:
+            if size >= most:
                 yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < batch.num_rows:

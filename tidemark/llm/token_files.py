@@ -14,8 +14,8 @@ file, a frame at a time.  A file's name has a part of its own for each attempt,
 in the manifest (one row a file), so a task that runs twice leaves no trace in the result.  Files are written and read by the tasks
 through Arrow's file systems, in the folder that all executors share.
 
-Encoding is the library's.  No word of the vocabulary holds white space, so a text's ids are those of its runs between spaces and line breaks;
-each distinct run is encoded once in a Python worker, up to ``KNOWN`` of them and ``KNOWN_BYTES`` bytes.
+Encoding is the library's.  No word of the vocabulary holds white space, so a text's ids are those of its runs between white space (ASCII);
+a Python worker keeps the ids of two generations of runs, each of up to ``KNOWN`` of them or ``KNOWN_BYTES`` characters.
 
 Cases: a null text is empty and has the end id only; null ids come first; rows with the same id follow each other in the order of a hash of their
 texts, equal rows in any order; a very long text is one document in several frames; other columns are ignored, whatever their names; an
@@ -25,12 +25,16 @@ empty table gives no file and an empty result.
 from __future__ import annotations
 
 import os
+import string
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -38,11 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import slices, vocabulary
+from tidemark.llm.bpe import byte_symbols, slices, vocabulary
 from tidemark.llm.common import keep_with, materialise, read, shared_folder, tidy
 
 END, FRAME, LEVEL = 1, 1 << 18, 3
-KNOWN, KNOWN_BYTES = 1_000_000, 1 << 27
+KNOWN, KNOWN_BYTES = 700_000, 1 << 26
+#: Bytes of texts that are encoded together, and runs whose ids are laid out at once.
+SLICE, GATHERED = 1 << 24, 1 << 20
+PUNCTUATION = string.punctuation
 #: Magic numbers and the flag "has checksums" of the seekable format: fixed values.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: One encoder for each vocabulary in a Python worker.
@@ -50,7 +57,13 @@ ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of texts as bytes, by the library, each distinct run of characters without spaces and line breaks once."""
+    """Ids of texts by the library, each distinct run between white space once while it is known.
+
+    A slice's runs are numbered by Arrow, so only its distinct ones are looked up.  Punctuation (ASCII) at the end of a run is split off after a
+    letter or digit of Latin script: no word of the vocabulary's pattern spans that border, and no normal form does.  What is left, a stem, goes to the
+    library's model if it is letters of Latin-1 alone (one word, lowered, its bytes as the model spells them), else to the whole library.
+    Of two generations of known runs the older goes once the newer is full, and runs still met move to the newer.
+    """
 
     def __init__(self, spec: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,23 +72,104 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.spelling = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end) < 1 << 16 else "<u4")
-        self.end = np.array([end], self.kind).tobytes()
+        self.end = end
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+    @staticmethod
+    def cut(run: str) -> tuple[str, str]:
+        stem = run.rstrip(PUNCTUATION)
+        if stem and len(stem) < len(run) and stem[-1].isalnum() and stem[-1] < "\u0250" and "<|" not in run:
+            return stem, run[len(stem) :]
+        return run, ""
+
+    def packed(self, ids: list[int]) -> bytes:
+        held = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            held.byteswap()
+        return held.tobytes()
+
+    def spelt(self, word: str) -> str | None:
+        """A word of Latin-1 letters as the model spells it; null for all others."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return word.lower()  # letters of ASCII are spelt as themselves
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return word.lower().encode().decode("latin-1").translate(self.spelling)
+
+    def learn(self, runs: list[str]) -> None:
+        known, older = self.known, self.older
+        parts, new = [], []
+        for run in runs:
+            found = older.get(run)
+            if found is not None:
+                known[run] = found
+                continue
+            stem, tail = self.cut(run)
+            new.append(stem)
+            if tail:
+                new.append(tail)
+                parts.append((run, stem, tail))
+        self.held += sum(map(len, runs))
+        others = []
+        for word in new:
+            if word not in known:
+                found = older.get(word)
+                if found is not None:
+                    known[word] = found
+                elif (spelt := self.spelt(word)) is not None:
+                    known[word] = self.packed([t.id for t in self.model.tokenize(spelt)])
+                else:
+                    known[word] = b""  # until the library has told
+                    others.append(word)
+        for word, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+            known[word] = self.packed(found.ids)
+        for run, stem, tail in parts:
+            known[run] = known[stem] + known[tail]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, the end id after each; the places where each text ends)."""
         if len(self.known) > KNOWN or self.held > KNOWN_BYTES:
-            self.known.clear()
-            self.held = 0
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({run for runs in split for run in runs} - self.known.keys())
-        for run, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[run] = np.array(found.ids, self.kind).tobytes()
-        self.held += sum(map(len, new))
-        known = self.known.__getitem__
-        for runs in split:
-            yield b"".join(map(known, runs)) + self.end
+            self.older, self.known, self.held = self.known, {}, 0
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, "").cast(pa.large_string()))
+        runs = split.flatten().dictionary_encode()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        number = runs.indices.to_numpy()
+        words = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces = list(map(self.known.get, words))
+        missing = [i for i, p in enumerate(pieces) if p is None]
+        self.learn([words[i] for i in missing])
+        for i in missing:
+            pieces[i] = self.known[words[i]]
+        data = np.frombuffer(b"".join(pieces), self.kind)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[number])])[bounds]
+        out = np.empty(int(ends[-1]) + len(texts), self.kind)
+        place, stops = np.arange(len(texts)), ends[1:]
+        closing = stops + place
+        out[closing] = self.end
+        # All other places take the runs' ids in order, some runs at a time.
+        free = np.ones(len(out), bool)
+        free[closing] = False
+        at = np.flatnonzero(free)
+        done = 0
+        for start in range(0, len(number), GATHERED):
+            some = number[start : start + GATHERED]
+            n = size[some]
+            total = int(n.sum())
+            inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            out[at[done : done + total]] = data[np.repeat(first[some], n) + inside]
+            done += total
+        return out, closing + 1
 
 
 class Writer:
@@ -187,19 +281,20 @@ def write_tokens(docs: DataFrame, spec: str, folder: str, id_col: str = "doc_id"
     laid = given.repartitionByRange(*[shards] * bool(shards), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         encoder = ENCODERS.get((shared.value, end)) or ENCODERS.setdefault((shared.value, end), Encoder(shared.value, end))
         writer = None
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             if writer is None:
                 path = f"{folder}/{uuid.uuid4().hex}.ids.zst"
                 files, place = _open(path)
                 files.create_dir(os.path.dirname(place), recursive=True)
                 stream, id_type = files.open_output_stream(place, compression=None), part.column(0).type
                 writer = Writer(stream, encoder.kind, frame)
-            for id, data in zip(part.column(0).to_pylist(), encoder.encoded(part.column(1).to_pylist())):
-                writer.add(id, data)
+            ids, ends = encoder.encoded(part.column(1))
+            start = 0
+            for id, stop in zip(part.column(0).to_pylist(), ends.tolist()):
+                writer.add(id, ids[start:stop].tobytes())
+                start = stop
         if writer:
             writer.close(id_type)
             stream.close()
