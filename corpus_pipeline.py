@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each one operator, each written and read again before the next.
 
-1. language ID: learns from the labelled documents of its input and predicts every document's language.  Only documents
-   without any letter are rejected, whatever the prediction and its score; so they are where nothing was learned.
+1. language ID: learns from the labelled documents of its input and predicts every document's language.  A document without a label
+   gets the prediction as its ``lang``.  Only documents without any letter are rejected, whatever the prediction and its score; where
+   nothing was learned no label is filled.
 2. exact dedup: of texts equal up to white space, the one with the smallest id stays.
 3. MinHash near-dedup: five words a shingle, a similarity of 0.8; one document of each group stays.
 4. mixing: sources to target weights; a document comes out never, once or twice.
@@ -30,8 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not model.languages:  # one language is predicted for all texts with letters
         model = Model(np.zeros((1, BUCKETS), np.float32), ["any"])
-    told = identify(docs, model, whole=True)
-    return rows_again(told.filter(F.col("lang_pred") != UNKNOWN), docs)
+        return rows_again(identify(docs, model, whole=True).filter(F.col("lang_pred") != UNKNOWN), docs)
+    told = identify(docs, model, whole=True).filter(F.col("lang_pred") != UNKNOWN)
+    row = F.col("row").withField("`lang`", F.coalesce(F.col("row").getField("lang"), F.col("lang_pred")))
+    return rows_again(told.select(row.alias("row")), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

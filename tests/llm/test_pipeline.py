@@ -75,6 +75,13 @@ def test_language_without_labels(spark):
     assert sorted(r.text for r in pipeline.language_id(spark, docs, "").collect()) == ["más", "some words"]
 
 
+def test_language_fills_missing_labels(spark):
+    words = {"en": "the house and the water of people through which they would", "fr": "la maison et le peuple avec très être pour dans une des"}
+    rows = [(i, words["en" if i % 2 else "fr"] + f" {i}", ("en" if i % 2 else "fr") if i < 80 else None) for i in range(100)]
+    got = {r.doc_id: r.lang for r in pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()}
+    assert got == {i: "en" if i % 2 else "fr" for i in range(100)}
+
+
 CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, score string, lang_pred string, row string, body string, digest string, key int, salt int, __gone int"
 
 
@@ -85,6 +92,8 @@ def test_extra_columns_null_ids_and_repeated_rows(spark):
     rows += [(None, "a text without an id, one of two", None, None, None, *extra), (None, "der zweite Text ohne Nummer", "de", "src0", 1, *extra)]
     rows += [(50, "the same row twice", "en", "src1", 3, *extra)] * 2 + [(51, "the same row twice ", "en", "src1", 3, *extra), (60, "12 34", "en", "src1", 3, *extra)]
     docs = spark.createDataFrame(rows, CLASH)
+    # A row without a label gets the predicted one: only "en" can be learned here.
+    rows = [(*r[:2], r[2] or "en", *r[3:]) for r in rows]
     seen = {}
     for name, stage in pipeline.STAGES[:-1]:
         docs = pipeline.materialise(stage(spark, docs, ""))
