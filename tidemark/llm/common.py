@@ -80,7 +80,7 @@ def keep_with(table: DataFrame, path: str) -> None:
 def sweep(spark: SparkSession) -> int:
     """Delete the tables that no plan reads any more, as far as the JVM has collected their plans; the number of tables left."""
     with _lock:
-        gone = [path for path, held in _kept.items() if held.get() is None]
+        gone = [path for path, held in _kept.items() if held.refersTo(None)]
         for path in gone:
             del _kept[path]
     for path in gone:
@@ -145,7 +145,8 @@ def tidy(operator: Callable) -> Callable:
                     outer.append(path)
             else:
                 _drop(spark, path)
-        sweep(spark)
+        if outer is None:
+            sweep(spark)
         return out
 
     return run
