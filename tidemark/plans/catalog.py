@@ -705,3 +705,7 @@ def q_rss_td(spark, sf):
     log = change_log(spark, sf).filter("collection = 'tds'")
     log = log.withColumns({"link": F.concat(F.lit("http://h/?a=1&b="), "entity_key"), "payload": F.to_json(F.struct(F.concat(F.lit("PP <"), "entity_key", F.lit(">")).alias("pp_short_name")))})
     return sinks.rss_items(log).select("item")
+
+
+# Queries in modules of their own, registered by their import.
+from tidemark.plans import catalog_files  # noqa: E402, F401
