@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import expr as E
 from tidemark.plans.catalog import query, table
-from tidemark.sources import shredded
+from tidemark.sources import feeds, shredded
 
 
 def written(*pieces: str | Column) -> Column:
@@ -71,3 +72,28 @@ def q_difference_files(spark, sf):
     raw = table(spark, sf, "orders").select(written(day, "_", k, "_diff.json").alias("file"), text.alias("text"))
     log = shredded.difference_log(shredded.parsed(raw))
     return log.select(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "domain", "collection", "group_key", "kind", "entity_key", "title", "old_value", "new_value", "link")
+
+
+@query(r"""SELECT doc_id, pos, CASE pos WHEN 0 THEN 'First & last of ' || doc_id ELSE 'Second' END AS title, '/' || pos || '/' || doc_id AS link, CASE pos WHEN 0 THEN md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) ELSE md5('') END AS summary, CASE WHEN pos = 1 AND doc_id % 6 <> 5 THEN 'id' || doc_id ELSE '/' || pos || '/' || doc_id END AS id
+FROM documents, (VALUES (0), (1)) v(pos)""")
+def q_feeds_recovered(spark, sf):
+    """S3: a feed a document, its whole text as a summary.  Of six forms, one is sound RSS and one sound Atom with several links; the others have a bare
+    ampersand, white space before the prolog, the form of RSS 1.0, or end in the middle of an element."""
+    k, text = F.col("doc_id"), E.xml_escape("text")
+    head, form = '<?xml version="1.0"?>', k % 6
+    first = written("<item><title>First &amp; last of ", k, "</title><link>/0/", k, "</link><description>", text, "</description></item>")
+    bare = written("<item><title>First & last of ", k, "</title><link>/0/", k, "</link><description>", text, "</description></item>")
+    second = written("<item><title>Second</title><link>/1/", k, "</link><guid>id", k, "</guid></item>")
+    cut = written("<item><title>Second</title><link>/1/", k, "</link><guid")
+    atom = written(
+        "<feed><entry><title>First &amp; last of ", k, '</title><link rel="self" href="/self"/><link rel="alternate" href="/0/', k, '"/><summary>', text,
+        "</summary></entry><entry><title>Second</title><link href=\"/1/", k, '"/><link rel="self" href="/self"/><id>id', k, "</id></entry></feed>",
+    )
+    feed = (
+        F.when(form == 0, written(head, "<rss><channel><title>c</title>", first, second, "</channel></rss>")).when(form == 1, written(head, "<rss><channel>", bare, second, "</channel></rss>"))
+        .when(form == 2, written("\n ", head, "<rss><channel>", first, second, "</channel></rss>")).when(form == 3, written(head, '<rdf:RDF xmlns:rdf="r"><channel><title>c</title></channel>', first, second, "</rdf:RDF>"))
+        .when(form == 4, written(head, atom)).otherwise(written(head, "<rss><channel>", first, cut))
+    )
+    found = feeds.read_feeds(table(spark, sf, "documents").select("doc_id", feed.alias("text")), "doc_id").filter("pos IS NOT NULL")
+    summary = F.md5(F.trim(F.col("summary"), F.lit(" \t\n\r")))
+    return found.select("doc_id", "pos", "title", "link", summary.alias("summary"), "id")

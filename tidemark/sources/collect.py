@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import default
 from tidemark.functions.vocab import SOURCES
 from tidemark.sources import html as H
+from tidemark.sources.feeds import read_feeds
 from tidemark.sources.landed import doc_headers, envelope, fetch, union_events
 
 #: REST source: where its list is in the answer, the record's fields.
@@ -29,20 +30,15 @@ REST = {
 }
 #: How a domain's pages become text items.
 PAGE_RULES = {"csfc": H.PANE, "cc_crypto": H.MAIN, "nist": H.ROWS}
-ITEM = "struct<title: string, link: string, description: string, summary: string, pubDate: string, published: string, updated: string, guid: struct<_VALUE: string>, id: string>"
 
 
 def feed_rows(bodies: DataFrame) -> DataFrame:
-    """(domain, feed_name, pos, title, link, summary, published, id) of RSS and Atom texts."""
-    rss = F.from_xml(F.col("text"), f"channel struct<item: array<{ITEM}>>", {"rowTag": "rss"})["channel"]["item"]
-    atom = F.from_xml(F.col("text"), f"entry array<{ITEM.replace('link: string', 'link: struct<_href: string>')}>", {"rowTag": "feed"})["entry"]
-    alike = F.transform(atom, lambda e: F.struct(e["title"].alias("title"), e["link"]["_href"].alias("link"), e["description"].alias("description"), e["summary"].alias("summary"), e["pubDate"].alias("pubDate"), e["published"].alias("published"), e["updated"].alias("updated"), e["guid"].alias("guid"), e["id"].alias("id")))
-    empty = F.array().cast(f"array<{ITEM}>")
-    found = bodies.select("domain", "name", F.posexplode(F.when(F.contains("text", F.lit("<rss")), F.coalesce(rss, empty)).otherwise(F.coalesce(alike, empty))).alias("pos", "i"))
-    return found.select(
-        "domain", F.col("name").alias("feed_name"), default("i.title").alias("title"), default("i.link").alias("link"), F.coalesce("i.summary", "i.description", F.lit("")).alias("summary"),
-        F.coalesce("i.published", "i.pubDate", "i.updated", F.lit("")).alias("published"), F.coalesce("i.id", "i.guid._VALUE", "i.link", F.lit("")).alias("id"), "pos",
-    )
+    """(domain, feed_name, title, link, summary, published, id, pos) of feeds' texts."""
+    return items_of(read_feeds(bodies, "domain", "name"))
+
+
+def items_of(found: DataFrame) -> DataFrame:
+    return found.filter("pos IS NOT NULL").select("domain", F.col("name").alias("feed_name"), "title", "link", "summary", "published", "id", "pos")
 
 
 def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callable[..., DataFrame] = fetch, **options) -> dict[str, DataFrame]:
@@ -71,7 +67,9 @@ def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callab
     out["page_items"] = items[0].unionByName(items[1]).unionByName(items[2])
     scraped = bodies.filter("mode = 'scrape'").withColumn("key", F.concat_ws("\0", "domain", "name"))
     posts = H.posts(scraped, "key", "text").withColumns({"domain": F.split_part("key", F.lit("\0"), F.lit(1)), "feed_name": F.split_part("key", F.lit("\0"), F.lit(2)), "summary": F.lit(None).cast("string")})
-    feeds = feed_rows(bodies.filter("mode = 'rss'"))
+    read = read_feeds(bodies.filter("mode = 'rss'"), "domain", "name")
+    out["feed_status"] = read.groupBy("domain", F.col("name").alias("feed_name"), "status").agg(F.count("pos").alias("items"))
+    feeds = items_of(read)
     out["feed_items"] = feeds.unionByName(posts.select(*feeds.columns)).filter("domain <> 'cc_portal'")
     out["portal_feed"] = feeds.filter("domain = 'cc_portal'")
 
