@@ -1,0 +1,30 @@
+from random import Random
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import expr as E
+from tidemark.functions.vocab import WATCHED
+from tidemark.operators import vocabulary as V
+
+
+def test_equal_to_the_terms_in_the_plan(spark, sf_dir):
+    words = ["license", "Apache", "token", "SSH", "MIT ", *WATCHED]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    vocabulary = spark.createDataFrame(list(enumerate(words)), "ord int, term string")
+    got = V.with_vocabulary(docs, "text", vocabulary).filter("size(hits) > 0").select("doc_id", "hits")
+    want = E.with_hits(docs, "text", words, "hits").select("doc_id", "hits")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 50
+
+
+def test_parts_cases_and_odd_rows(spark):
+    rnd = Random(2)
+    terms = ["", None, "AB", "ab", "abc", "İ", "ß", "x y", "bc", "é"] + ["".join(rnd.choices("abcé ", k=rnd.randint(1, 5))) for _ in range(300)]
+    texts = [None, "", "xABCx", "straSSe ß İi", "É x Y"] + ["".join(rnd.choices("abcé ABC", k=rnd.choice([1, 40, 3000]))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    vocabulary = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "ord int, term string").repartition(5)
+    plain = df.join(vocabulary.filter("term <> ''"), F.contains(F.lower("text"), F.lower("term"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("h"))
+    want = {r.id: [x.term for x in r.h] for r in plain.collect()}
+    for most, chars in ((V.MOST, V.MOST_CHARS), (40, V.MOST_CHARS), (V.MOST, 100)):
+        got = {r.id: r.hits for r in V.with_vocabulary(df, "text", vocabulary, most=most, most_chars=chars).collect()}
+        assert got == {i: want.get(i, []) for i in range(len(texts))}
+    assert V.with_vocabulary(df, "text", vocabulary.limit(0)).filter("size(hits) > 0").count() == 0

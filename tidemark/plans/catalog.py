@@ -708,4 +708,4 @@ def q_rss_td(spark, sf):
 
 
 # Queries in modules of their own, registered by their import.
-from tidemark.plans import catalog_files, catalog_history  # noqa: E402, F401
+from tidemark.plans import catalog_files, catalog_history, catalog_terms  # noqa: E402, F401
