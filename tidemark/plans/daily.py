@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import category, header_detail, vendor_profile
@@ -84,6 +84,15 @@ def compute_changes(old: Snapshot, new: Snapshot) -> DataFrame:
     return out
 
 
+def watched(name: str) -> dict[tuple[str, str], Column]:
+    """What is counted of a table while it is written: all rows, or those of each page that has a limit."""
+    whole = {"products": ("niap", "pcl"), "profiles": ("niap", "pps")}
+    if name in whole:
+        return {whole[name]: F.count(F.lit(1))}
+    pages = [key for limits in (quality.FATAL_LIMITS, quality.WARN_LIMITS) for key in limits if key not in whole.values()]
+    return {(d, c): F.count_if((F.col("domain") == d) & (F.col("page_key") == c)) for d, c in pages} if name == "page_items" else {}
+
+
 def counts(snapshot: Snapshot) -> DataFrame:
     """(domain, collection, n) of what the checks look at."""
     n = lambda df, d, c: df.agg(F.count("*").alias("n")).select(F.lit(d).alias("domain"), F.lit(c).alias("collection"), "n")
@@ -110,18 +119,46 @@ class Store:
             return []
         return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{name}="))
 
-    def write(self, snapshot: Snapshot, day: str) -> None:
+    def write(self, snapshot: Snapshot, day: str) -> DataFrame:
+        """Write a day's tables and return (domain, collection, n) of what the checks look at, counted as the rows pass by."""
+        found = []
         for name in self.collections:
-            snapshot[name].write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}/snapshot_date={day}")
+            table, told = snapshot[name], watched(name)
+            observed = Observation(f"{name} {day}") if told else None
+            if observed:
+                table = table.observe(observed, *(c.alias(f"n{i}") for i, c in enumerate(told.values())))
+            table.write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}/snapshot_date={day}")
+            if observed:
+                found += [(*key, observed.get.get(f"n{i}") or 0) for i, key in enumerate(told)]
+        return self.spark.createDataFrame(found, "domain string, collection string, n long")
+
+    def drop(self, day: str) -> None:
+        """Take back a day that was never finished."""
+        for path in [*(f"snapshots/{n}/snapshot_date={day}" for n in self.collections), f"changes/run_date={day}", f"alerts/run_date={day}", f"published/day={day}"]:
+            fs, p = self._folder(f"{self.root}/{path}")
+            fs.delete(p, True)
 
     def finish(self, day: str, version: int = SCHEMA_VERSION) -> None:
-        """V4: mark a day as whole, last of all; what isn't marked is done again and never compared with."""
+        """V4: the one step that commits a day, after all of it is written, published files too; what isn't marked is done again and no reader sees it."""
         fs, p = self._folder(f"{self.root}/finished/snapshot_date={day}/schema_version={version}")
         fs.create(p, True).close()
 
     def finished(self) -> list[str]:
         return self.days("finished")
 
+    def logged(self, also: str | None = None) -> list[str]:
+        """The finished days that have a change log, and the day that is about to be finished."""
+        whole = {*self.finished(), also}
+        return [d for d in self.days("changes", "run_date") if d in whole]
+
+    def delivered(self, day: str) -> bool:
+        fs, p = self._folder(f"{self.root}/delivered/{day}")
+        return fs.exists(p)
+
+    def mark_delivered(self, day: str) -> None:
+        fs, p = self._folder(f"{self.root}/delivered/{day}")
+        fs.create(p, True).close()
+
     def version(self, day: str | None) -> int | None:
         """The schema version of a day's snapshot."""
         fs, p = self._folder(f"{self.root}/finished/snapshot_date={day}")
@@ -135,6 +172,14 @@ class Store:
         finally:
             out.close()
 
+    def promote(self, day: str) -> None:
+        """Copy a finished day's files to the place of the latest; doing it again changes nothing."""
+        fs, p = self._folder(f"{self.root}/published/day={day}")
+        jvm = self.spark.sparkContext._jvm
+        for s in fs.listStatus(p) if fs.exists(p) else ():
+            target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/published/{s.getPath().getName()}")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, s.getPath(), fs, target, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def read(self, day: str | None) -> Snapshot:
         if day is None:
             return empty_snapshot(self.spark)
@@ -147,6 +192,13 @@ class Store:
     def write_changes(self, changes: DataFrame, day: str) -> None:
         changes.write.mode("overwrite").parquet(f"{self.root}/changes/run_date={day}")
 
+    def write_alerts(self, found: DataFrame, day: str) -> None:
+        found.write.mode("overwrite").parquet(f"{self.root}/alerts/run_date={day}")
+
+    def alerts(self, day: str) -> DataFrame:
+        """A day's alerts, worked out once."""
+        return self.spark.read.parquet(f"{self.root}/alerts/run_date={day}")
+
     def changes(self, days: list[str]) -> DataFrame:
         if not days:
             return self.spark.createDataFrame([], f"{CHANGE}, run_date date")
@@ -156,7 +208,7 @@ class Store:
     def rotate(self, keep: int = KEPT) -> list[str]:
         """L3: drop all but the newest ``keep`` days."""
         gone = []
-        for table, name in [("finished", "snapshot_date"), *((f"snapshots/{c}", "snapshot_date") for c in self.collections), ("changes", "run_date")]:
+        for table, name in [("finished", "snapshot_date"), *((f"snapshots/{c}", "snapshot_date") for c in self.collections), ("changes", "run_date"), ("alerts", "run_date"), ("published", "day")]:
             for day in self.days(table, name)[:-keep]:
                 fs, p = self._folder(f"{self.root}/{table}/{name}={day}")
                 fs.delete(p, True)
@@ -165,40 +217,61 @@ class Store:
 
 
 def run_daily(store: Store, collect: Callable[[], Snapshot], today: str, send: Callable[[str], None] | None = None, log: Callable[[str], None] = print) -> dict:
-    """Guard, collect, check, persist, diff, alert, publish, rotate.  A second run of a whole day does nothing."""
+    """Guard, collect, write and check, diff, alert, publish, commit, deliver, rotate.
+
+    Nothing of a day is seen before its one commit, and a run that stops before that is done again from the start.  What comes after is
+    delivery; a second run of a whole day does what is left of it, else nothing.
+    """
     if today in store.finished():
-        return {"skipped": True}
+        return {"skipped": True, "sent": deliver(store, today, send)}
     snapshot = empty_snapshot(store.spark) | collect()
-    warnings = quality.require(quality.checks(counts(snapshot)))
+    try:
+        warnings = quality.require(quality.checks(store.write(snapshot, today)))
+    except quality.SnapshotRejected:
+        store.drop(today)
+        raise
     prior = store.prior(today)
     warnings += schema_warnings(store.version(prior), SCHEMA_VERSION, SCHEMA_VERSION) if prior else []
-    store.write(snapshot, today)
     found = compute_changes(store.read(prior), store.read(today))
     store.write_changes(found if prior else quality.first_run(found), today)
-    store.finish(today)
-    store.rotate()
     changes = store.changes([today])
+    told = alerting.alerts(changes)
+    store.write_alerts((told if prior else told.limit(0)).drop("run_date"), today)
     metrics = [r.asDict() for r in stats.domain_metrics(changes).orderBy("domain").collect()]
     for m in metrics:
         log(f"[{m['domain']}] page items added: {m['page_items_added']}, documents changed: {m['document_changes']}, feed items new: {m['feed_items_new']}, entities changed: {m['entity_changes']}")
-    told = [r.asDict() for r in alerting.alerts(changes).collect()] if prior else []
     publish(store, today)
+    store.finish(today)
+    sent = deliver(store, today, send)
+    store.rotate()
+    return {"skipped": False, "prior": prior, "warnings": warnings, "alerts": [r.asDict() for r in store.alerts(today).collect()], "metrics": metrics, "sent": sent}
+
+
+def deliver(store: Store, today: str, send: Callable[[str], None] | None = None) -> bool:
+    """Show a finished day's files as the latest and send its alerts, unless that is done already.  If a run stops between the two steps of sending and
+    noting it, the message is sent again rather than lost."""
+    if store.delivered(today):
+        return False
+    if today == max(store.finished(), default=None):
+        store.promote(today)
+    told = [r.asDict() for r in store.alerts(today).orderBy("pos").collect()]
     sent = sinks.notify(sinks.chat_message(told), send)
-    return {"skipped": False, "prior": prior, "warnings": warnings, "alerts": told, "metrics": metrics, "sent": sent}
+    store.mark_delivered(today)
+    return sent
 
 
 def publish(store: Store, today: str) -> None:
-    """K1-K3: the day's JSON, dashboard and feed under ``published``."""
-    changes = store.changes([today])
-    store.write_text(f"{today}_diff.json", sinks.as_json(changes))
-    store.write_text("dashboard.html", render(store, today, today))
-    items = sinks.rss_items(changes, alert_rows=alerting.alerts(changes))
-    store.write_text("changes.rss", sinks.rss_document(items, "Changes", "https://www.niap-ccevs.org/", "Changes between snapshots"))
+    """K1-K3: the day's JSON, dashboard and feed, in a folder of the day's own."""
+    changes, told = store.changes([today]), store.alerts(today)
+    store.write_text(f"day={today}/{today}_diff.json", sinks.as_json(changes))
+    store.write_text(f"day={today}/dashboard.html", render(store, today, today))
+    items = sinks.rss_items(changes, alert_rows=told)
+    store.write_text(f"day={today}/changes.rss", sinks.rss_document(items, "Changes", "https://www.niap-ccevs.org/", "Changes between snapshots"))
 
 
 def run_weekly(store: Store, n: int = WEEK_FILES, send: Callable[[str], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """The merged log of the last ``n`` days there are, and the merged alerts; published as JSON, and sent as a digest."""
-    days = store.days("changes", "run_date")[-n:]
+    days = store.logged()[-n:]
     if not days:
         raise FileNotFoundError("no change logs yet")
     log = store.changes(days)
@@ -215,11 +288,12 @@ def run_bootstrap(store: Store, collect: Callable[[], Snapshot], today: str) ->
     quality.require(quality.checks(counts(snapshot)))
     store.write(snapshot, today)
     store.finish(today)
+    store.mark_delivered(today)
 
 
 def render(store: Store, today: str, generated: str) -> str:
     """K2 for a day's log and the sparklines of the last days."""
-    log, days = store.changes([today]), store.days("changes", "run_date")[-WEEK_FILES:]
+    log, days = store.changes([today]), store.logged(today)[-WEEK_FILES:]
     recent = store.changes(days)
     dates = store.spark.createDataFrame([(d,) for d in days], "run_date string").select(F.to_date("run_date").alias("run_date"))
     lines: dict[str, list[int]] = {}
@@ -230,5 +304,5 @@ def render(store: Store, today: str, generated: str) -> str:
     named = log.select(stats.section().alias("section"), F.concat_ws(": ", "kind", F.coalesce("title", "group_key", "text")).alias("item"), "pos").filter("section IS NOT NULL")
     for r in named.orderBy("section", "pos", "item").toLocalIterator():
         items.setdefault(r.section, []).append(r.item)
-    return sinks.dashboard([r.asDict() for r in totals.orderBy("section").collect()], [r.asDict() for r in stats.roll_up(totals).orderBy("stat").collect()], lines, [r.asDict() for r in alerting.alerts(log).collect()], generated, items)
+    return sinks.dashboard([r.asDict() for r in totals.orderBy("section").collect()], [r.asDict() for r in stats.roll_up(totals).orderBy("stat").collect()], lines, [r.asDict() for r in store.alerts(today).collect()], generated, items)
 

@@ -1,14 +1,13 @@
 """One snapshot of all sources of a catalog: fetch, then parse by domain, kind and mode.
 
 Every URL is a partition of the fetch, so sources are read in parallel and a source that fails leaves no rows instead of
-failing the others.  The bodies are kept for the length of the run, as several tables are parsed from them.
+failing the others.  What is fetched is written before it is parsed, as several tables are parsed from it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from tidemark.functions.vocab import SOURCES
 from tidemark.sources import html as H
 from tidemark.sources.feeds import read_feeds
 from tidemark.sources.landed import doc_headers, envelope, fetch, union_events
+from tidemark.sources.landing import RawStore, shared_root
 
 #: REST source: where its list is in the answer, the record's fields.
 REST = {
@@ -34,19 +34,20 @@ PAGE_RULES = {"csfc": H.PANE, "cc_crypto": H.MAIN, "nist": H.ROWS}
 
 def feed_rows(bodies: DataFrame) -> DataFrame:
     """(domain, feed_name, title, link, summary, published, id, pos) of feeds' texts."""
-    return items_of(read_feeds(bodies, "domain", "name"))
-
-
-def items_of(found: DataFrame) -> DataFrame:
+    found = read_feeds(bodies, "domain", "name")
     return found.filter("pos IS NOT NULL").select("domain", F.col("name").alias("feed_name"), "title", "link", "summary", "published", "id", "pos")
 
 
-def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callable[..., DataFrame] = fetch, **options) -> dict[str, DataFrame]:
-    """The tables of a snapshot (see ``tidemark.plans.daily.SCHEMAS``), and the portal's pages that are never compared."""
+def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callable[..., DataFrame] = fetch, landing: str | None = None, run: str | None = None, **options) -> dict[str, DataFrame]:
+    """The tables of a snapshot (see ``tidemark.plans.daily.SCHEMAS``), and the portal's pages that are never compared.
+
+    What is fetched lands in the folder ``landing``, which the executors share, and is read from there; with the same ``run`` it isn't fetched again.
+    """
+    store = RawStore(spark, landing or f"{shared_root(spark)}/landing", run)
     listed = spark.createDataFrame([tuple(s) for s in sources], "domain string, kind string, name string, url string, mode string")
     urls = sorted({s[3] for s in sources if s[4] != "head"})
-    bodies = get(spark, urls, **options).select("url", F.col("body").cast("string").alias("text")).filter("text IS NOT NULL")
-    bodies = listed.filter("mode <> 'head'").join(bodies, "url").persist(StorageLevel.MEMORY_AND_DISK)
+    bodies = store.keep("pages", lambda: get(spark, urls, **options)).select("url", F.col("body").cast("string").alias("text")).filter("text IS NOT NULL")
+    bodies = listed.filter("mode <> 'head'").join(bodies, "url")
 
     def rest(name: str) -> DataFrame:
         return envelope(bodies.filter((F.col("kind") == "rest") & (F.col("name") == name)), "text", *REST[name])
@@ -67,17 +68,15 @@ def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callab
     out["page_items"] = items[0].unionByName(items[1]).unionByName(items[2])
     scraped = bodies.filter("mode = 'scrape'").withColumn("key", F.concat_ws("\0", "domain", "name"))
     posts = H.posts(scraped, "key", "text").withColumns({"domain": F.split_part("key", F.lit("\0"), F.lit(1)), "feed_name": F.split_part("key", F.lit("\0"), F.lit(2)), "summary": F.lit(None).cast("string")})
-    read = read_feeds(bodies.filter("mode = 'rss'"), "domain", "name")
-    out["feed_status"] = read.groupBy("domain", F.col("name").alias("feed_name"), "status").agg(F.count("pos").alias("items"))
-    feeds = items_of(read)
+    feeds = feed_rows(bodies.filter("mode = 'rss'"))
     out["feed_items"] = feeds.unionByName(posts.select(*feeds.columns)).filter("domain <> 'cc_portal'")
     out["portal_feed"] = feeds.filter("domain = 'cc_portal'")
 
     documents = [s for s in sources if s[4] == "head"]
-    heads = get(spark, [s[3] for s in documents], method="HEAD", **options).drop("body").persist(StorageLevel.MEMORY_AND_DISK)
+    heads = store.keep("heads", lambda: get(spark, [s[3] for s in documents], method="HEAD", **options)).drop("body")
     blank = heads.filter((F.col("status_code").isNull()) | ((default("last_modified") == "") & (default("etag") == "") & (default("content_length") == "")))
     again = [r.url for r in blank.select("url").collect()]  # no more than the catalog has
-    parts = get(spark, again, most=2048, **options)
+    parts = store.keep("parts", lambda: get(spark, again, most=2048, **options))
     known = listed.filter("mode = 'head'").select("domain", F.col("name").alias("doc_name"), "url")
     out["doc_headers"] = known.join(doc_headers(heads, parts), "url").select("domain", "doc_name", "url", "status_code", "last_modified", "etag", "content_length", "partial_hash")
     return out

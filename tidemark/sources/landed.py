@@ -67,6 +67,9 @@ class _HttpReader(DataSourceReader):
             return e
 
     def read(self, partition):
+        if partition is None:  # no URLs at all
+            return
+
         def fetch():
             request = urllib.request.Request(partition.row, method=self.method)
             if self.most:
