@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import history
 from tidemark.operators.diff import Transition
-from tidemark.plans.catalog import query, table
+from tidemark.operators.kept_merge import KeptMerge
+from tidemark.plans.catalog import MERGED, change_log, query, table
+from tidemark.plans.schema import CHANGE
+from tidemark.sources.landing import shared_root
 
 #: A snapshot a day of each user's last event; no snapshot was taken on days that 7 divides.
 DAYS_SQL = """h AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS k, event_type AS s, CASE WHEN value < 50 THEN '' ELSE props END AS p FROM events WHERE day(ts) % 7 <> 0
@@ -39,3 +44,16 @@ def q_history_intervals(spark, sf):
     """Spans of days in which a key's record stayed the same."""
     found = history.intervals(daily(spark, sf), "day", "user_id", ["state"], order=["ts", "event_id"])
     return found.select("entity_key", "record.state", "valid_from", "valid_to", "days")
+
+
+@query(MERGED, "run_date")
+def q_weekly_kept_up(spark, sf):
+    """W1, W3-W7 kept up: seven days taken in one by one, each read once, then merged from the state."""
+    root = f"{shared_root(spark)}/merge-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    log = change_log(spark, sf)
+    kept = KeptMerge(spark, root, f"{CHANGE}, run_date date")
+    for day in range(1, 8):
+        kept.add(f"2024-01-{day:02}", log.filter(F.col("run_date") == F.lit(f"2024-01-{day:02}").cast("date")))
+    return kept.merged().select("domain", "collection", "kind", "group_key", "run_date", "pos")
