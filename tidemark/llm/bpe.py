@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 
-SLICE, KNOWN, KNOWN_BYTES, PAIRS = 1 << 20, 500_000, 1 << 24, 1 << 19
+SLICE, KNOWN, KNOWN_BYTES, PAIRS = 1 << 20, 350_000, 1 << 23, 1 << 18
 WORD_END = "</w>"
 #: Case pairs of Unicode 16, which the library's tables have and Python's may lack: upper-case code point, lower-case one.
 NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
@@ -221,6 +221,7 @@ def bpe(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "tex
         import numpy as np
         import pyarrow.compute  # noqa: F401
 
+        pa.default_memory_pool().release_unused()  # what the worker's earlier tasks have freed
         key = hashlib.sha256(shared.value.encode()).hexdigest()
         coder = CODERS.get(key) or CODERS.setdefault(key, WordBpe(shared.value))
         for part in slices(batches):
