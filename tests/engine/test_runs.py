@@ -103,7 +103,7 @@ def test_half_even(spark):
 def test_messages():
     told = [{"source": "s", "title": f"t{i}", "matched_keywords": ["k"]} for i in range(12)]
     text = sinks.chat_message(told)
-    assert text.count("\n") == 10 and text.endswith("...and 2 more")
+    assert text.count("\n") == 10 and text.endswith("...and 2 more") and sinks.chat_message(told[:10], total=12) == text
     logged = []
     assert not sinks.notify("x", lambda m: 1 / 0, logged.append) and logged
     assert not sinks.notify("", print) and not sinks.notify("x", None)
@@ -127,3 +127,6 @@ def test_streams(spark, tmp_path):
     told = []
     landing.keyword_alerts(stream, "title", ["ssh"], told.extend, str(tmp_path / "cp2")).awaitTermination()
     assert [r.id for r in told] == ["1"]
+    told = []
+    landing.keyword_alerts(stream, "title", ["ssh", "x", "y"], told.extend, str(tmp_path / "cp3"), str(tmp_path / "found"), most=2).awaitTermination()
+    assert len(told) == 2 and spark.read.parquet(str(tmp_path / "found")).count() == 3  # all are written, the first are sent

@@ -254,8 +254,9 @@ def deliver(store: Store, today: str, send: Callable[[str], None] | None = None)
         return False
     if today == max(store.finished(), default=None):
         store.promote(today)
-    told = [r.asDict() for r in store.alerts(today).orderBy("pos").collect()]
-    sent = sinks.notify(sinks.chat_message(told), send)
+    told = store.alerts(today)
+    first = [r.asDict() for r in told.orderBy("pos", "source", "title").limit(10).collect()]
+    sent = sinks.notify(sinks.chat_message(first, total=told.count()), send)
     store.mark_delivered(today)
     return sent
 

@@ -163,10 +163,11 @@ def dashboard(totals: Sequence, stats: Sequence, sparklines: dict[str, list[int]
     return f"<html><body><p>{html.escape(generated)}</p><ul>{cells}</ul>{bars}<section id='sec-alerts'><h2>Alerts ({len(alert_rows)})</h2><ul>{told}</ul></section></body></html>"
 
 
-def chat_message(alert_rows: Sequence, most: int = 10) -> str:
-    """The first alerts and how many more there are."""
+def chat_message(alert_rows: Sequence, most: int = 10, total: int | None = None) -> str:
+    """The first alerts and how many more there are (``total``: of all, where only the first are given)."""
+    total = len(alert_rows) if total is None else total
     lines = [f"- **[{a['source']}]** {a['title']} ({', '.join(a['matched_keywords'])})" for a in alert_rows[:most]]
-    return "\n".join(lines + [f"...and {len(alert_rows) - most} more"] * (len(alert_rows) > most))
+    return "\n".join(lines + [f"...and {total - most} more"] * (total > most))
 
 
 def notify(message: str, send: Callable[[str], None] | None, log: Callable[[str], None] = print) -> bool:

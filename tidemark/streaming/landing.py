@@ -43,7 +43,14 @@ def daily_counts(stream: DataFrame, time: str, group: str, late: str = "1 day")
     return stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), group).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("run_date"), group, "n")
 
 
-def keyword_alerts(stream: DataFrame, text: str, words: list[str], send: Callable[[list], None], checkpoint: str) -> StreamingQuery:
-    """Rows whose text has watched words, handed to ``send`` batch by batch."""
+def keyword_alerts(stream: DataFrame, text: str, words: list[str], send: Callable[[list], None], checkpoint: str, out: str | None = None, most: int = 100) -> StreamingQuery:
+    """Rows whose text has watched words: all are written by the tasks, a folder a batch, under ``out`` (by default beside the
+    checkpoint); the first ``most`` of a batch are handed to ``send``."""
     found = stream.withColumn("matched_keywords", hits(text, words)).filter(F.size("matched_keywords") > 0)
-    return found.writeStream.foreachBatch(lambda df, _: send(df.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def step(batch: DataFrame, number: int) -> None:
+        folder = f"{out or f'{checkpoint}-found'}/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        send(batch.sparkSession.read.schema(batch.schema).parquet(folder).limit(most).collect())
+
+    return found.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
