@@ -28,3 +28,20 @@ def test_parts_cases_and_odd_rows(spark):
         got = {r.id: r.hits for r in V.with_vocabulary(df, "text", vocabulary, most=most, most_chars=chars).collect()}
         assert got == {i: want.get(i, []) for i in range(len(texts))}
     assert V.with_vocabulary(df, "text", vocabulary.limit(0)).filter("size(hits) > 0").count() == 0
+
+
+def test_many_terms_fit_a_small_worker(spark):
+    """Half a million terms in a worker: their keys and characters, not objects; long terms and several packs; each text scanned once for a filter on its hits."""
+    n = 500_000
+    vocabulary = spark.range(n).select(F.col("id").alias("ord"), F.when(F.col("id") % 1000 == 7, F.concat(F.repeat(F.lit("Ü"), 20), F.col("id"))).otherwise(F.format_string("%07x Q", F.col("id"))).alias("term"))
+    parts = V.vocabulary_parts(vocabulary, "ord", "term")
+    assert len(parts) == 1 and len(V.vocabulary_parts(vocabulary, "ord", "term", most=n // 3)) > 2
+    part = V.Part(shared for _, shared in parts[0])
+    held = sum(a.nbytes for a in vars(part).values() if hasattr(a, "nbytes"))
+    assert held < 60 * n and not any(hasattr(shared, "_value") for _, shared in parts[0])
+    texts = spark.range(40).select("id", F.concat(F.lit("x"), F.format_string("%07X q", F.col("id") * 1000 + 6), F.lit(" "), F.repeat(F.lit("ü"), 25), F.col("id") * 1000 + 7).alias("text"))
+    for most in (V.MOST, n // 3):
+        found = V.with_vocabulary(texts, "text", vocabulary, most=most).filter("size(hits) > 0")
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("scan(") == 1
+        rows = {r.id: r.hits for r in found.collect()}
+        assert rows[3] == ["0000bbe Q", "Ü" * 20 + "3007"][:2] and len(rows) == 40
