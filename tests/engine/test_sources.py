@@ -67,6 +67,19 @@ def test_http_and_headers(spark, tmp_path):
     assert {r.url: r.partial_hash for r in L.doc_headers(heads, bodies).collect()} == want
 
 
+def test_polls_of_one_url(spark, tmp_path):
+    """Pages that share a URL, or have none, are polled each for itself."""
+    from tidemark.plans import catalog
+
+    pages = [(12, "u", "first"), (24, "u", "second"), (36, None, "third"), (15, "u", "not fetched"), (13, "u", "has an etag")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.url or "", r.etag, r.partial_hash) for r in catalog.QUERIES["q_doc_poll"](spark, str(tmp_path)).collect())
+    import hashlib
+
+    h = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == sorted([("u", "", h("first")), ("u", "", h("second")), ("", "", h("third")), ("u", "", ""), ("u", "e13", "")])
+
+
 def test_envelopes(spark):
     df = spark.createDataFrame([(json.dumps({"results": {"cctls": [{"id": 1.0}, {"id": "x"}]}}),), ("{}",), ("null",)], "j string")
     assert [r.id for r in L.envelope(df, "j", "results.cctls", "id: string").collect()] == ["1.0", "x"]

@@ -73,7 +73,7 @@ def collect(spark: SparkSession, sources: Sequence[tuple] = SOURCES, get: Callab
     out["portal_feed"] = feeds.filter("domain = 'cc_portal'")
 
     documents = [s for s in sources if s[4] == "head"]
-    heads = store.keep("heads", lambda: get(spark, [s[3] for s in documents], method="HEAD", **options)).drop("body")
+    heads = store.keep("heads", lambda: get(spark, list(dict.fromkeys(s[3] for s in documents)), method="HEAD", **options)).drop("body")
     blank = heads.filter((F.col("status_code").isNull()) | ((default("last_modified") == "") & (default("etag") == "") & (default("content_length") == "")))
     again = [r.url for r in blank.select("url").collect()]  # no more than the catalog has
     parts = store.keep("parts", lambda: get(spark, again, most=2048, **options))

@@ -105,12 +105,15 @@ def fetch(spark: SparkSession, urls: list[str], **options) -> DataFrame:
     return spark.read.format("tidemark_http").options(urls="\n".join(urls), **{k: str(v) for k, v in options.items()}).load()
 
 
-def doc_headers(heads: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Header rows (url, ...) with ``partial_hash``: only where the HEAD failed or gave no header at all, of a 200 or 206 body."""
+def doc_headers(heads: DataFrame, bodies: DataFrame, key: str = "url") -> DataFrame:
+    """Header rows (url, ...) with ``partial_hash``: only where the HEAD failed or gave no header at all, of a 200 or 206 body.
+
+    ``key`` tells one request from another in both; where several ask for the same URL, it must be another column than that.
+    """
     blank = (default("last_modified") == "") & (default("etag") == "") & (default("content_length") == "")
     wanted = F.col("status_code").isNull() | blank
-    body = bodies.filter(F.col("status_code").isin(200, 206)).select("url", fingerprint("body").alias("hash"))
-    return heads.join(body, "url", "left").withColumn("partial_hash", F.when(wanted, F.coalesce("hash", F.lit(""))).otherwise("")).select("url", "status_code", "last_modified", "etag", "content_length", "partial_hash")
+    body = bodies.filter(F.col("status_code").isin(200, 206)).select(key, F.lit(True).alias("fetched"), fingerprint("body").alias("hash"))
+    return heads.join(body, key, "left").withColumn("partial_hash", F.when(wanted & F.col("fetched"), F.col("hash")).otherwise("")).select("url", "status_code", "last_modified", "etag", "content_length", "partial_hash")
 
 
 def envelope(df: DataFrame, json: str, path: str, element: str) -> DataFrame:
