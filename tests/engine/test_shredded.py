@@ -76,3 +76,15 @@ def test_a_stored_difference(spark):
         ("niap", "news", "", "added", "9", "", "u", "CISA", "", ""), ("niap", "pps", "", "status_change", "2", "", S.PROFILE + "2", "", "x", "y"),
     ]
     assert json.loads(next(r.payload for r in log if r.collection == "news"))["id"] == 9
+
+
+def test_files_are_read_once(spark):
+    """Whatever the number of collections; and tables taken together are the same rows as one by one."""
+    raw = texts(spark, a=OLD, broken="{", c={"niap": {"pps": [{"pp_id": None}, {"pp_id": 4}, 5, None]}})
+    key = lambda name: lambda t: {"key": t[name], "pos": t["pos"]}
+    both = S.together(raw, {"profiles": key("pp_id"), "page_items": key("page_key"), "feed_items": key("feed_name")})
+    for df in (both, S.problems(raw), S.difference_log(raw)):
+        assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    apart = S.tables(raw)
+    want = [(r.file, t, r[n], r.pos) for t, n in (("profiles", "pp_id"), ("page_items", "page_key"), ("feed_items", "feed_name")) for r in apart[t].collect()]
+    assert sorted(map(tuple, both.collect())) == sorted(want) and len(want) == 6

@@ -2,7 +2,8 @@
 
 A file is one nested document whose keys are partly data (names of labs, pages, feeds and documents), so it is read as VARIANT and taken
 apart by rows, never by inferred columns: :func:`records` gives one row a record of any collection, :func:`tables` types them as the
-tables of a snapshot, :func:`problems` tells what doesn't fit, and :func:`difference_log` turns a stored difference into change log rows.
+tables of a snapshot, :func:`together` several of them as one, :func:`problems` tells what doesn't fit, and :func:`difference_log` turns a stored difference
+into change log rows.  Each of them reads and parses a file once, whatever the number of collections (:func:`tables`: once a table).
 
 Cells keep the order of their columns, which VARIANT doesn't, so they are read from the text.  A file that isn't JSON has no records and one
 problem; a value that can't be cast is null and a problem; unknown fields are problems and otherwise ignored; a missing collection is an
@@ -11,7 +12,9 @@ empty one; a null or missing identity leaves the record out, as the differences
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +57,14 @@ def files(spark: SparkSession, glob: str) -> DataFrame:
     return parsed(spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """A column that is worked out once a row; the optimizer would copy a projected one into whatever uses it."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(column)).alias(name))
+
+
 def parsed(texts: DataFrame) -> DataFrame:
     """(file, text, v) of (file, text) rows."""
-    return texts.select("file", "text", F.try_parse_json("text").alias("v"))
+    return once(once(texts.select("file", "text"), F.col("text"), "text"), F.try_parse_json("text"), "v")
 
 
 def envelopes(raw: DataFrame) -> DataFrame:
@@ -65,32 +73,56 @@ def envelopes(raw: DataFrame) -> DataFrame:
     return raw.filter("v IS NOT NULL").select("file", F.coalesce(version, F.lit(1)).alias("schema_version"), F.coalesce(at, F.lit("")).alias("collected_at"))
 
 
-def exploded(df: DataFrame, column: str, key: str, pos: str, value: str) -> DataFrame:
-    """One row an element of a VARIANT list or map; none for other values."""
-    each = df.sparkSession.tvf.variant_explode(F.col(column).outer()).select(F.col("pos").alias(pos), F.col("key").alias(key), F.col("value").alias(value))
-    return df.lateralJoin(each)
+def listed(part: Column) -> Column:
+    """The elements of a VARIANT list; null for any other value."""
+    return F.try_variant_get(part, "$", "array<variant>")
+
+
+def mapped(part: Column) -> Column:
+    """The (key, value) entries of a VARIANT map; null for any other value."""
+    return F.map_entries(F.try_variant_get(part, "$", "map<string,variant>"))
+
+
+def row(place: Place, group: Column, pos: Column, value: Column, field: Column | None = None, problem: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    given = (F.lit(place.table), F.lit(place.domain), F.lit(place.path), group, pos, value, none if field is None else field, none if problem is None else problem)
+    return F.struct(*(c.alias(n) for c, n in zip(given, ("table", "domain", "path", "group_key", "pos", "value", "field", "problem"))))
+
+
+def found_at(place: Place, odd: bool) -> Column:
+    """The records of a place; with ``odd`` also rows for what is no list or no map there."""
+    part, nothing, nowhere = F.try_variant_get("v", f"$.{place.path}", "variant"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    none = F.lit(None).cast("variant")
+    if place.shape == "list":
+        inside = F.transform(listed(part), lambda x, i: row(place, nothing, i, x))
+    elif place.shape == "map":
+        inside = F.transform(mapped(part), lambda e, i: row(place, e["key"], i, e["value"]))
+    else:
+        wrong = lambda e: F.array(row(place, nothing, nowhere, none, F.concat_ws(".", F.lit(place.path), e["key"]), F.lit("no list")))
+        items = lambda e: F.transform(listed(e["value"]), lambda x, i: row(place, e["key"], i, x))
+        inside = F.flatten(F.transform(mapped(part), lambda e: F.coalesce(items(e), wrong(e) if odd else F.array().cast(ROWS))))
+    wrong = F.array(row(place, nothing, nowhere, none, F.lit(place.path), F.lit("no list" if place.shape == "list" else "no map")))
+    absent = part.isNull() | F.is_variant_null(part)
+    return F.coalesce(inside, F.when(~absent, wrong) if odd else F.lit(None), F.array().cast(ROWS))
 
 
-def parts(raw: DataFrame, places=PLACES) -> DataFrame:
-    """(file, table, domain, shape, part) of the collections that a file has, one row each, from one reading of it."""
-    told = [F.struct(F.lit(p.table).alias("table"), F.lit(p.domain).alias("domain"), F.lit(p.shape).alias("shape"), F.lit(p.path).alias("path"), F.try_variant_get("v", f"$.{p.path}", "variant").alias("part")) for p in places]
-    found = raw.filter("v IS NOT NULL").select("file", F.explode(F.array(*told)).alias("p")).select("file", "p.*")
-    return found.filter(F.col("part").isNotNull() & ~F.is_variant_null("part"))
+ROW = {"table": "string", "domain": "string", "path": "string", "group_key": "string", "pos": "int", "value": "variant", "field": "string", "problem": "string"}
+ROWS = f"array<struct<{', '.join(f'{n}: {k}' for n, k in ROW.items())}>>"
 
 
-def fits(part: Column, shape: Column | str) -> Column:
-    kind = F.schema_of_variant(part)
-    listed = F.startswith(kind, F.lit("ARRAY"))
-    return F.when(shape == "list", listed).otherwise(F.startswith(kind, F.lit("OBJECT"))) if isinstance(shape, Column) else (listed if shape == "list" else F.startswith(kind, F.lit("OBJECT")))
+def read(raw: DataFrame, places=PLACES, odd: bool = False) -> DataFrame:
+    """(file, table, domain, path, group_key, pos, value, field, problem) of all records and, with ``odd``, of what doesn't have the shape of a collection."""
+    rows = F.concat(*(found_at(p, odd) for p in places))
+    if odd:
+        no_json = F.array(F.struct(*(F.lit(None).cast(k).alias(n) for n, k in ROW.items() if n != "problem"), F.lit("corrupt").alias("problem")))
+        rows = F.when(F.col("v").isNull(), no_json).otherwise(rows)
+    held = once(raw.select("file", "v"), rows, "rows")
+    return held.select("file", F.explode("rows").alias("r")).select("file", "r.*")
 
 
 def records(raw: DataFrame, places=PLACES) -> DataFrame:
     """(file, table, domain, path, group_key, pos, value) of all records of all collections."""
-    top = exploded(parts(raw, places).filter(fits(F.col("part"), F.col("shape"))), "part", "k", "p", "value")
-    names = ["file", "table", "domain", "path"]
-    single = top.filter("shape <> 'lists'").select(*names, F.col("k").alias("group_key"), F.col("p").alias("pos"), "value")
-    grouped = top.filter("shape = 'lists'").filter(fits(F.col("value"), "list")).select(*names, F.col("k").alias("group_key"), F.col("value").alias("items"))
-    return single.unionByName(exploded(grouped, "items", "k", "pos", "value").select(*names, "group_key", "pos", "value"))
+    return read(raw, places).drop("field", "problem")
 
 
 def fields(table: str) -> dict[str, str]:
@@ -98,18 +130,32 @@ def fields(table: str) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(S.SCHEMAS[table]) if f.name not in FROM_PLACE}
 
 
-def typed(found: DataFrame, table: str) -> DataFrame:
-    """The rows of one table with its file, in the snapshot's types."""
+def typed_columns(table: str) -> dict[str, Column]:
+    """The columns of a table from its records, in the snapshot's types."""
     own = fields(table)
-    here = found.filter(F.col("table") == table)
-    plain = lambda name: ~F.schema_of_variant(F.try_variant_get("value", f"$.{name}", "variant")).rlike("^(ARRAY|OBJECT)")
+    plain = lambda name: listed(own_field(name)).isNull() & mapped(own_field(name)).isNull()
+    own_field = lambda name: F.try_variant_get("value", f"$.{name}", "variant")
     value = {name: F.try_variant_get("value", f"$.{name}", kind) if kind != "string" else F.when(plain(name), F.try_variant_get("value", f"$.{name}", kind)) for name, kind in own.items()}
     value |= {"pos": F.col("pos"), "domain": F.col("domain")} | dict.fromkeys(("feed_name", "page_key", "doc_name"), F.col("group_key"))
-    columns = [f.name for f in StructType.fromDDL(S.SCHEMAS[table])]
-    out = here.select("file", *(value[c].alias(c) for c in columns))
+    return {f.name: value[f.name] for f in StructType.fromDDL(S.SCHEMAS[table])}
+
+
+def typed(found: DataFrame, table: str) -> DataFrame:
+    """The rows of one table with its file, in the snapshot's types."""
+    out = found.filter(F.col("table") == table).select("file", *(c.alias(n) for n, c in typed_columns(table).items()))
     return out.filter(F.col(IDENTITY[table]).isNotNull()) if table in IDENTITY else out
 
 
+def together(raw: DataFrame, chosen: dict[str, Callable[[dict[str, Column]], dict[str, Column]]]) -> DataFrame:
+    """(file, name, columns) of some tables, but not those of cells, from one reading of the files; ``chosen`` makes a table's columns of its typed ones."""
+    found = records(raw, [p for p in PLACES if p.table in chosen])
+    columns = {t: typed_columns(t) for t in chosen}
+    made = {t: choose(columns[t]) for t, choose in chosen.items()}
+    kept = reduce(lambda a, b: a & b, [(F.col("table") != t) | columns[t][IDENTITY[t]].isNotNull() for t in chosen if t in IDENTITY], F.lit(True))
+    either = lambda name: F.coalesce(*(F.when(F.col("table") == t, c[name]) for t, c in made.items()))
+    return found.filter(kept).select("file", F.col("table").alias("name"), *(either(n).alias(n) for n in next(iter(made.values()))))
+
+
 def cells(raw: DataFrame, table: str) -> DataFrame:
     """(file, cells, pos) with the cells in the order of their columns."""
     name = CELL_TABLES[table]
@@ -120,8 +166,8 @@ def cells(raw: DataFrame, table: str) -> DataFrame:
 
 def tables(raw: DataFrame, found: DataFrame | None = None) -> dict[str, DataFrame]:
     """The typed tables of a snapshot, each with the file that its rows come from; ``found``: the records, if at hand as a table."""
-    found = records(raw) if found is None else found
-    return {t: cells(raw, t) if t in CELL_TABLES else typed(found, t) for t in S.SCHEMAS}
+    of = lambda t: records(raw, [p for p in PLACES if p.table == t]) if found is None else found
+    return {t: cells(raw, t) if t in CELL_TABLES else typed(of(t), t) for t in S.SCHEMAS}
 
 
 def snapshot(raw: DataFrame) -> dict[str, DataFrame]:
@@ -132,29 +178,32 @@ def snapshot(raw: DataFrame) -> dict[str, DataFrame]:
 def problems(raw: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(file, table, field, problem, n): ``corrupt`` files; collections that are ``no list`` or ``no map``; records that are ``no record`` or have
     ``no identity``; fields that are ``unknown`` or of another ``type``.  A null value is of any type."""
-    found = records(raw) if found is None else found
-    none = F.lit(None).cast("string")
-    corrupt = raw.filter("v IS NULL").select("file", none.alias("table"), none.alias("field"), F.lit("corrupt").alias("problem"))
-    shaped = parts(raw)
-    wrong = shaped.filter(~fits(F.col("part"), F.col("shape"))).select("file", "table", F.col("path").alias("field"), F.when(F.col("shape") == "list", "no list").otherwise("no map").alias("problem"))
-    inner = exploded(shaped.filter("shape = 'lists'").filter(fits(F.col("part"), "map")), "part", "k", "p", "items").filter(~fits(F.col("items"), "list"))
-    wrong = wrong.unionByName(inner.select("file", "table", F.concat_ws(".", "path", "k").alias("field"), F.lit("no list").alias("problem")))
-    typed_records = found.filter(~F.col("table").isin(*CELL_TABLES))
-    is_record = F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))
+    none, string = F.lit(None), lambda c: c.cast("string")
+    told = read(raw, odd=True)
+    if found is not None:
+        told = told.filter("problem IS NOT NULL").unionByName(found.withColumns({"field": string(none), "problem": string(none)}))
+    row_problem = lambda field, problem: F.struct(string(field).alias("field"), string(problem).alias("problem"))
     identity = F.create_map(*(F.lit(x) for pair in IDENTITY.items() for x in pair))[F.col("table")]
     nameless = F.lit(False)
     for name in sorted(set(IDENTITY.values())):
         nameless = nameless | (identity == name) & F.try_variant_get("value", f"$.{name}", "string").isNull()
-    odd = typed_records.select("file", "table", none.alias("field"), F.when(~is_record, "no record").when(F.coalesce(nameless, F.lit(False)), "no identity").alias("problem")).filter("problem IS NOT NULL")
     expected = {f"{t}.{name}": kind for t in S.SCHEMAS if t not in CELL_TABLES for name, kind in fields(t).items()}
-    each = exploded(typed_records.filter(is_record), "value", "field", "at", "given").filter(~F.is_variant_null("given"))
-    each = each.withColumn("kind", F.create_map(*(F.lit(x) for pair in expected.items() for x in pair))[F.concat_ws(".", "table", "field")])
-    fine = ~F.schema_of_variant("given").rlike("^(ARRAY|OBJECT)")  # lists and maps have no text of their own
-    for kind in sorted(set(expected.values()) - {"string"}):
-        fine = F.when(F.col("kind") == kind, F.try_variant_get("given", "$", kind).isNotNull()).otherwise(fine)
-    strange = each.select("file", "table", "field", F.when(F.col("kind").isNull(), "unknown").when(~fine, "type").alias("problem")).filter("problem IS NOT NULL")
-    every = corrupt.unionByName(wrong).unionByName(odd).unionByName(strange)
-    return every.groupBy("file", "table", "field", "problem").agg(F.count("*").alias("n"))
+    kinds = F.create_map(*(F.lit(x) for pair in expected.items() for x in pair))
+
+    def strange(e: Column) -> Column:
+        kind, given = kinds[F.concat_ws(".", "table", e["key"])], e["value"]
+        fine = listed(given).isNull() & mapped(given).isNull()  # lists and maps have no text of their own
+        for other in sorted(set(expected.values()) - {"string"}):
+            fine = F.when(kind == other, F.try_variant_get(given, "$", other).isNotNull()).otherwise(fine)
+        return row_problem(e["key"], F.when(F.is_variant_null(given), none).when(kind.isNull(), "unknown").when(~fine, "type"))
+
+    inside = mapped(F.col("value"))
+    odd = row_problem(none, F.when(inside.isNull(), "no record").when(F.coalesce(nameless, F.lit(False)), "no identity"))
+    of_row = F.when(F.col("problem").isNotNull(), F.array(row_problem(F.col("field"), F.col("problem")))).when(
+        ~F.col("table").isin(*CELL_TABLES), F.filter(F.concat(F.array(odd), F.coalesce(F.transform(inside, strange), F.array().cast("array<struct<field: string, problem: string>>"))), lambda p: p["problem"].isNotNull())
+    )
+    each = once(told.select("file", "table", "value", "field", "problem"), of_row, "problems").select("file", "table", F.explode("problems").alias("p")).select("file", "table", "p.*")
+    return each.groupBy("file", "table", "field", "problem").agg(F.count("*").alias("n"))
 
 
 # --- stored differences ---------------------------------------------------------------------------------------------
@@ -173,42 +222,55 @@ PROFILE = "https://www.niap-ccevs.org/Profile/PP.cfm?id="
 def difference_log(raw: DataFrame) -> DataFrame:
     """(file, run_date, change log columns) of stored differences; ``run_date`` is the date that the file's name starts with."""
     get = lambda path, kind="string": F.try_variant_get("value", f"$.{path}", kind)
-    at = lambda path: raw.filter("v IS NOT NULL").select("file", F.try_variant_get("v", f"$.{path}", "variant").alias("part"))
-    out = []
-
-    def rows(df: DataFrame, domain: str, collection: str, **columns) -> None:
-        given = {"domain": F.lit(domain), "collection": F.lit(collection), "payload": F.to_json("value")} | columns
-        out.append(df.select("file", F.to_date(F.left("file", F.lit(10))).alias("run_date"), *(given.get(n, F.lit(None)).cast(k).alias(n) for n, k in S.CHANGE_FIELDS.items())))
-
-    def lists(df: DataFrame) -> DataFrame:
-        """(file, ..., kind, pos, value) of the lists of changes in ``part``."""
-        named = exploded(df, "part", "listed", "p", "items").filter(F.col("listed").isin(*LISTS)).filter(fits(F.col("items"), "list"))
-        kind = F.create_map(*(F.lit(x) for pair in LISTS.items() for x in pair))[F.col("listed")]
-        return exploded(named.drop("p"), "items", "k", "pos", "value").withColumn("kind", kind)
-
-    for collection, (identity, title, text, link) in ENTITIES.items():
-        links = F.concat(F.lit(PROFILE), get(identity)) if collection == "pps" else F.coalesce(F.nullif(get("link"), F.lit("")), get("url")) if collection == "news" else get(link) if link else F.lit(None)
-        old = F.when(F.col("kind") == "sunset_change", get("old_sunset")).when(F.col("kind") == "status_change", get("old_status")).when(F.col("kind") == "newly_archived", F.lit("Certified"))
-        new = F.when(F.col("kind") == "sunset_change", get("new_sunset")).when(F.col("kind") == "status_change", get("new_status")).when(F.col("kind") == "newly_archived", F.lit("Archived"))
-        rows(lists(at(f"niap.{collection}")), "niap", collection, kind=F.col("kind"), entity_key=get(identity), pos=F.col("pos"), title=get(title), text=get(text) if text else F.lit(None), link=links, category=get("_category"), old_value=old, new_value=new)
-    rows(lists(at("cc_portal.news")), "cc_portal", "news", kind=F.col("kind"), pos=F.col("pos"), text=get("text"), link=get("link"))
-    for collection in ("pps", "products"):
-        listed = F.from_json("text", f"cc_portal struct<{collection}: struct<added: array<map<string,string>>>>")["cc_portal"][collection]["added"]
-        each = raw.filter("v IS NOT NULL").select("file", F.posexplode(listed).alias("pos", "value"))
-        rows(each, "cc_portal", collection, kind=F.lit("added"), pos=F.col("pos"), text=F.array_join(F.map_values("value"), " | "))
+    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    none, text_map = F.lit(None), "map<string,string>"
+    empty = F.array().cast("array<struct<form: string, domain: string, collection: string, group_key: string, kind: string, pos: int, value: variant, cells: map<string,string>>>")
+    kinds = F.create_map(*(F.lit(x) for pair in LISTS.items() for x in pair))
 
-    def grouped(path: str) -> DataFrame:
-        return exploded(at(path), "part", "group_key", "g", "items").drop("part", "g")
+    def change(form: str, domain: str, collection: str, group: Column, kind: Column, pos: Column, value: Column = none, cells: Column = none) -> Column:
+        given = {"form": F.lit(form), "domain": F.lit(domain), "collection": F.lit(collection), "group_key": group.cast("string"), "kind": kind, "pos": pos, "value": value.cast("variant"), "cells": cells.cast(text_map)}
+        return F.struct(*(c.alias(n) for n, c in given.items()))
 
+    def lists(part: Column, form: str, domain: str, collection: str, group: Column = none) -> Column:
+        """The changes of the lists of changes in ``part``."""
+        inner = lambda e: F.coalesce(F.transform(listed(e["value"]), lambda x, i: change(form, domain, collection, group, kinds[e["key"]], i, x)), empty)
+        return F.flatten(F.transform(F.filter(mapped(part), lambda e: e["key"].isin(*LISTS)), inner))
+
+    found = [lists(at(f"niap.{c}"), c, "niap", c) for c in ENTITIES] + [lists(at("cc_portal.news"), "portal", "cc_portal", "news")]
+    for collection in ("pps", "products"):
+        path = f"cc_portal.{collection}.added"
+        cells = F.when(listed(at(path)).isNotNull(), F.from_json("text", f"cc_portal struct<{collection}: struct<added: array<map<string,string>>>>")["cc_portal"][collection]["added"])
+        found.append(F.transform(cells, lambda m, i: change("cells", "cc_portal", collection, none, F.lit("added"), i, cells=m)))
     for domain, path in (("cctl_labs", "cctl_labs"), ("csfc", "csfc.feeds"), ("nist", "nist.feeds")):
-        each = exploded(grouped(path).filter(fits(F.col("items"), "list")), "items", "k", "pos", "value")
-        rows(each, domain, "feeds", group_key=F.col("group_key"), kind=F.lit("added"), entity_key=F.coalesce(get("id"), get("title"), get("link")), pos=F.col("pos"), title=get("title"), text=get("summary"), link=get("link"), category=get("_category"))
+        posts = lambda e: F.coalesce(F.transform(listed(e["value"]), lambda x, i: change("feeds", domain, "feeds", e["key"], F.lit("added"), i, x)), empty)
+        found.append(F.flatten(F.transform(mapped(at(path)), posts)))
     for domain, path in DOCUMENTS.items():
-        rows(lists(grouped(f"{domain}.pages").withColumnRenamed("items", "part")).drop("part"), domain, "pages", group_key=F.col("group_key"), kind=F.col("kind"), pos=F.col("pos"), text=get("text"), link=get("href"))
-        changed = grouped(f"{domain}.{path}").withColumnRenamed("items", "value").filter(fits(F.col("value"), "map")).filter(F.coalesce(get("changed", "boolean"), F.lit(False)))
-        headers = {f"{side}_{f}": F.coalesce(get(f"{side}_{f}"), F.lit("")) for side in ("old", "new") for f in ("last_modified", "etag", "content_length", "partial_hash")}
-        rows(changed.withColumns(headers), domain, "documents", group_key=F.col("group_key"), kind=F.lit("header_changed"), entity_key=F.col("group_key"), pos=F.lit(0), text=header_detail(), link=get("url"))
-    log = out[0]
-    for more in out[1:]:
-        log = log.unionByName(more)
-    return log
+        found.append(F.flatten(F.transform(mapped(at(f"{domain}.pages")), lambda e: F.coalesce(lists(e["value"], "pages", domain, "pages", e["key"]), empty))))
+        changed = F.filter(mapped(at(f"{domain}.{path}")), lambda e: mapped(e["value"]).isNotNull() & F.coalesce(F.try_variant_get(e["value"], "$.changed", "boolean"), F.lit(False)))
+        found.append(F.transform(changed, lambda e: change("documents", domain, "documents", e["key"], F.lit("header_changed"), F.lit(0), e["value"])))
+    held = once(raw, F.concat(*(F.coalesce(f, empty) for f in found)), "changes").select("file", F.explode("changes").alias("c")).select("file", "c.*")
+
+    def by_form(**columns: Column) -> Column:
+        return F.coalesce(*(F.when(F.col("form") == form, c) for form, c in columns.items())) if columns else none
+
+    def entities(make: Callable[..., Column | None]) -> dict[str, Column]:
+        made = {c: make(c, *names) for c, names in ENTITIES.items()}
+        return {c: m for c, m in made.items() if m is not None}
+
+    links = entities(lambda c, identity, title, text, link: F.concat(F.lit(PROFILE), get(identity)) if c == "pps" else F.coalesce(F.nullif(get("link"), F.lit("")), get("url")) if c == "news" else get(link) if link else None)
+    of_entity, kind = F.col("form").isin(*ENTITIES), F.col("kind")
+    headers = {f"{side}_{f}": F.coalesce(get(f"{side}_{f}"), F.lit("")) for side in ("old", "new") for f in ("last_modified", "etag", "content_length", "partial_hash")}
+    columns = {
+        "entity_key": by_form(**entities(lambda c, identity, *_: get(identity)), feeds=F.coalesce(get("id"), get("title"), get("link")), documents=F.col("group_key")),
+        "title": by_form(**entities(lambda c, identity, title, *_: get(title)), feeds=get("title")),
+        "text": by_form(
+            **entities(lambda c, identity, title, text, _: get(text) if text else None), portal=get("text"), cells=F.array_join(F.map_values("cells"), " | "), feeds=get("summary"), pages=get("text"), documents=header_detail()
+        ),
+        "link": by_form(**links, portal=get("link"), feeds=get("link"), pages=get("href"), documents=get("url")),
+        "category": F.when(of_entity | (F.col("form") == "feeds"), get("_category")),
+        "old_value": F.when(of_entity, F.when(kind == "sunset_change", get("old_sunset")).when(kind == "status_change", get("old_status")).when(kind == "newly_archived", F.lit("Certified"))),
+        "new_value": F.when(of_entity, F.when(kind == "sunset_change", get("new_sunset")).when(kind == "status_change", get("new_status")).when(kind == "newly_archived", F.lit("Archived"))),
+        "payload": F.when(F.col("form") == "cells", F.to_json("cells")).otherwise(F.to_json("value")),
+    }
+    own = lambda n, k: (columns[n] if n in columns else F.col(n)).cast(k).alias(n)
+    return held.withColumns(headers).select("file", F.to_date(F.left("file", F.lit(10))).alias("run_date"), *(own(n, k) for n, k in S.CHANGE_FIELDS.items()))
