@@ -37,14 +37,13 @@ UNION ALL SELECT file, 'products', CAST(l_partkey AS VARCHAR), NULL, CAST(row_nu
 UNION ALL SELECT file, 'page_items', NULL, o_orderpriority, 0, 'order ' || o_orderkey, '/' || o_orderkey, NULL FROM o""")
 def q_snapshot_tables(spark, sf):
     """Typed tables of snapshot files."""
-    found = shredded.tables(snapshot_files(spark, sf))
     none = F.lit(None).cast("string")
-    columns = lambda name, key, group, a, b, c: found[name].select("file", F.lit(name).alias("name"), key.alias("entity_key"), group.alias("group_key"), "pos", a.alias("a"), b.alias("b"), c.alias("c"))
-    return (
-        columns("profiles", F.col("pp_id"), none, F.col("pp_short_name"), F.col("status"), F.col("sunset_date"))
-        .unionByName(columns("products", F.col("product_id"), none, F.col("product_name"), F.col("protection_profiles")[0]["pp_short_name"], none))
-        .unionByName(columns("page_items", none, F.col("page_key"), F.col("text"), F.col("href"), none))
-    )
+    columns = lambda key, group, pos, a, b, c: {"entity_key": key, "group_key": group, "pos": pos, "a": a, "b": b, "c": c}
+    return shredded.together(snapshot_files(spark, sf), {
+        "profiles": lambda t: columns(t["pp_id"], none, t["pos"], t["pp_short_name"], t["status"], t["sunset_date"]),
+        "products": lambda t: columns(t["product_id"], none, t["pos"], t["product_name"], t["protection_profiles"][0]["pp_short_name"], none),
+        "page_items": lambda t: columns(none, t["page_key"], t["pos"], t["text"], t["href"], none),
+    })
 
 
 @query("""SELECT CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS field, 'corrupt' AS problem, count(*) AS files FROM orders WHERE o_orderkey % 13 = 0
