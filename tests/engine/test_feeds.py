@@ -41,3 +41,15 @@ def test_a_very_long_feed_and_no_feeds(spark):
     df = spark.createDataFrame([(1, text)], "k int, text string")
     assert R.read_feeds(df, "k").filter("status = 'recovered'").count() == 20_000
     assert R.read_feeds(df.limit(0), "k").count() == 0
+
+
+def test_a_batch_is_read_slice_by_slice():
+    import pyarrow as pa
+
+    texts = [f"<rss><item><title>A & {i}</title><description>{'x' * 1000}</description></item>" for i in range(200)] + ["none", None]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(202)), "text": texts})
+    out = list(R.recovered_rows(iter([batch, batch.slice(0, 0)]), 1, 10_000))
+    assert len(out) > 15 and max(b.nbytes for b in out) < 20_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["k"] for r in rows] == list(range(202)) and [r["title"] for r in rows[:200]] == [f"A & {i}" for i in range(200)]
+    assert [(r["status"], r["pos"]) for r in rows[199:]] == [("recovered", 0), ("failed", None), ("failed", None)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -22,6 +22,8 @@ from tidemark.functions.expr import default
 ITEM = "title: string, description: string, summary: string, pubDate: string, published: string, updated: string, guid: struct<_VALUE: string>, id: string"
 LINK = "struct<_VALUE: string, _href: string, _rel: string>"
 FIELDS = "title string, link string, summary string, published string, id string"
+#: Characters of texts whose items a worker holds.
+SLICE = 1 << 20
 #: What a feed's elements are called, without prefixes: fixed values.
 ITEMS = {"item", "entry"}
 READ = {"title", "link", "description", "summary", "content", "encoded", "pubdate", "published", "updated", "date", "guid", "id"}
@@ -116,6 +118,24 @@ def strict(text: str) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def recovered_rows(batches: Iterable[pa.RecordBatch], n: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`read_feeds` from ``n`` keys and a text; of a batch, about ``most`` bytes of texts and their items are objects at a time."""
+    names, types = ["status", "pos", "title", "link", "summary", "published", "id"], [pa.string(), pa.int32(), *[pa.string()] * 5]
+    for batch in batches:
+        at, rows, size = [], [], 0
+        for i, body in enumerate(batch.column(n)):
+            body = body.as_py()
+            items = recovered(body or "")
+            status = "recovered" if items else "empty" if body and well_formed(body) else "failed"
+            at += [i] * max(1, len(items))
+            rows += [(status, p, *item) for p, item in enumerate(items)] or [(status, None, None, None, None, None, None)]
+            size += len(body or "")
+            if size >= most or i + 1 == batch.num_rows:
+                place = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(place) for c in batch.columns[:n]), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*batch.schema.names[:n], *names])
+                at, rows, size = [], [], 0
+
+
 def read_feeds(bodies: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys..., status, pos, item fields) of feeds' texts: one row an item; one row without fields for a feed that has none.
 
@@ -124,20 +144,8 @@ def read_feeds(bodies: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     kinds = {k: bodies.schema[k].dataType for k in keys}
     told = bodies.select(*keys, F.col(text).alias("__text"), strict(text).alias("__items"))
     fine = told.filter("__items IS NOT NULL").select(*keys, F.lit("read").alias("status"), F.posexplode("__items").alias("pos", "i")).select(*keys, "status", "pos", "i.*")
-    names = ["status", "pos", "title", "link", "summary", "published", "id"]
-
-    def run(batches):
-        for batch in batches:
-            at, rows = [], []
-            for i, body in enumerate(batch.column(len(keys)).to_pylist()):
-                items = recovered(body or "")
-                status = "recovered" if items else "empty" if body and well_formed(body) else "failed"
-                at += [i] * max(1, len(items))
-                rows += [(status, p, *item) for p, item in enumerate(items)] or [(status, None, None, None, None, None, None)]
-            columns = list(zip(*rows)) or [[]] * 7
-            types = [pa.string(), pa.int32(), *[pa.string()] * 5]
-            place = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.take(place) for c in batch.columns[: len(keys)]), *(pa.array(c, t) for c, t in zip(columns, types))], names=[*keys, *names])
+    n = len(keys)
+    run = lambda batches: recovered_rows(batches, n)
 
     schema = ", ".join([*(f"`{k}` {t.simpleString()}" for k, t in kinds.items()), "status string, pos int", FIELDS])
     return fine.unionByName(told.filter("__items IS NULL").select(*keys, "__text").mapInArrow(run, schema))
