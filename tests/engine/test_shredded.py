@@ -1,7 +1,10 @@
 """Snapshot and difference files against the tables and the log that they were written from."""
 
 import json
+import re
+from datetime import datetime
 
+from tidemark.plans.catalog import QUERIES
 from tidemark.plans.daily import compute_changes, empty_snapshot
 from tidemark.sources import shredded as S
 
@@ -88,3 +91,30 @@ def test_files_are_read_once(spark):
     apart = S.tables(raw)
     want = [(r.file, t, r[n], r.pos) for t, n in (("profiles", "pp_id"), ("page_items", "page_key"), ("feed_items", "feed_name")) for r in apart[t].collect()]
     assert sorted(map(tuple, both.collect())) == sorted(want) and len(want) == 6
+
+
+def test_a_stored_difference_is_cast_once(spark):
+    """A part that is taken out of a VARIANT is written anew, so a file goes through one cast (and one look for each list of cells), whatever it could hold."""
+    odd = {
+        "niap": {"pps": 7, "news": {"added": [None, 5]}}, "csfc": {"pages": {"apl": {"added": [{"text": "a"}], "other": [{"text": "b"}]}}, "feeds": ["no map"]}, "cctl_labs": {"added": [{"title": "t"}], "none": {}},
+        "cc_portal": {"pps": {"added": [{"Zeta": "1"}, {}], "removed": [{"Zeta": "2"}]}, "products": 5}, "nist": {"doc_headers": {"C": {"changed": False}, "D": {"changed": "true"}, "E": 1, "F": {"changed": True}}},
+    }
+    log = S.difference_log(texts(spark, **{"2024-03-05_diff.json": odd}))
+    assert sorted((r.domain, r.collection, r.group_key or "", r.pos, r.entity_key or "", r.text or "") for r in log.collect()) == [
+        ("cc_portal", "pps", "", 0, "", "1"), ("cc_portal", "pps", "", 1, "", ""), ("cctl_labs", "feeds", "added", 0, "t", ""), ("csfc", "pages", "apl", 0, "", "a"),
+        ("niap", "news", "", 0, "", ""), ("niap", "news", "", 1, "", ""), ("nist", "documents", "D", 0, "D", "Size:  →  bytes"), ("nist", "documents", "F", 0, "F", "Size:  →  bytes"),
+    ]
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and len(re.findall(r"try_variant_get\(v#", plan)) == 3
+
+
+def test_orders_are_dealt_out_before_their_differences_are_parsed(spark, tmp_path):
+    """A table of one row group is read by one task, which must not parse all of its files."""
+    day = datetime(2024, 1, 1)
+    spark.createDataFrame([(k, k, "O", day, "1-URGENT") for k in range(1, 401)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shares = QUERIES["q_difference_files"](spark, str(tmp_path)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(shares) == 1200 and max(shares) < 600

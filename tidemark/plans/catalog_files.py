@@ -61,14 +61,16 @@ UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), 'cctl_labs', 'feeds', o_orde
 UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), 'nist', 'documents', 'doc ' || o_custkey, 'header_changed', 'doc ' || o_custkey, NULL, NULL, NULL, '/' || o_custkey FROM orders""")
 def q_difference_files(spark, sf):
     """Stored differences as change log rows."""
-    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    k, day = F.col("o_orderkey"), F.col("day")
+    # Dealt out while rows are short: a table may be one row group, so one task, and its texts are some ten times as long.
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).repartition("o_orderkey")
     change = written('{"pp_id": "', k, '", "pp_short_name": "', F.col("o_orderpriority"), '", "old_sunset": "never", "new_sunset": "', day, '", "old_status": "O", "new_status": "', F.col("o_orderstatus"), '"}')
     listed = F.when(k % 3 == 0, "added").when(k % 3 == 1, "sunset_changes").otherwise("status_changes")
     text = written(
         '{"period_start": "", "period_end": "', day, '", "niap": {"pps": {"', listed, '": [', change, ']}, "tds": {"added": []}}, "cctl_labs": {"', F.col("o_orderstatus"), '": [{"title": "post ', k, '"}], "none": []}, ',
         '"nist": {"pages": {}, "doc_headers": {"doc ', F.col("o_custkey"), '": {"changed": true, "old_etag": "", "new_etag": "e", "url": "/', F.col("o_custkey"), '"}}}, "alerts": []}',
     )
-    raw = table(spark, sf, "orders").select(written(day, "_", k, "_diff.json").alias("file"), text.alias("text"))
+    raw = orders.select(written(day, "_", k, "_diff.json").alias("file"), text.alias("text"))
     log = shredded.difference_log(shredded.parsed(raw))
     return log.select(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "domain", "collection", "group_key", "kind", "entity_key", "title", "old_value", "new_value", "link")
 

@@ -83,6 +83,10 @@ def mapped(part: Column) -> Column:
     return F.map_entries(F.try_variant_get(part, "$", "map<string,variant>"))
 
 
+def literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
 def row(place: Place, group: Column, pos: Column, value: Column, field: Column | None = None, problem: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     given = (F.lit(place.table), F.lit(place.domain), F.lit(place.path), group, pos, value, none if field is None else field, none if problem is None else problem)
@@ -183,12 +187,12 @@ def problems(raw: DataFrame, found: DataFrame | None = None) -> DataFrame:
     if found is not None:
         told = told.filter("problem IS NOT NULL").unionByName(found.withColumns({"field": string(none), "problem": string(none)}))
     row_problem = lambda field, problem: F.struct(string(field).alias("field"), string(problem).alias("problem"))
-    identity = F.create_map(*(F.lit(x) for pair in IDENTITY.items() for x in pair))[F.col("table")]
+    identity = literal_map(IDENTITY)[F.col("table")]
     nameless = F.lit(False)
     for name in sorted(set(IDENTITY.values())):
         nameless = nameless | (identity == name) & F.try_variant_get("value", f"$.{name}", "string").isNull()
     expected = {f"{t}.{name}": kind for t in S.SCHEMAS if t not in CELL_TABLES for name, kind in fields(t).items()}
-    kinds = F.create_map(*(F.lit(x) for pair in expected.items() for x in pair))
+    kinds = literal_map(expected)
 
     def strange(e: Column) -> Column:
         kind, given = kinds[F.concat_ws(".", "table", e["key"])], e["value"]
@@ -217,60 +221,77 @@ ENTITIES = {
 }
 DOCUMENTS = {"csfc": "capability_packages", "cc_crypto": "doc_headers", "nist": "doc_headers"}
 PROFILE = "https://www.niap-ccevs.org/Profile/PP.cfm?id="
+FEEDS = {"cctl_labs": "cctl_labs", "csfc": "csfc.feeds", "nist": "nist.feeds"}
+#: The types that a stored difference is read in; a part of another shape is null.
+LIST = "array<variant>"
+LISTS_OF = f"map<string, map<string, {LIST}>>"
+SHAPE = (
+    f"struct<niap: {LISTS_OF}, cc_portal: struct<news: map<string, {LIST}>>, cctl_labs: map<string, {LIST}>, csfc: struct<feeds: map<string, {LIST}>, pages: {LISTS_OF}, capability_packages: map<string, variant>>, "
+    f"cc_crypto: struct<pages: {LISTS_OF}, doc_headers: map<string, variant>>, nist: struct<feeds: map<string, {LIST}>, pages: {LISTS_OF}, doc_headers: map<string, variant>>>"
+)
+#: Of the other forms: title, text and link, as far as they are plain fields of the record.
+TITLES, TEXTS, LINKS = {"feeds": "title"}, {"portal": "text", "feeds": "summary", "pages": "text"}, {"portal": "link", "feeds": "link", "pages": "href", "documents": "url"}
 
 
-def difference_log(raw: DataFrame) -> DataFrame:
-    """(file, run_date, change log columns) of stored differences; ``run_date`` is the date that the file's name starts with."""
-    get = lambda path, kind="string": F.try_variant_get("value", f"$.{path}", kind)
-    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
-    none, text_map = F.lit(None), "map<string,string>"
-    empty = F.array().cast("array<struct<form: string, domain: string, collection: string, group_key: string, kind: string, pos: int, value: variant, cells: map<string,string>>>")
-    kinds = F.create_map(*(F.lit(x) for pair in LISTS.items() for x in pair))
-
-    def change(form: str, domain: str, collection: str, group: Column, kind: Column, pos: Column, value: Column = none, cells: Column = none) -> Column:
-        given = {"form": F.lit(form), "domain": F.lit(domain), "collection": F.lit(collection), "group_key": group.cast("string"), "kind": kind, "pos": pos, "value": value.cast("variant"), "cells": cells.cast(text_map)}
+def changes(raw: DataFrame) -> DataFrame:
+    """(file, run_date, form, domain, collection, group_key, kind, pos, value, cells) of stored differences.
+
+    A file is cast once to the types of its collections: VARIANT writes a part anew whenever it is taken out of another, so going down level by level would
+    write a record at each.  Then every collection is a row with its lists, (name, list, records), which are exploded."""
+    dated = raw.select("file", F.to_date(F.left("file", F.lit(10))).alias("run_date"), "text", "v")
+    added = lambda c: F.try_variant_get("v", f"$.cc_portal.{c}.added", LIST).isNotNull()
+    in_text = lambda c: F.from_json("text", f"cc_portal struct<{c}: struct<added: array<map<string,string>>>>")["cc_portal"][c]["added"]
+    cells = F.struct(*(F.when(added(c), in_text(c)).alias(c) for c in CELL_TABLES.values()))
+    cast = once(once(dated, cells, "cells").drop("text"), F.try_variant_get("v", "$", SHAPE), "v")
+    none, no_list = F.lit(None), F.array().cast(LIST)
+    at = lambda path: reduce(lambda c, name: c[name], path.split("."), F.col("v"))
+
+    def place(form: str, domain: str, collection: str, lists: Column, keys: Column = none, cells: Column = none) -> Column:
+        given = {"form": F.lit(form), "domain": F.lit(domain), "collection": F.lit(collection), "lists": lists.cast(LISTS_OF), "keys": keys.cast("array<string>"), "cells": cells.cast("array<map<string,string>>")}
         return F.struct(*(c.alias(n) for n, c in given.items()))
 
-    def lists(part: Column, form: str, domain: str, collection: str, group: Column = none) -> Column:
-        """The changes of the lists of changes in ``part``."""
-        inner = lambda e: F.coalesce(F.transform(listed(e["value"]), lambda x, i: change(form, domain, collection, group, kinds[e["key"]], i, x)), empty)
-        return F.flatten(F.transform(F.filter(mapped(part), lambda e: e["key"].isin(*LISTS)), inner))
-
-    found = [lists(at(f"niap.{c}"), c, "niap", c) for c in ENTITIES] + [lists(at("cc_portal.news"), "portal", "cc_portal", "news")]
-    for collection in ("pps", "products"):
-        path = f"cc_portal.{collection}.added"
-        cells = F.when(listed(at(path)).isNotNull(), F.from_json("text", f"cc_portal struct<{collection}: struct<added: array<map<string,string>>>>")["cc_portal"][collection]["added"])
-        found.append(F.transform(cells, lambda m, i: change("cells", "cc_portal", collection, none, F.lit("added"), i, cells=m)))
-    for domain, path in (("cctl_labs", "cctl_labs"), ("csfc", "csfc.feeds"), ("nist", "nist.feeds")):
-        posts = lambda e: F.coalesce(F.transform(listed(e["value"]), lambda x, i: change("feeds", domain, "feeds", e["key"], F.lit("added"), i, x)), empty)
-        found.append(F.flatten(F.transform(mapped(at(path)), posts)))
+    named = lambda name, lists: F.when(lists.isNotNull(), F.create_map(F.lit(name), lists))
+    places = [place("entities", "niap", "", at("niap")), place("portal", "cc_portal", "news", named("news", at("cc_portal.news")))]
+    places += [place("cells", "cc_portal", c, F.when(F.col("cells")[c].isNotNull(), F.create_map(F.lit(c), F.create_map(F.lit("added"), no_list))), cells=F.col("cells")[c]) for c in CELL_TABLES.values()]
+    places += [place("feeds", domain, "feeds", named("added", at(path))) for domain, path in FEEDS.items()]
+    places += [place("pages", domain, "pages", at(f"{domain}.pages")) for domain in DOCUMENTS]
     for domain, path in DOCUMENTS.items():
-        found.append(F.flatten(F.transform(mapped(at(f"{domain}.pages")), lambda e: F.coalesce(lists(e["value"], "pages", domain, "pages", e["key"]), empty))))
-        changed = F.filter(mapped(at(f"{domain}.{path}")), lambda e: mapped(e["value"]).isNotNull() & F.coalesce(F.try_variant_get(e["value"], "$.changed", "boolean"), F.lit(False)))
-        found.append(F.transform(changed, lambda e: change("documents", domain, "documents", e["key"], F.lit("header_changed"), F.lit(0), e["value"])))
-    held = once(raw, F.concat(*(F.coalesce(f, empty) for f in found)), "changes").select("file", F.explode("changes").alias("c")).select("file", "c.*")
-
-    def by_form(**columns: Column) -> Column:
-        return F.coalesce(*(F.when(F.col("form") == form, c) for form, c in columns.items())) if columns else none
+        records = at(f"{domain}.{path}")
+        places.append(place("documents", domain, "documents", F.when(records.isNotNull(), F.create_map(F.lit(""), F.create_map(F.lit(""), F.map_values(records)))), F.map_keys(records)))
+    held = cast.select("file", "run_date", F.explode(F.array(*places)).alias("p")).select("file", "run_date", "p.*")
+    held = held.select("file", "run_date", "form", "domain", "collection", "keys", "cells", F.explode("lists").alias("name", "lists"))
+    form, name, key, value = F.col("form"), F.col("name"), F.col("key"), F.col("value")
+    held = held.filter((form != "entities") | name.isin(*ENTITIES)).select("*", F.explode("lists").alias("key", "list"))
+    kind = F.when(form == "feeds", name).when(form == "documents", "header_changed").otherwise(literal_map(LISTS)[key])
+    rows = F.arrays_zip(F.coalesce("list", no_list).alias("value"), F.coalesce("cells", F.array().cast("array<map<string,string>>")).alias("cells"))
+    each = once(held, kind, "kind").filter("kind IS NOT NULL").select("file", "run_date", "form", "domain", "collection", "name", "key", "kind", "keys", F.posexplode(rows).alias("pos", "r"))
+    each = each.withColumns({"value": F.col("r")["value"], "cells": F.col("r")["cells"]})
+    changed = mapped(value).isNotNull() & F.coalesce(F.try_variant_get(value, "$.changed", "boolean"), F.lit(False))
+    own = {
+        "form": F.when(form == "entities", name).otherwise(form), "domain": F.col("domain"), "collection": F.when(form == "entities", name).otherwise(F.col("collection")),
+        "group_key": F.when(form == "feeds", key).when(form == "pages", name).when(form == "documents", F.get("keys", F.col("pos"))), "kind": F.col("kind"),
+        "pos": F.when(form == "documents", 0).otherwise(F.col("pos")), "value": value, "cells": F.col("cells"),
+    }
+    return each.filter((form != "documents") | changed).select("file", "run_date", *(c.alias(n) for n, c in own.items()))
 
-    def entities(make: Callable[..., Column | None]) -> dict[str, Column]:
-        made = {c: make(c, *names) for c, names in ENTITIES.items()}
-        return {c: m for c, m in made.items() if m is not None}
 
-    links = entities(lambda c, identity, title, text, link: F.concat(F.lit(PROFILE), get(identity)) if c == "pps" else F.coalesce(F.nullif(get("link"), F.lit("")), get("url")) if c == "news" else get(link) if link else None)
-    of_entity, kind = F.col("form").isin(*ENTITIES), F.col("kind")
+def difference_log(raw: DataFrame) -> DataFrame:
+    """(file, run_date, change log columns) of stored differences; ``run_date`` is the date that the file's name starts with."""
+    held = once(changes(raw), F.try_variant_get("value", "$", "map<string,string>"), "fields")
+    form, kind, fields = F.col("form"), F.col("kind"), F.col("fields")
+    of_form = lambda names: fields[literal_map(names)[form]]
+    entities = lambda place: {c: names[place] for c, names in ENTITIES.items() if names[place]}
+    of_entity, get = form.isin(*ENTITIES), lambda name: fields[name]
     headers = {f"{side}_{f}": F.coalesce(get(f"{side}_{f}"), F.lit("")) for side in ("old", "new") for f in ("last_modified", "etag", "content_length", "partial_hash")}
     columns = {
-        "entity_key": by_form(**entities(lambda c, identity, *_: get(identity)), feeds=F.coalesce(get("id"), get("title"), get("link")), documents=F.col("group_key")),
-        "title": by_form(**entities(lambda c, identity, title, *_: get(title)), feeds=get("title")),
-        "text": by_form(
-            **entities(lambda c, identity, title, text, _: get(text) if text else None), portal=get("text"), cells=F.array_join(F.map_values("cells"), " | "), feeds=get("summary"), pages=get("text"), documents=header_detail()
-        ),
-        "link": by_form(**links, portal=get("link"), feeds=get("link"), pages=get("href"), documents=get("url")),
-        "category": F.when(of_entity | (F.col("form") == "feeds"), get("_category")),
+        "entity_key": F.when(form == "documents", F.col("group_key")).when(form == "feeds", F.coalesce(get("id"), get("title"), get("link"))).otherwise(of_form(entities(0))),
+        "title": of_form(entities(1) | TITLES),
+        "text": F.when(form == "cells", F.array_join(F.map_values("cells"), " | ")).when(form == "documents", header_detail()).otherwise(of_form(entities(2) | TEXTS)),
+        "link": F.when(form == "pps", F.concat(F.lit(PROFILE), get(ENTITIES["pps"][0]))).when(form == "news", F.coalesce(F.nullif(get("link"), F.lit("")), get("url"))).otherwise(of_form(entities(3) | LINKS)),
+        "category": F.when(of_entity | (form == "feeds"), get("_category")),
         "old_value": F.when(of_entity, F.when(kind == "sunset_change", get("old_sunset")).when(kind == "status_change", get("old_status")).when(kind == "newly_archived", F.lit("Certified"))),
         "new_value": F.when(of_entity, F.when(kind == "sunset_change", get("new_sunset")).when(kind == "status_change", get("new_status")).when(kind == "newly_archived", F.lit("Archived"))),
-        "payload": F.when(F.col("form") == "cells", F.to_json("cells")).otherwise(F.to_json("value")),
+        "payload": F.when(form == "cells", F.to_json("cells")).otherwise(F.to_json("value")),
     }
     own = lambda n, k: (columns[n] if n in columns else F.col(n)).cast(k).alias(n)
-    return held.withColumns(headers).select("file", F.to_date(F.left("file", F.lit(10))).alias("run_date"), *(own(n, k) for n, k in S.CHANGE_FIELDS.items()))
+    return held.withColumns(headers).select("file", "run_date", *(own(n, k) for n, k in S.CHANGE_FIELDS.items()))
