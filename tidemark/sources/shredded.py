@@ -124,9 +124,27 @@ def read(raw: DataFrame, places=PLACES, odd: bool = False) -> DataFrame:
     return held.select("file", F.explode("rows").alias("r")).select("file", "r.*")
 
 
+#: The type that a place is cast to.
+SHAPES = {"list": "array<variant>", "lists": "map<string, array<variant>>", "map": "map<string, variant>"}
+
+
 def records(raw: DataFrame, places=PLACES) -> DataFrame:
-    """(file, table, domain, path, group_key, pos, value) of all records of all collections."""
-    return read(raw, places).drop("field", "problem")
+    """(file, table, domain, path, group_key, pos, value) of all records of all collections.  A place is cast once to its shape, then exploded: VARIANT writes
+    a part anew whenever it is taken out of another."""
+    cast = once(raw.select("file", "v"), F.struct(*(F.try_variant_get("v", f"$.{p.path}", SHAPES[p.shape]).alias(f"p{i}") for i, p in enumerate(places))), "parts")
+
+    def entry(place: Place, part: Column) -> Column:
+        lists = part if place.shape == "lists" else F.when(part.isNotNull(), F.create_map(F.lit(""), part if place.shape == "list" else F.map_values(part)))
+        keys = (F.map_keys(part) if place.shape == "map" else F.lit(None)).cast("array<string>")
+        given = {"table": F.lit(place.table), "domain": F.lit(place.domain), "path": F.lit(place.path), "shape": F.lit(place.shape), "lists": lists.cast(SHAPES["lists"]), "keys": keys}
+        return F.struct(*(c.alias(n) for n, c in given.items()))
+
+    entries = [entry(p, F.col("parts")[f"p{i}"]) for i, p in enumerate(places)]
+    held = cast.select("file", F.explode(F.array(*entries)).alias("p")).select("file", "p.*")
+    held = held.select("file", "table", "domain", "path", "shape", "keys", F.explode("lists").alias("key", "list"))
+    held = held.select("file", "table", "domain", "path", "shape", "keys", "key", F.posexplode("list").alias("pos", "value"))
+    group = F.when(F.col("shape") == "lists", F.col("key")).when(F.col("shape") == "map", F.get("keys", F.col("pos")))
+    return held.select("file", "table", "domain", "path", group.alias("group_key"), "pos", "value")
 
 
 def fields(table: str) -> dict[str, str]:
