@@ -169,3 +169,19 @@ def test_a_megabyte_of_odd_markup(page):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 30 << 20
+
+
+BARE = ["<head><title>Cut off in the ti", "<title>T</title><body><nav><ul><li><a href='/'>Home</a>", "<nav>Menu</nav><div class='ad'>Buy</div><footer>F</footer>", f"<div hidden><p>{LONG}</p></div>"]
+
+
+def test_pages_of_boilerplate_alone_have_no_text(spark):
+    assert [h.main_text(page) for page in BARE] == [""] * len(BARE)
+    rows = [(i, "u", page) for i, page in enumerate([*BARE, None, f"{BARE[2]}<p>x</p>"])]
+    got = h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)).collect()
+    assert sorted((r.id, r.text, r.n_chars) for r in got) == [*((i, "", 0) for i in range(len(BARE) + 1)), (len(BARE) + 1, "x", 1)]
+
+
+def test_references_of_thousands_of_digits():
+    """Python's int() refuses more than 4,300."""
+    for digits, want in (("9" * 5000, "�"), ("0" * 5000 + "65", "A"), ("0" * 5000, "�")):
+        assert h.main_text(f"<p title='&#{digits};'>a &#{digits}; b</p>") == f"a {want} b"

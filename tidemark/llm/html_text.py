@@ -14,7 +14,7 @@ boilerplate is kept, short ones too; outside marked regions a line of links alon
 
 Elements know their parent and open elements are found by tag, so time and memory are linear in the page, however deep it nests.
 
-Cases: null and empty pages give an empty text; text outside any block counts as a block; unclosed elements end with
+Cases: null and empty pages, and those of boilerplate alone (a page cut off in its head or menu), give an empty text; text outside any block counts as a block; unclosed elements end with
 their parent or the next block; unknown end tags are ignored; white space is what ``str.split`` takes for it; very long and very deep pages
 are parsed whole; repeated rows give repeated results; null ids and URLs stay null; other columns are ignored; an empty table
 gives an empty result.
@@ -243,7 +243,7 @@ def content_blocks(html: str) -> list[str]:
     feed(page, html)
     page.flush()
     lines, parent = settled(page), page.parent
-    if not lines:
+    if all(gone for *_, gone in lines):
         return []
     ratios = np.array([0.0 if gone else len(text) / max(1, tags) for text, tags, _, gone in lines])
     smooth = smoothed(ratios)
