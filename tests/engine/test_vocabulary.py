@@ -1,5 +1,9 @@
+import hashlib
+import tracemalloc
 from random import Random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
@@ -45,3 +49,44 @@ def test_many_terms_fit_a_small_worker(spark):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("scan(") == 1
         rows = {r.id: r.hits for r in found.collect()}
         assert rows[3] == ["0000bbe Q", "Ü" * 20 + "3007"][:2] and len(rows) == 40
+
+
+def test_a_worker_holds_a_pack_and_a_slice_whatever_the_vocabulary(spark, monkeypatch):
+    """Terms and keys are files that the workers map, sorted a range at a time; of the hits of several parts those of a few slices are held, and put out by the slice."""
+    n = 400_000
+    monkeypatch.setattr(V, "PACK", 1 << 14)
+    vocabulary = spark.range(n).select(F.col("id").alias("ord"), F.format_string("%06x", "id").alias("term"))
+    parts = V.vocabulary_parts(vocabulary, "ord", "term")
+    tracemalloc.start()
+    part = V.Part(shared for _, shared in parts[0])
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(parts[0]) > 20 and held < 1 << 20 and most < 10 << 20
+    assert part.scan(pa.array(["x0000ff", None, "00f00d0"]))[1].tolist() == [255, 0xF00D]
+    texts = pa.array(["".join(f"{i:06x}" for i in range(k, k + 16_000)) for k in range(0, n - 16_000, 12_000)])
+    many = V.vocabulary_parts(vocabulary, "ord", "term", most=n // 3)
+    tracemalloc.start()
+    sizes = [(len(hits), len(hits.values)) for hits in V.found(iter([texts]), many)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(many) == 4 and len(sizes) > 10 and sum(k for k, _ in sizes) == len(texts) and sum(k for _, k in sizes) > len(texts) * 16_000 and most < 60 << 20
+
+
+def test_terms_of_all_lengths_and_their_digests(spark, monkeypatch):
+    """Windows of up to seven bytes by exact keys, longer ones by hashes and words, longest by the automaton; in one range of keys and in several."""
+    rnd = Random(5)
+    draw = lambda most: "".join(rnd.choices("abéAİ ", weights=[9, 9, 1, 2, 1, 2], k=rnd.randint(1, most)))
+    texts = [draw(400) for _ in range(60)] + ["", "a" * 70_000 + "b", None]
+    terms = sorted({draw(9) for _ in range(300)} | {t[i : i + k].strip() or "b" for t in texts[:60] for k in range(1, 45) for i in [rnd.randint(0, 100)]} | {"aaaab", "a" * 32, "a" * 33})
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    vocabulary = spark.createDataFrame(list(enumerate(terms)), "ord int, term string").repartition(3)
+    plain = df.join(vocabulary, F.contains(F.lower("text"), F.lower("term"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("h"))
+    want = {r.id: [x.term for x in r.h] for r in plain.collect()}
+    for pack, most in ((V.PACK, V.MOST), (100, V.MOST), (100, 500)):
+        monkeypatch.setattr(V, "PACK", pack)
+        got = {r.id: tuple(r.hits) for r in V.with_digests(df, "text", vocabulary, most=most).collect()}
+        joined = lambda terms: hashlib.md5("|".join(terms).encode()).hexdigest()
+        assert got == {i: (len(h := want.get(i, [])), h[0] if h else None, joined(h)) for i in range(len(texts))}
+    assert {r.id: r.hits for r in V.with_vocabulary(df, "text", vocabulary).collect()} == {i: want.get(i, []) for i in range(len(texts))}
+    assert V.with_digests(df, "text", vocabulary.limit(0)).filter("hits.n = 0 AND hits.first IS NULL").count() == len(texts)
+    assert len({int(k) for n in range(1, 8) for k in V.exact(np.arange(1 << 8 * min(n, 2), dtype=np.uint64), n)}) == 256 + 6 * 65536
